@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64(text_of()).alias("fp"), F.length(text_of()).alias("n"))
     lines = F.split(text_of("row.text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    out = rows.join(gone, ["d", "fp", "n"], "left").withColumn("lines", lines)
+    # A merge join at every size: the texts move once, and disk grows in proportion to the input.
+    out = rows.join(gone.hint("merge"), ["d", "fp", "n"], "left").withColumn("lines", lines)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     new_text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n"))
     return out.select(
