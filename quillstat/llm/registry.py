@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstat.llm import line_dedup
+from quillstat.llm import byte_bpe, line_dedup, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_store": token_store.query,
+        "op8_byte_bpe": byte_bpe.query,
+        "op9_simhash": simhash.query,
         "op10_line_dedup": line_dedup.query,
     }
 
