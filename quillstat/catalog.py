@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstat.plans import boxscore
+from quillstat.plans import boxscore, tracking
 
-MODULES = (boxscore,)
+MODULES = (boxscore, tracking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
