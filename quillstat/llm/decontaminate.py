@@ -10,8 +10,8 @@ substitutions in every window of 8 to 20 tokens (a test enumerates them all), so
 equals a comparison of all pairs. Items of under MIN_ITEM tokens are no evidence and take no part.
 
 The seed table is joined in parts of at most PART rows, each of which is broadcast: the test set is read whole at any
-size, a part never exceeds its bound, and no document is shuffled. A hit is verified where its run of hits on a diagonal
-starts, so a passage costs a few comparisons.
+size and a part never exceeds its bound. A hit counts where its run of hits on a diagonal starts, so a passage gives a few
+rows (document, item, diagonal); only documents with such rows are read as tokens a second time, to be compared.
 
 Defined cases: a null or empty text, of a document or an item, has no tokens and matches nothing; rows with equal doc_id
 count as one document, of which the best match of each item is given (null doc_ids likewise); repeated items each match;
@@ -25,12 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import table, text_of
+from quillstat.llm.common import Scratch, table, text_of
 
 MASKS = ((0, 1, 2, 4), (0, 1, 2, 3))
 SPAN = 5
 WINDOW, MIN_ITEM = 20, 8
-PART = 500_000
+#: Seed rows, and document ids, that are broadcast at most.
+PART, FEW = 500_000, 250_000
 
 
 def _token_hashes() -> Column:
@@ -38,44 +39,58 @@ def _token_hashes() -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _positions(df: DataFrame, *keep: str) -> DataFrame:
-    """One row a token position: p (from 0) and for each mask its seed h<k>, with before<k>, the seed one position earlier; null where a mask reaches outside."""
+def _positions(df: DataFrame, key: str) -> DataFrame:
+    """(key, p, mask, h, before): for each token position p (from 0) and mask its seed and the seed one position earlier; positions whose mask reaches outside are left out.
+
+    No array is carried over to the positions: rows stay a few numbers wide however long a text is.
+    """
     # Column x0 is the token before the position.
-    ahead = [F.slice(F.col("wh"), F.lit(k + 1), F.size("wh")) for k in range(SPAN)]
-    shifted = [F.concat(F.array(F.lit(None).cast("long")), F.col("wh")), *ahead]
-    rows = df.select(*keep, "wh", F.posexplode(F.arrays_zip(*[c.alias(f"x{k}") for k, c in enumerate(shifted)])).alias("p", "x"))
+    shifted = [F.concat(F.array(F.lit(None).cast("long")), F.col("wh")), *[F.slice(F.col("wh"), F.lit(k + 1), F.size("wh")) for k in range(SPAN)]]
+    rows = df.select(key, F.posexplode(F.arrays_zip(*[c.alias(f"x{k}") for k, c in enumerate(shifted)])).alias("p", "x"))
 
     def seed(mask: tuple[int, ...], back: int) -> Column:
         tokens = [F.col(f"x.x{o + 1 - back}") for o in mask]
         return F.when(reduce(lambda a, b: a & b, [t.isNotNull() for t in tokens]), F.xxhash64(*tokens))
 
     seeds = F.array(*[F.struct(F.lit(k).alias("mask"), seed(m, 0).alias("h"), seed(m, 1).alias("before")) for k, m in enumerate(MASKS)])
-    return rows.select(*keep, "wh", "p", F.explode(seeds).alias("s")).select(*keep, "wh", "p", "s.mask", "s.h", "s.before").where(F.col("h").isNotNull())
+    return rows.select(key, "p", F.explode(seeds).alias("s")).select(key, "p", "s.mask", "s.h", "s.before").where(F.col("h").isNotNull())
+
 
+def _candidates(docs: DataFrame, items: DataFrame, part: int) -> DataFrame:
+    """(doc_id, item_id, diag), distinct: the diagonals of all hits, each found where a run of hits starts."""
+    seeds = _positions(items, "item_id").select("item_id", F.col("p").alias("q"), F.col("mask").alias("i_mask"), F.col("h").alias("i_h"), F.col("before").alias("i_before"))
+    parts = max(1, -(-seeds.count() // part))
+    places = _positions(docs, "doc_id")
+    same = (F.col("mask") == F.col("i_mask")) & (F.col("h") == F.col("i_h"))
+    starts = ~(F.col("before").isNotNull() & F.col("i_before").isNotNull() & (F.col("before") == F.col("i_before")))
+    found = []
+    for k in range(parts):
+        some = seeds.where(F.pmod(F.hash("i_h"), F.lit(parts)) == k) if parts > 1 else seeds
+        found.append(places.join(F.broadcast(some), same & starts).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diag")))
+    return reduce(DataFrame.unionAll, found).distinct()
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_item: int = MIN_ITEM) -> DataFrame:
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_item: int = MIN_ITEM, part: int = PART, few: int = FEW) -> DataFrame:
     """(doc_id, item_id, matched, compared): the best window of each contaminated pair: equal tokens, of so many."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _token_hashes().alias("wh")).where(F.size("wh") >= min_item)
-    seeds = _positions(items, "item_id").select("item_id", F.col("wh").alias("iw"), F.col("p").alias("q"), F.col("mask").alias("i_mask"), F.col("h").alias("i_h"), F.col("before").alias("i_before"))
-    parts = -(-seeds.count() // PART)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _token_hashes().alias("wh")).where(F.size("wh") >= min_item)
-    places = _positions(rows, "doc_id")
-    run_starts = (F.col("mask") == F.col("i_mask")) & (F.col("h") == F.col("i_h")) & ~(F.col("before").isNotNull() & F.col("i_before").isNotNull() & (F.col("before") == F.col("i_before")))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    items = scratch.write(benchmark.select(F.col("item_id").cast("long").alias("item_id"), _token_hashes().alias("wh")).where(F.size("wh") >= min_item), "items")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    hashed = source.select("doc_id", _token_hashes().alias("wh")).where(F.size("wh") >= min_item)
+    near = scratch.write(_candidates(hashed, items, part), "near")
+    ids = near.select(F.col("doc_id").alias("near_id")).distinct()
+    # Only texts with a hit are read as tokens again: found by a broadcast of their ids where these are few, else by a merge join.
+    ids = F.broadcast(ids) if ids.count() <= few else ids.hint("merge")
+    texts = source.join(ids, source["doc_id"].eqNullSafe(ids["near_id"]), "left_semi").select(F.col("doc_id").alias("text_id"), _token_hashes().alias("wh"))
+    pairs = texts.join(near, texts["text_id"].eqNullSafe(near["doc_id"])).join(items.select(F.col("item_id").alias("of"), F.col("wh").alias("iw")), F.col("item_id") == F.col("of"))
     compared = F.least(F.size("iw"), F.lit(window))
-    first = F.greatest(F.col("q") - F.col("p"), F.lit(0))  # of the item's tokens that lie over the document
-    over = F.least(F.size("iw"), F.size("wh") - F.col("p") + F.col("q")) - first
-    same = F.zip_with(F.slice("iw", first + 1, over), F.slice("wh", first + F.col("p") - F.col("q") + 1, over), lambda a, b: F.when(a == b, 1).otherwise(0))
+    first = F.greatest(-F.col("diag"), F.lit(0))  # of the item's tokens that lie over the document
+    over = F.least(F.size("iw"), F.size("wh") - F.col("diag")) - first
+    laid = pairs.withColumns({"compared": compared, "first": first, "over": over}).where(F.col("over") >= F.col("compared"))
+    same = F.zip_with(F.slice("iw", F.col("first") + 1, F.col("over")), F.slice("wh", F.col("first") + F.col("diag") + 1, F.col("over")), lambda a, b: F.when(a == b, 1).otherwise(0))
     in_window = F.transform(F.sequence(F.lit(1), F.col("over") - F.col("compared") + 1), lambda j: F.aggregate(F.slice("same", j, F.col("compared")), F.lit(0), lambda a, x: a + x))
-    found = []
-    for k in range(parts):
-        part = seeds.where(F.pmod(F.hash("i_h"), F.lit(parts)) == k) if parts > 1 else seeds
-        hits = places.join(F.broadcast(part), run_starts).withColumns({"compared": compared, "over": over})
-        hits = hits.where(F.col("over") >= F.col("compared")).withColumn("same", same)
-        found.append(hits.select("doc_id", "item_id", "compared", F.array_max(in_window).alias("matched")))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, compared long")
     return (
-        reduce(DataFrame.unionAll, found)
+        laid.select("doc_id", "item_id", "compared", "over", same.alias("same"))
+        .select("doc_id", "item_id", "compared", F.array_max(in_window).alias("matched"))
         .where(F.col("matched") >= F.col("compared") - F.floor(F.col("compared") / 5))
         .groupBy("doc_id", "item_id")
         .agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))
