@@ -121,6 +121,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     (conv_id, call_id, turn, level, n_missing, linked, errors, json): `errors` is empty for valid arguments.
     """
     scratch = Scratch(calls.sparkSession, "tool-calls")
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on")
+    results = results.select("conv_id", "call_id", "turn", "content")
     kept = scratch.write(_first(calls, "name", "arguments"), "calls")
     found = _first(results, "content").select("conv_id", "call_id", F.coalesce("content", F.lit("")).alias("result"))
     placed = kept.join(levels(kept, scratch), ["conv_id", "call_id"]).join(found, ["conv_id", "call_id"], "left")

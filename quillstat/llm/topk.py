@@ -31,6 +31,7 @@ from quillstat.llm.common import Scratch, table
 K, SLICES, EVERY = 5, 4, 50
 #: Rows of a packed block: queries, vectors.
 QUERY_ROWS, VECTOR_ROWS = 512, 2048
+NO_BOUND = -(2**63)
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -44,17 +45,17 @@ def _pack(rows: int):
     """Blocks of vectors of one length: (dim, ids, extra, data), ids and data as packed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, list[int], float]]] = {}
+        held: dict[int, list[tuple[int, list[int], int]]] = {}
 
-        def block(part: list[tuple[int, list[int], float]], dim: int) -> pa.RecordBatch:
+        def block(part: list[tuple[int, list[int], int]], dim: int) -> pa.RecordBatch:
             ids, v, bound = zip(*part, strict=True)
-            packed = [np.array(ids, "<i8").tobytes(), np.array(bound, "<f8").tobytes(), np.array(v, "<i8").tobytes()]
+            packed = [np.array(ids, "<i8").tobytes(), np.array(bound, "<i8").tobytes(), np.array(v, "<i8").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["dim", "ids", "bound", "data"])
 
         for b in batches:
             for vec_id, v, bound in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 part = held.setdefault(len(v), [])
-                part.append((vec_id, v, -np.inf if bound is None else bound))
+                part.append((vec_id, v, NO_BOUND if bound is None else bound))
                 if len(part) == rows:
                     yield block(held.pop(len(v)), len(v))
         for dim, part in held.items():
@@ -85,13 +86,13 @@ def _phase(k: int, slices: int, resolve: bool):
         for b in batches:
             for i in range(b.num_rows):
                 dim, q_ids, bound, q, c_ids, c = (b.column(n)[i].as_py() for n in range(6))
-                q_ids, c_ids, bound = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8"), np.frombuffer(bound, "<f8")
+                q_ids, c_ids, bound = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8"), np.frombuffer(bound, "<i8")
                 parts = _partials(np.frombuffer(q, "<i8").reshape(-1, dim), np.frombuffer(c, "<i8").reshape(-1, dim), slices)
                 own = q_ids[:, None] == c_ids
                 if resolve:  # phases 2 and 3
                     wanted = np.zeros(own.shape, bool)
                     for p in parts:
-                        wanted |= p >= (bound / slices)[:, None]
+                        wanted |= p >= (bound // slices)[:, None]
                     at, col = np.nonzero(wanted & ~own)
                 else:  # phase 1
                     at, col = [], []
@@ -130,14 +131,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, slices: int = SLICES
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query (rows of `vectors` for which `is_query` holds, seen as (vec_id)) with all other vectors."""
     scratch = Scratch(vectors.sparkSession, "top-k")
     whole = scratch.write(integer_vectors(vectors), "vectors")
-    no_bound = F.lit(None).cast("double")
+    no_bound = F.lit(None).cast("long")
     blocks = scratch.write(whole.select("vec_id", "v", no_bound.alias("bound")).mapInArrow(_pack(VECTOR_ROWS), _BLOCK), "blocks")
     groups = max(1, blocks.count())
     grouped = blocks.select("dim", "ids", "data", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"))
     queries = scratch.write(whole.where(is_query), "queries")
     packed = scratch.write(queries.select("vec_id", "v", no_bound.alias("bound")).mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-1")
     lists = scratch.write(_meet(packed, grouped, groups, k, slices, False), "lists")
-    bounds = _ranked(lists, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
+    bounds = _ranked(lists, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     packed = scratch.write(queries.join(bounds, "vec_id", "left").select("vec_id", "v", "bound").mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-2")
     return _ranked(_meet(packed, grouped, groups, k, slices, True), k).select("query_id", "rank", "vec_id", "score")
 
