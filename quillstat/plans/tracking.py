@@ -146,12 +146,12 @@ def homography_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _motion(spark: SparkSession, d: str) -> DataFrame:
-    rows = _hourly(spark, d).withColumns({"x": F.col("x") / 400, "y": F.col("y") / 400})
+    rows = _hourly(spark, d).withColumns({"x": F.col("x") / 397.3, "y": F.col("y") / 397.3})
     return tracks.smooth_motion(rows, ["user_id"], "hour", "x", "y")
 
 
 def smooth_motion(spark: SparkSession, d: str) -> DataFrame:
-    return _motion(spark, d).select("user_id", "frame", "ok", *[half_even(F.col(c), 9).alias(c) for c in ("Xs", "Ys", "speed", "dist")])
+    return _motion(spark, d).select("user_id", "frame", "ok", *[half_even(F.col(c), 7).alias(c) for c in ("Xs", "Ys", "speed", "dist")])
 
 
 def player_table(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ def player_table(spark: SparkSession, d: str) -> DataFrame:
     return tracks.player_table(_motion(spark, d), people, "user_id", fps=5)
 
 
-_MOTION = f"""{_HOURLY}, o AS (SELECT user_id, hour AS f0, x / 400 AS x0, y / 400 AS y0, lead(hour) OVER w AS f1, lead(x / 400) OVER w AS x1, lead(y / 400) OVER w AS y1 FROM hr WINDOW w AS (PARTITION BY user_id ORDER BY hour)),
+_MOTION = f"""{_HOURLY}, o AS (SELECT user_id, hour AS f0, x / 397.3 AS x0, y / 397.3 AS y0, lead(hour) OVER w AS f1, lead(x / 397.3) OVER w AS x1, lead(y / 397.3) OVER w AS y1 FROM hr WINDOW w AS (PARTITION BY user_id ORDER BY hour)),
 sp AS (SELECT *, unnest(generate_series(f0, coalesce(f1 - 1, f0))) AS frame FROM o),
 ln AS (SELECT user_id, frame, x0 + coalesce((frame - f0) / (f1 - f0), 0) * (coalesce(x1, x0) - x0) AS x, y0 + coalesce((frame - f0) / (f1 - f0), 0) * (coalesce(y1, y0) - y0) AS y, least(frame - f0, coalesce(f1 - frame, 0)) <= 5 AS ok FROM sp),
 l2 AS (SELECT *, lag(ok) OVER (PARTITION BY user_id ORDER BY frame) AS lo FROM ln),
@@ -296,7 +296,7 @@ SELECT user_id, hour + i AS hour, round_even(CASE WHEN i = 0 THEN x ELSE x + i /
     "near_semi": "SELECT c_custkey, coalesce(bool_or(sqrt(pow(c_acctbal - s_acctbal, 2) + pow(c_custkey % 100 - s_suppkey % 100, 2)) <= 200), false) AS near FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1",
     "homography_map": f"""SELECT c_custkey, round_even(((1 - 2 * 0.0002) * x + (3 * 0.0002 - 0.02) * y + (0.02 * 2 - 3)) / w, 6) AS px, round_even(((2 * {_NY} - 0.01) * x + ({_NX} - 3 * {_NY}) * y + (3 * 0.01 - {_NX} * 2)) / w, 6) AS py
 FROM (SELECT *, (0.01 * 0.0002 - {_NY}) * x + (0.02 * {_NY} - {_NX} * 0.0002) * y + ({_NX} - 0.02 * 0.01) AS w FROM (SELECT c_custkey, c_acctbal / 100 AS x, CAST(c_custkey % 100 AS DOUBLE) AS y, CAST(c_nationkey AS DOUBLE) AS n FROM customer))""",
-    "smooth_motion": f"WITH {_MOTION} SELECT user_id, frame, ok, round_even(px, 9) AS \"Xs\", round_even(py, 9) AS \"Ys\", round_even(speed, 9) AS speed, round_even(coalesce(sum(speed / 30) OVER (PARTITION BY user_id ORDER BY frame), 0), 9) AS dist FROM mo",
+    "smooth_motion": f"WITH {_MOTION} SELECT user_id, frame, ok, round_even(px, 7) AS \"Xs\", round_even(py, 7) AS \"Ys\", round_even(speed, 7) AS speed, round_even(coalesce(sum(speed / 30) OVER (PARTITION BY user_id ORDER BY frame), 0), 7) AS dist FROM mo",
     "player_table": f"""WITH {_MOTION}, s AS (SELECT user_id, count(speed) AS n, sum(speed) AS t, avg(speed) AS a, max(speed) AS m, quantile_cont(speed, 0.9) AS p FROM mo GROUP BY 1 HAVING count(speed) >= 5)
 SELECT user_id, user_id AS shot, 'light' AS team, min(hour) AS first_frame, max(hour) AS last_frame, round_even(avg(CASE WHEN x / 10 BETWEEN 0 AND 94 * 0.3048 AND y / 10 BETWEEN 0 AND 50 * 0.3048 THEN 1.0 ELSE 0 END), 2) AS inside_lines_share, round_even(median(x / 10), 1) AS "median_X", round_even(median(y / 10), 1) AS "median_Y",
  round_even(max(n) / 5, 1) AS seconds_tracked, round_even(max(t) / 5, 1) AS distance_m, round_even(max(a), 2) AS avg_speed_ms, round_even(max(a) * 3.6, 1) AS avg_speed_kmh, round_even(max(m), 2) AS top_speed_ms, round_even(max(m) * 3.6, 1) AS top_speed_kmh, round_even(max(p), 2) AS p90_speed_ms FROM hr JOIN s USING (user_id) GROUP BY user_id""",
