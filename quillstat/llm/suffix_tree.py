@@ -3,22 +3,27 @@
 Tokens: words (runs of characters other than ASCII space, A-Z lower-cased), then one end token a document. The alphabet
 is the distinct training tokens and one symbol for every unknown token, as in the base score.
 
-States are contexts of up to two preceding tokens; the root is the empty one. Counting takes three passes over the
-training texts: words, then pairs after contexts of one word, then next tokens after contexts of two. Every pass counts
-all training documents; sums are made in each task, then by Spark. Head words have a share of at least HEAD_SHARE of all
-tokens, so there are at most 1 / HEAD_SHARE of them at any corpus size; all other words are one class, REST, in contexts
-and as next symbol. Candidate contexts have a share of at least SHARE[depth], next-symbol rows of at least ROW_SHARE
-(and 3 occurrences): so the model that reaches the driver and the workers is bounded by these parameters.
+States are contexts of up to DEPTH preceding tokens, of which the first may be the start of the text; the root is the
+empty one. Grams of one order are counted a pass over all training texts, the next order after the one before: a gram
+occurs FEWEST times only if the grams without its last and without its first token do, so all others are left out
+before they are sent. Every context and every row (a context's next token) of FEWEST occurrences is admitted, whatever
+the corpus' size, with any word in any place.
 
 Retention: a context stays if it tells its next tokens from its parent's distribution: with each occurrence left out in
 turn, the summed log likelihood ratio of its distribution to its parent's must be at least GAIN nats.
 
 Smoothing: P(w | s) = (c(s, w) - DISCOUNT) / c(s) where the row is kept, plus all mass not given to rows times the
-parent's P(w). A word of REST takes its part of the class by its root probability. The root gives a known token
-(c - DISCOUNT) / N and the unknown symbol the sum of all discounts. Each state's probabilities sum to one.
+parent's P(w). The root gives a known token (c - DISCOUNT) / N and the unknown symbol the sum of all discounts. Each
+state's probabilities sum to one.
 
-Scoring: the longest retained suffix of the two tokens before is the state. Only words outside the head need their count
-from the table of all words, and are joined with it by word.
+Scoring: the longest retained suffix of the tokens before is the state. log P(w | s) is the root's plus, for every
+order, what the context adds (log of the mass it leaves) and what the row adds: so a text's score is a sum of one number
+a gram in it, and texts are scored by one join of their grams with a table of these numbers.
+
+Tables: counts, states and numbers stay in written tables, joined by 64-bit hashes (a word's XXH64; a gram's is Spark's
+xxhash64 of the hashes without its last and without its first token). Only two things of bounded size are broadcast and
+neither changes a result: a bitmap of hashes (MAP_BITS at most), whose false positives are counted or joined in vain, and
+the numbers of grams with a share of CACHED of all tokens, which are added in place and so never meet in one task.
 
 Defined cases: a null or empty text is the end token alone; with nothing to learn from, all counts are zero, and the
 score is that of unknown symbols, 0 each; equal doc_ids are separate rows; other columns play no part.
@@ -27,25 +32,28 @@ score is that of unknown symbols, 0 each; equal doc_ids are separate rows; other
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import Scratch, bucket_of_id, table, text_of
 
-HEAD_SHARE, SHARE, ROW_SHARE = 8e-6, (1e-4, 2e-5), 1e-6
-DISCOUNT, GAIN, FEWEST = 0.5, 30.0, 3
+DEPTH, DISCOUNT, GAIN, FEWEST = 3, 0.5, 30.0, 3
 FOLDS = 10
-#: Symbols: any word outside the head, what stands before a text; head words follow. The end token is the word b"".
+CACHED, MAP_BITS = 2e-6, 1 << 27
+#: The hash of what stands before a text: no word holds a space.
+START_HASH = xxhash.xxh64_intdigest(b" ")
+#: Symbols of the gathered model: an unknown word, what stands before a text; the words follow.
 REST, START, FIRST = 0, 1, 2
 BITS = 20
-#: Words counted, and windows held, before they are passed on; characters of text handled at once.
-WORDS, WINDOWS, CHARS = 500_000, 1 << 22, 1 << 20
+#: Windows held before they are passed on; characters of text handled at once.
+WINDOWS, CHARS = 1 << 21, 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,66 +76,116 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter[bytes] = Counter()
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of all texts on end, each after the start's; the number of each text's hashes."""
+    flat, length = [], []
+    for text in texts:
+        words = words_of(text)
+        flat.append(START_HASH)
+        flat += map(xxhash.xxh64_intdigest, words)
+        length.append(len(words) + 1)
+    return np.array(flat, np.uint64), np.array(length, np.int64)
 
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-        words.clear()
-        return b
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            words.update(words_of(text))
-            if len(words) > WORDS:
-                yield out()
-    yield out()
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _symbols(texts: list[str], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """The symbols of all texts on end, each text after two START symbols; which of them are tokens; the tokens."""
-    tokens = [words_of(t) for t in texts]
-    flat: list[int] = []
-    for words in tokens:
-        flat += (START, START)
-        flat += [ids.get(w, REST) for w in words]
-    x = np.array(flat, np.int64)
-    return x, x != START, tokens
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
 
-def _keys(x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: its symbol, its context of one, its context of two as a number."""
-    at = np.flatnonzero(real)
-    return x[at], x[at - 1], (x[at - 2] << BITS) | x[at - 1]
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + (_P5 + np.uint64(8))) ^ (_turn(x * _P2, 31) * _P1)
+    h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
 
-def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted number stands in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two longs."""
+    return _hash_long(b, _hash_long(a, np.full(1, 42, np.uint64)))
+
+
+def _orders(x: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2 to `most`: where its grams end, their hashes, and those without the last and the first token."""
+    place = np.arange(len(x)) - np.repeat(np.cumsum(length) - length, length)
+    grams = x
+    for order in range(2, most + 1):
+        end = np.flatnonzero(place >= order - 1)
+        context, suffix = grams[end - 1], grams[end]
+        grams = np.zeros(len(x), np.uint64)
+        grams[end] = pair_hash(context, suffix)
+        yield end, grams[end], context, suffix
+
 
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def _count_rows(packed: object, depth: int):
-    """Sums per task of (position of the context among the candidates, next symbol), as one number."""
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([_longs(h), pa.array(n)], ["h", "n"])
+
+    for b in batches:
+        for part in _parts(b.column(0).to_pylist()):
+            held.append(_hashes(part)[0])
+            size += len(held[-1])
+            if size >= WINDOWS:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(64 * len(bits) - 1)
+    return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """hashes: (h). The low bits of all of them, as words of 64 bits; about 16 bits a hash, MAP_BITS at most."""
+    size = 1 << 12
+    wanted = 16 * hashes.count()
+    while size < min(wanted, MAP_BITS):
+        size *= 2
+    at = F.col("h").bitwiseAND(F.lit(size - 1))
+    rows = hashes.select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _packed(spark: SparkSession, **arrays: object) -> object:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return spark.sparkContext.broadcast(out.getvalue())
+
+
+def _count_grams(packed: object, order: int):
+    """Sums per task of the grams of an order whose two parts are in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.load(io.BytesIO(packed.value))
-        contexts, ids = x["contexts"], _ids(x["words"])
+        bits = np.load(io.BytesIO(packed.value))["bits"]
         held, size = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows, n = np.unique(np.concatenate(held), return_counts=True)
-            for lo in range(0, len(rows), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + (1 << 17)]), pa.array(n[lo : lo + (1 << 17)])], ["row", "n"])
+            h, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            for lo in range(0, len(n), 1 << 17):
+                at = first[lo : lo + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(suffix[at]), pa.array(n[lo : lo + (1 << 17)])], ["ctx", "suf", "n"])
 
         for b in batches:
             for part in _parts(b.column(0).to_pylist()):
-                symbol, one, two = _keys(*_symbols(part, ids)[:2])
-                at = _position(contexts, two if depth == 2 else one)
-                held.append(((at << BITS) | symbol)[at >= 0])
-                size += len(held[-1])
+                for k, (_, h, context, suffix) in enumerate(_orders(*_hashes(part), order), 2):
+                    if k == order:
+                        on = _in_map(bits, context) & _in_map(bits, suffix)
+                        held.append((h[on], context[on], suffix[on]))
+                        size += len(held[-1][0])
                 if size >= WINDOWS:
                     yield from out()
                     held, size = [], 0
@@ -137,36 +195,106 @@ def _count_rows(packed: object, depth: int):
     return run
 
 
-def _ids(words: np.ndarray) -> dict[bytes, int]:
-    return {w: k + FIRST for k, w in enumerate(words.tobytes().split(b" "))}
+class Tree:
+    """Written tables of a trained tree: words (h, n), the start among them; for each depth from 1 states (ctx, left,
+    total) that are retained, and rows (h, ctx, suf, n, p, more): all grams of the next order, with the probability of
+    the last token after the longest retained suffix, and what a retained state's row adds to the log10 score.
+    """
+
+    def __init__(self, words: DataFrame, n: int, v: int) -> None:
+        self.words, self.n, self.v = words, n, v
+        self.states: list[DataFrame] = []
+        self.rows: list[DataFrame] = []
+
+    @property
+    def unknown(self) -> float:
+        return DISCOUNT * self.v / self.n if self.n else 1.0
+
+    def numbers(self) -> DataFrame:
+        """(h, c, v, n): for each gram what it adds to the log10 score, v; c: a word's count; n: occurrences."""
+        none = F.lit(None).cast("long").alias("c")
+        found = [self.words.where(F.col("h") != _signed(START_HASH)).select("h", F.col("n").alias("c"), F.log10((F.col("n") - DISCOUNT) / float(max(self.n, 1))).alias("v"), "n")]
+        found += [s.select(F.col("ctx").alias("h"), none, F.log10("left").alias("v"), F.col("total").alias("n")) for s in self.states]
+        found += [r.where(F.col("more").isNotNull()).select("h", none, F.col("more").alias("v"), "n") for r in self.rows]
+        return reduce(DataFrame.unionAll, found).groupBy("h").agg(F.max("c").alias("c"), F.sum("v").alias("v"), F.max("n").alias("n"))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _learn(grams: DataFrame, before: DataFrame, counts: DataFrame, scratch: Scratch, d: int) -> tuple[DataFrame, DataFrame]:
+    """grams: (ctx, suf, n, h) of order d + 1; before: (suf, parent); counts: (ctx, total). The states and rows of depth d."""
+    sums = grams.groupBy("ctx").agg(F.sum("n").alias("given"), F.count("*").alias("k"))
+    stats = sums.join(counts, "ctx").withColumn("left", F.greatest(1.0 - (F.col("given") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-12)))
+    stats = scratch.write(stats, f"stats-{d}")
+    wide = scratch.write(grams.join(before, "suf").join(stats.select("ctx", "total", "left"), "ctx"), f"wide-{d}")
+    # Each occurrence left out in turn: its row has one less, the context too.
+    without = (F.col("n") - 1 - DISCOUNT + F.col("left") * F.col("total") * F.col("parent")) / F.greatest(F.col("total") - 1, F.lit(1))
+    known = wide.groupBy("ctx").agg(F.sum(F.col("n") * F.log(without / F.col("parent"))).alias("known"))
+    other = F.greatest(F.col("total") - F.col("given"), F.lit(0)) * F.log("left")
+    states = scratch.write(stats.join(known, "ctx").where(F.col("known") + other >= GAIN).select("ctx", "left", "total"), f"states-{d}")
+    p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("parent")
+    kept = F.col("is_kept").isNotNull()
+    rows = wide.join(states.select("ctx", F.lit(True).alias("is_kept")), "ctx", "left")
+    rows = rows.select("h", "ctx", "suf", "n", F.when(kept, p).otherwise(F.col("parent")).alias("p"), F.when(kept, F.log10(p / F.col("left") / F.col("parent"))).alias("more"))
+    return states, scratch.write(rows, f"rows-{d}")
+
+
+def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
+    """docs: (text). Counts and learns in written tables."""
+    spark = docs.sparkSession
+    texts = docs.select(text_of().alias("t"))
+    words = scratch.write(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    token = words.where(F.col("h") != _signed(START_HASH))
+    tree = Tree(words, *token.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    often, parent = words.where(F.col("n") >= FEWEST), token.select(F.col("h").alias("suf"), ((F.col("n") - DISCOUNT) / float(max(tree.n, 1))).alias("parent"))
+    for d in range(1, depth + 1):
+        counted = texts.mapInArrow(_count_grams(_packed(spark, bits=_bitmap(often.select("h"))), d + 1), "ctx long, suf long, n long")
+        grams = counted.groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST).withColumn("h", F.xxhash64("ctx", "suf"))
+        grams = scratch.write(grams, f"grams-{d}")
+        states, rows = _learn(grams, parent, often.select(F.col("h").alias("ctx"), F.col("n").alias("total")), scratch, d)
+        tree.states.append(states)
+        tree.rows.append(rows)
+        often, parent = rows, rows.select(F.col("h").alias("suf"), F.col("p").alias("parent"))
+    return tree
 
 
 class Model:
-    """The retained states of depth 1 and 2 and their rows, over head words with their counts.
+    """The states of depth 1 and 2 and their rows in memory, to look into a tree of a small corpus.
 
     keys[d]: contexts, sorted; left[d]: the mass each leaves to its parent; rows[d]: (context position, symbol) numbers,
     sorted; p[d]: their whole probabilities.
     """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int) -> None:
         self.words, self.counts, self.n, self.v = words, counts.astype(np.float64), n, v
         self.keys, self.left = [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2
         self.rows, self.p = [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2
-        self._root()
-
-    def _root(self) -> None:
-        head = np.maximum(self.counts - DISCOUNT, 0.0) / max(self.n, 1)
-        self.root = np.concatenate([[max(1.0 - head.sum(), 1e-300), 1e-300], head])  # REST, START, head words
+        self.root = np.concatenate([[DISCOUNT * v / n if n else 1.0, 1e-300], (self.counts - DISCOUNT) / max(n, 1)])  # unknown, START, words
 
-    @property
-    def unknown(self) -> float:
-        return DISCOUNT * self.v / self.n if self.n else 1.0
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
+    @staticmethod
+    def of(tree: Tree) -> Model:
+        words = tree.words.where(F.col("h") != _signed(START_HASH)).toPandas().sort_values("h")
+        model = Model(words["h"].to_numpy(np.int64), words["n"].to_numpy(np.int64), tree.n, tree.v)
+        ids = {h: k + FIRST for k, h in enumerate(model.words.tolist())} | {_signed(START_HASH): START}
+        last = dict(ids)
+        for d in range(min(2, len(tree.rows))):
+            states, rows = tree.states[d].toPandas(), tree.rows[d].toPandas()
+            key = np.array([ids[h] for h in states["ctx"]], np.int64)
+            order = np.argsort(key)
+            model.keys[d], model.left[d] = key[order], states["left"].to_numpy(np.float64)[order]
+            at = {h: k for k, h in enumerate(states["ctx"].to_numpy()[order].tolist())}
+            kept = rows[rows["more"].notna()]
+            row = np.array([(at[c] << BITS) | last[s] for c, s in zip(kept["ctx"], kept["suf"], strict=True)], np.int64)
+            order = np.argsort(row)
+            model.rows[d], model.p[d] = row[order], kept["p"].to_numpy(np.float64)[order]
+            ids = {h: (ids[c] << BITS) | last[s] for h, c, s in zip(rows["h"], rows["ctx"], rows["suf"], strict=True)}
+            last = {h: last[s] for h, s in zip(rows["h"], rows["suf"], strict=True)}
+        return model
 
     def probability(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """P(symbol | longest retained suffix), symbols being head words or REST."""
+        """P(symbol | longest retained suffix)."""
         p = self.root[symbol]
         for d, key in enumerate((one, two)):
             state = _position(self.keys[d], key)
@@ -176,90 +304,42 @@ class Model:
                 p[on] = np.where(row >= 0, self.p[d][row] if len(self.p[d]) else 0.0, self.left[d][state[on]] * p[on])
         return p
 
-    def add(self, depth: int, contexts: np.ndarray, totals: np.ndarray, rows: np.ndarray, n: np.ndarray, gain: float = GAIN) -> None:
-        """Retains, of candidate contexts (sorted) with their totals, those that pass the test. rows: (position, symbol) numbers, sorted."""
-        at, symbol, n = rows >> BITS, rows & ((1 << BITS) - 1), n.astype(np.float64)
-        context = contexts[at]
-        one, two = (context, np.full(len(at), -1)) if depth == 1 else (context & ((1 << BITS) - 1), np.full(len(at), -1))
-        parent = self.probability(symbol, one if depth == 2 else np.full(len(at), -1), two)
-        total = totals.astype(np.float64)
-        given = np.bincount(at, weights=(n - DISCOUNT) / total[at], minlength=len(contexts))
-        left = np.maximum(1.0 - given, 1e-12)
-        # Each occurrence left out in turn: its row has one less, the context too.
-        without = (np.maximum(n - 1 - DISCOUNT, 0.0) + (left[at] * total[at]) * parent) / np.maximum(total[at] - 1, 1.0)
-        known = np.bincount(at, weights=n * np.log(without / parent), minlength=len(contexts))
-        other = np.maximum(total - np.bincount(at, weights=n, minlength=len(contexts)), 0.0) * np.log(left)
-        keep = np.flatnonzero(known + other >= gain)
-        new = np.full(len(contexts), -1, np.int64)
-        new[keep] = np.arange(len(keep))
-        on = new[at] >= 0
-        d = depth - 1
-        self.keys[d], self.left[d] = contexts[keep], left[keep]
-        self.rows[d] = (new[at[on]] << BITS) | symbol[on]
-        self.p[d] = (n[on] - DISCOUNT) / total[at[on]] + left[at[on]] * parent[on]
-
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         arrays = {f"{name}{d}": getattr(self, name)[d] for name in ("keys", "left", "rows", "p") for d in (0, 1)}
-        np.savez(out, words=np.frombuffer(b" ".join(self.words), np.uint8), counts=self.counts, n=self.n, v=self.v, **arrays)
+        np.savez(out, words=self.words, counts=self.counts, n=self.n, v=self.v, **arrays)
         return out.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> Model:
         x = np.load(io.BytesIO(data))
-        m = Model(x["words"].tobytes().split(b" "), x["counts"], int(x["n"]), int(x["v"]))
+        m = Model(x["words"], x["counts"], int(x["n"]), int(x["v"]))
         for name in ("keys", "left", "rows", "p"):
             setattr(m, name, [x[f"{name}0"], x[f"{name}1"]])
         return m
 
 
-def _packed(spark: SparkSession, words: list[bytes], contexts: np.ndarray) -> object:
-    out = io.BytesIO()
-    np.savez(out, words=np.frombuffer(b" ".join(words), np.uint8), contexts=contexts)
-    return spark.sparkContext.broadcast(out.getvalue())
+def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands in the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """docs: (text). Returns the model and the count table (word binary, n) of all training tokens."""
-    spark = docs.sparkSession
-    texts = docs.select(text_of().alias("t"))
-    counted = texts.mapInArrow(_count_words, "word binary, n long")
-    words = scratch.write(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = {bytes(r.word): r.n for r in words.where(F.col("n") >= max(1.0, HEAD_SHARE * n)).collect()}
-    often.setdefault(b"", 0)
-    head = [b"", *sorted(w for w in often if w)]
-    model = Model(head, np.array([often[w] for w in head]), n, v)
-
-    def rows_of(depth: int, contexts: np.ndarray) -> DataFrame:
-        sums = texts.mapInArrow(_count_rows(_packed(spark, head, contexts), depth), "row long, n long")
-        return scratch.write(sums.groupBy("row").agg(F.sum("n").alias("n")), f"rows-{depth}")
-
-    def learn(depth: int, contexts: np.ndarray, rows: DataFrame) -> None:
-        context = F.shiftright("row", BITS)
-        sums = rows.groupBy(context.alias("at")).agg(F.sum("n").alias("n")).toPandas()
-        totals = np.zeros(len(contexts), np.int64)
-        totals[sums["at"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-        kept = rows.where(F.col("n") >= max(FEWEST, ROW_SHARE * n)).toPandas().sort_values("row")
-        model.add(depth, contexts, np.maximum(totals, 1), kept["row"].to_numpy(np.int64), kept["n"].to_numpy(np.int64))
-
-    one = np.array([START, *(k + FIRST for k, w in enumerate(head) if w and often[w] >= SHARE[0] * n)], np.int64)
-    pairs = rows_of(1, one)
-    learn(1, one, pairs)
-    least = max(FEWEST, SHARE[1] * n)
-    wanted = pairs.where((F.col("n") >= least) & (F.col("row").bitwiseAND(F.lit((1 << BITS) - 1)) > FIRST)).toPandas()["row"].to_numpy(np.int64)
-    two = np.unique((one[wanted >> BITS] << BITS) | (wanted & ((1 << BITS) - 1)))
-    learn(2, two, rows_of(2, two))
-    return model, words
-
-
-def _score(packed: object):
-    """kind 0: a document's sums over its head words; kind 1: one of its other words with the log10 share of REST in its state."""
+    """docs: (text). The tree gathered in memory, for small corpora, and the count table (h, n); scoring never gathers it."""
+    tree = grow(docs, scratch)
+    return Model.of(tree), tree.words
+
+
+def _score(packed: object, n: int, v: int, depth: int):
+    """is_word null: a document's sums over cached grams; true: one of its other words; false: one of its other grams that may have a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.from_bytes(packed.value)
-        ids = {w: k + FIRST for k, w in enumerate(model.words)}
-        counts = np.concatenate([[0.0, 0.0], model.counts])
+        x = np.load(io.BytesIO(packed.value))
+        bits, key, count, value = x["bits"], x["h"], x["c"], x["v"]
+        own_base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
         uid = TaskContext.get().partitionId() << 40
 
         def batch(**columns: object) -> pa.RecordBatch:
@@ -269,58 +349,68 @@ def _score(packed: object):
         for b in batches:
             doc_ids, done = b.column(0).to_pylist(), 0
             for part in _parts(b.column(1).to_pylist()):
-                x, real, tokens = _symbols(part, ids)
-                symbol, one, two = _keys(x, real)
-                length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                doc = np.repeat(np.arange(len(part)), length)
-                logp = np.log10(np.maximum(model.probability(symbol, one, two), 1e-300))
-                c = counts[symbol]
-                # A head word that was never met (the end token of an empty training set) is an unknown symbol.
-                logp = np.where((symbol != REST) & (c == 0), np.log10(model.unknown), logp)
-                head = symbol != REST
-
-                def per_doc(values: np.ndarray) -> np.ndarray:
-                    return np.bincount(doc[head], weights=values[head], minlength=len(part))
-
-                yield batch(kind=np.zeros(len(part), np.int32), uid=uid + np.arange(len(part)), doc_id=doc_ids[done : done + len(part)], n_tokens=length, n_known=per_doc(c > 0).astype(np.int64), base=per_doc(model.base(c)), score=per_doc(logp))
-                rest = np.flatnonzero(~head)
-                if len(rest):
-                    flat = [w for words in tokens for w in words]
-                    yield batch(kind=np.ones(len(rest), np.int32), uid=uid + doc[rest], word=[flat[k] for k in rest.tolist()], score=logp[rest] - np.log10(model.root[REST]))
+                h, length = _hashes(part)
+                doc, first = np.repeat(np.arange(len(part)), length), np.cumsum(length) - length
+                word = np.ones(len(h), bool)
+                word[first] = False
+                base, score, known, later = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part)), []
+
+                def add(h: np.ndarray, doc: np.ndarray, is_word: bool) -> None:
+                    at = _position(key, h.view(np.int64))
+                    on = np.flatnonzero(at >= 0)
+                    score[:] += np.bincount(doc[on], value[at[on]], len(part))
+                    if is_word:
+                        base[:] += np.bincount(doc[on], own_base[at[on]], len(part))
+                        known[:] += np.bincount(doc[on], minlength=len(part))
+                    off = np.flatnonzero(at < 0)
+                    if len(off):
+                        later.append(batch(uid=uid + doc[off], h=h[off].view(np.int64), is_word=np.full(len(off), is_word)))
+
+                add(h[word], doc[word], True)
+                for end, grams, *_ in [(first, h[first]), *_orders(h, length, depth + 1)]:
+                    on = _in_map(bits, grams)
+                    add(grams[on], doc[end[on]], False)
+                yield batch(uid=uid + np.arange(len(part)), doc_id=doc_ids[done : done + len(part)], n_tokens=length - 1, n_known=known.astype(np.int64), base=base, score=score)
+                yield from later
                 uid += len(part)
                 done += len(part)
 
     return run
 
 
-_SCORED = "kind int, uid long, doc_id long, n_tokens long, n_known long, base double, score double, word binary"
-_SCORED_ARROW = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary())])
+_SCORED = "is_word boolean, uid long, doc_id long, n_tokens long, n_known long, base double, score double, h long"
+_SCORED_ARROW = pa.schema([("is_word", pa.bool_()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("h", pa.int64())])
 
 
-def score(docs: DataFrame, learn: Column) -> DataFrame:
+def score(docs: DataFrame, learn: Column, depth: int = DEPTH, cached: float = CACHED) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`, learning from those with `learn`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
-    model, words = train(docs.where(learn), scratch)
-    packed = spark.sparkContext.broadcast(model.to_bytes())
+    tree = grow(docs.where(learn), scratch, depth)
+    numbers = scratch.write(tree.numbers(), "numbers")
+    hot = numbers.where(F.col("n") >= max(FEWEST, cached * tree.n)).select("h", F.coalesce("c", F.lit(0)).alias("c"), "v").toArrow()
+    order = np.argsort(hot["h"].to_numpy())
+    arrays = {name: hot[name].to_numpy()[order] for name in ("h", "c", "v")}
+    # A hash of no word has a number if it is a gram or the start; that of a word is met as a word only.
+    packed = _packed(spark, bits=_bitmap(numbers.where(F.col("c").isNull()).select("h")), **arrays)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    scored = scratch.write(source.mapInArrow(_score(packed), _SCORED), "scored")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    base = F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
-    own = F.when(c > 0, (c - DISCOUNT) / F.lit(float(max(model.n, 1)))).otherwise(F.lit(model.unknown))
+    scored = scratch.write(source.mapInArrow(_score(packed, tree.n, tree.v, depth), _SCORED), "scored")
+    c = F.coalesce(F.col("c"), F.lit(0))
+    base = F.when(F.col("is_word"), F.log10((c + 0.1) / F.lit(tree.n + 0.1 * (tree.v + 1))))
+    own = F.coalesce(F.col("v"), F.when(F.col("is_word"), F.lit(float(np.log10(tree.unknown)))))
     rest = (
-        scored.where("kind = 1")
-        .select("uid", "word", "score")
-        .join(words.hint("merge"), "word", "left")
+        scored.where(F.col("is_word").isNotNull())
+        .select("uid", "h", "is_word")
+        .join(numbers.select("h", "c", "v").hint("merge"), "h", "left")
         .groupBy("uid")
-        .agg(F.sum(base).alias("more_base"), F.sum(F.col("score") + F.log10(own)).alias("more_score"), F.count_if(c > 0).alias("more_known"))
+        .agg(F.sum(base).alias("more_base"), F.sum(own).alias("more_score"), F.count_if(F.col("is_word") & (c > 0)).alias("more_known"))
     )
-    out = scored.where("kind = 0").select("uid", "doc_id", "n_tokens", "n_known", "base", "score").join(rest.hint("merge"), "uid", "left")
+    out = scored.where(F.col("is_word").isNull()).select("uid", "doc_id", "n_tokens", "n_known", "base", "score").join(rest.hint("merge"), "uid", "left")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(tree.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

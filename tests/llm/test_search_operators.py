@@ -139,6 +139,58 @@ def test_states_sum_to_one(spark):
     assert (again.probability(every, every, every) == model.probability(every, every, every)).all()
 
 
+def brute_scores(train, texts, depth):
+    """The suffix tree's log10 scores by dictionaries of whole word tuples."""
+    seqs = [["^", *tokens(t)] for t in train]
+    c = Counter(tuple(s[i : i + k]) for s in seqs for k in range(1, depth + 2) for i in range(len(s) - k + 1))
+    n = sum(x for g, x in c.items() if len(g) == 1) - c["^",]
+    v = sum(len(g) == 1 for g in c) - 1
+    after, states = {}, {}
+    for g, x in c.items():
+        if len(g) > 1 and x >= 3:
+            after.setdefault(g[:-1], {})[g[-1]] = x
+
+    def p(w, context):
+        if not context:
+            return (c[w,] - 0.5) / n if c[w,] else 0.5 * v / n
+        parent = p(w, context[1:])
+        if context not in states:
+            return parent
+        row = after[context].get(w)
+        return states[context] * parent + ((row - 0.5) / c[context] if row else 0.0)
+
+    for context in sorted(after, key=len):
+        total, rows = c[context], after[context]
+        left = max(1 - sum(x - 0.5 for x in rows.values()) / total, 1e-12)
+        gain = (total - sum(rows.values())) * math.log(left)
+        for w, x in rows.items():
+            q = p(w, context[1:])
+            gain += x * math.log((x - 1.5 + left * total * q) / (total - 1) / q)
+        if gain >= 30:
+            states[context] = left
+    out = []
+    for t in texts:
+        s = ["^", *tokens(t)]
+        out.append(sum(math.log10(p(s[i], tuple(s[max(0, i - depth) : i]))) for i in range(1, len(s))))
+    return out, states
+
+
+@pytest.mark.parametrize("cached", [suffix_tree.CACHED, 1.0])
+def test_scores_equal_brute_force(spark, cached):
+    """Contexts, rows and words far under one in 10,000 tokens, of up to three tokens, count as others do."""
+    rows = [(i, prose(i, 900), "en") for i in range(300)]
+    rows += [(1000 + i, f"marker alpha {prose(3000 + i, 8)}", "en") for i in range(20)]
+    rows += [(4000 + i, f"{prose(4000 + i, 8)} alpha seldom met beta {prose(5000 + i, 8)} left seldom met gamma", "en") for i in range(70)]
+    rows += [(i, None, "en") for i in (5000, 5001, 5002)]
+    texts = [t for _, t, _ in rows] + ["marker alpha", "unknown seldom met beta"]
+    want, states = brute_scores([t for _, t, _ in rows], texts, suffix_tree.DEPTH)
+    assert (b"marker",) in states and (b"left", b"seldom", b"met") in states and ("^",) in states
+    rows += [(9000 + k, t, "en") for k, t in enumerate(texts[-2:])]
+    got = {r.doc_id: r.score for r in suffix_tree.score(documents(spark, rows), F.col("doc_id") < 9000, cached=cached).collect()}
+    for (i, _, _), w in zip(rows, want, strict=True):
+        assert got[i] == pytest.approx(w, rel=1e-6), i
+
+
 def test_tool_calls(spark):
     call = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"
     calls = [(1, "a", 0, "add", '{"y": 2, "x": 1}', None), (1, "b", 1, "add", '{"x": "1"}', ["a"]), (1, "c", 2, "add", "not json", ["a", "b", "zz"]), (1, "d", 3, "nope", "[1]", ["c"]), (1, "e", 4, "add", "{}", ["f"]), (1, "f", 5, "add", "{}", ["e"]), (1, "g", 6, "add", "{}", ["f", "a"]),
