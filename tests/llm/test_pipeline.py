@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import sys
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_search_operators import brute_leaks
@@ -15,7 +18,7 @@ from test_text_operators import brute_groups, brute_lines, brute_print
 from util import prose
 
 import corpus_pipeline
-from quillstat.llm import registry
+from quillstat.llm import near_copies, registry, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SHARED = "this line is shared by a good many documents of the corpus"
@@ -83,6 +86,52 @@ def test_stages(spark, tmp_path):
     assert order(tuple(r) for r in corpus_pipeline.run(spark, path).collect()) == order(seen[4])
 
 
+def brute_sets(texts):
+    """Each text's five-word shingles."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words]
+
+
+def brute_keepers(rows):
+    """The least row of each group of sets with a Jaccard similarity of 0.8 or more."""
+    sets = brute_sets([r[1] for r in rows])
+    forest = simhash._Forest(len(rows))
+    for i, a in enumerate(sets):
+        near = [(i, j) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+        forest.join(np.array(near).reshape(-1, 2))
+    kept = {}
+    for r, k in zip(rows, forest.labels().tolist(), strict=True):
+        kept[k] = min(kept.get(k, r), r, key=lambda r: (r[0] is None, r[0]))
+    return list(kept.values())
+
+
+@pytest.mark.parametrize("hot,few", [(1024, 250_000), (8, 0)])
+def test_near_copies_equal_brute_force(spark, hot, few):
+    """Near copies with words changed all over a text, short and long, in groups and in chains."""
+    r, rows = random.Random(5), []
+    for k in range(40):
+        words = prose(7000 + k, r.choice([3, 30, 60, 200, 2000])).split()
+        for _ in range(r.randrange(1, 8)):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(1 + len(words) // 80):
+                words[r.randrange(len(words))] = f"changed{r.randrange(1000)}"
+    rows += [(500 + k, prose(1, 200) + f" tail{k}") for k in range(40)] + [(600, ""), (601, " "), (602, "two words"), (603, "Two  words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    got = sorted(int(bytes(x.key)) for x in near_copies.keepers(docs, hot, few).collect())
+    assert got == sorted(i for i, _ in brute_keepers(rows)) and len(got) < len(rows) - 80
+
+
+def test_near_dedup_stage_takes_copies_of_similarity(spark, tmp_path):
+    words = prose(31, 100).split()
+    changed = list(words)
+    changed[20] = changed[70] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, prose(32, 100))]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    assert len(brute_keepers(rows)) == 2
+    assert {x.doc_id for x in corpus_pipeline._simhash(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
 def test_queries_are_registered():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
