@@ -132,6 +132,19 @@ def test_near_dedup_stage_takes_copies_of_similarity(spark, tmp_path):
     assert {x.doc_id for x in corpus_pipeline._simhash(spark, docs, str(tmp_path)).collect()} == {1, 3}
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
+    """Many null ids and a repeated one: one row of each group stays, and only the rows that leak go."""
+    path = str(tmp_path)
+    x, y = prose(41, 60), prose(42, 60)
+    rows = [(5, x), (7, x), (7, y), *[(None, prose(50 + k, 60)) for k in range(6)], (None, x), (None, prose(50, 60)), (None, prose(60, 20) + " " + LEAK), (7, LEAK + " " + prose(61, 20))]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    order = lambda rows: sorted(map(repr, rows))
+    alone = [(5, x), (7, y), *rows[3:9]]
+    assert order((r.doc_id, r.text) for r in corpus_pipeline._simhash(spark, docs, path).collect()) == order([*alone, *rows[11:]])
+    assert order((r.doc_id, r.text) for r in corpus_pipeline._decontaminate(spark, docs, path).collect()) == order(rows[:11])
+
+
 def test_queries_are_registered():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
