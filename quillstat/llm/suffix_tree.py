@@ -31,6 +31,7 @@ score is that of unknown symbols, 0 each; equal doc_ids are separate rows; other
 
 from __future__ import annotations
 
+import gc
 import io
 from collections.abc import Iterator
 from functools import reduce
@@ -46,7 +47,7 @@ from quillstat.llm.common import Scratch, bucket_of_id, table, text_of
 
 DEPTH, DISCOUNT, GAIN, FEWEST = 3, 0.5, 30.0, 3
 FOLDS = 10
-CACHED, MAP_BITS = 2e-6, 1 << 27
+CACHED, MAP_BITS = 2e-7, 1 << 27
 #: The hash of what stands before a text: no word holds a space.
 START_HASH = xxhash.xxh64_intdigest(b" ")
 #: Symbols of the gathered model: an unknown word, what stands before a text; the words follow.
@@ -241,6 +242,12 @@ def _learn(grams: DataFrame, before: DataFrame, counts: DataFrame, scratch: Scra
     return states, scratch.write(rows, f"rows-{d}")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of finished passes go once the driver finds that nothing refers to them; asked for here, as a later pass needs their space."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
     """docs: (text). Counts and learns in written tables."""
     spark = docs.sparkSession
@@ -253,10 +260,13 @@ def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
         counted = texts.mapInArrow(_count_grams(_packed(spark, bits=_bitmap(often.select("h"))), d + 1), "ctx long, suf long, n long")
         grams = counted.groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST).withColumn("h", F.xxhash64("ctx", "suf"))
         grams = scratch.write(grams, f"grams-{d}")
+        del counted
+        _release(spark)
         states, rows = _learn(grams, parent, often.select(F.col("h").alias("ctx"), F.col("n").alias("total")), scratch, d)
         tree.states.append(states)
         tree.rows.append(rows)
         often, parent = rows, rows.select(F.col("h").alias("suf"), F.col("p").alias("parent"))
+        _release(spark)
     return tree
 
 
@@ -394,6 +404,7 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, cached: float = CA
     # A hash of no word has a number if it is a gram or the start; that of a word is met as a word only.
     packed = _packed(spark, bits=_bitmap(numbers.where(F.col("c").isNull()).select("h")), **arrays)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    _release(spark)
     scored = scratch.write(source.mapInArrow(_score(packed, tree.n, tree.v, depth), _SCORED), "scored")
     c = F.coalesce(F.col("c"), F.lit(0))
     base = F.when(F.col("is_word"), F.log10((c + 0.1) / F.lit(tree.n + 0.1 * (tree.v + 1))))
