@@ -81,7 +81,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     # Only texts with a hit are read as tokens again: found by a broadcast of their ids where these are few, else by a merge join.
     ids = F.broadcast(ids) if ids.count() <= few else ids.hint("merge")
     texts = source.join(ids, source["doc_id"].eqNullSafe(ids["near_id"]), "left_semi").select(F.col("doc_id").alias("text_id"), _token_hashes().alias("wh"))
-    pairs = texts.join(near, texts["text_id"].eqNullSafe(near["doc_id"])).join(items.select(F.col("item_id").alias("of"), F.col("wh").alias("iw")), F.col("item_id") == F.col("of"))
+    pairs = texts.join(near, texts["text_id"].eqNullSafe(near["doc_id"])).join(items.select(F.col("item_id").alias("of"), F.col("wh").alias("iw")), F.col("item_id").eqNullSafe(F.col("of")))
     compared = F.least(F.size("iw"), F.lit(window))
     first = F.greatest(-F.col("diag"), F.lit(0))  # of the item's tokens that lie over the document
     over = F.least(F.size("iw"), F.size("wh") - F.col("diag")) - first

@@ -70,6 +70,13 @@ def test_leaks_equal_brute_force(spark, part, few):
     assert decontaminate.find_leaks(documents(spark), bench.where("false")).count() == 0
 
 
+def test_leaks_of_an_item_without_id(spark):
+    text = prose(100, 30)
+    bench = spark.createDataFrame([(None, text), (1, prose(101, 30))], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.find_leaks(documents(spark, [(1, text, "en"), (2, prose(102, 30), "en")]), bench).collect()]
+    assert got == [(1, None, 20, 20)]
+
+
 def brute_top(vectors, k=5):
     out = []
     for q, a in vectors.items():
