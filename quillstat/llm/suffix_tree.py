@@ -22,8 +22,13 @@ a gram in it, and texts are scored by one join of their grams with a table of th
 
 Tables: counts, states and numbers stay in written tables, joined by 64-bit hashes (a word's XXH64; a gram's is Spark's
 xxhash64 of the hashes without its last and without its first token). Only two things of bounded size are broadcast and
-neither changes a result: a bitmap of hashes (MAP_BITS at most), whose false positives are counted or joined in vain, and
-the numbers of grams with a share of CACHED of all tokens, which are added in place and so never meet in one task.
+neither changes a result: a bitmap of hashes (MAP_BITS at most), whose false positives are counted or looked up in vain,
+and the numbers of grams with a share of CACHED of all tokens, which are added in place and so never meet in one task.
+
+Blocks: counts and look-ups are shuffled as packed arrays, one a bucket of hash space and window of WINDOWS tokens, each
+summed in its window before; the number of buckets grows with the texts, so a bucket holds a bounded number of grams at
+any size. Texts are cut into windows of whole documents. A window asks every bucket for the numbers of its grams, the
+bucket answers with sums by document, and the answers meet again at the window.
 
 Defined cases: a null or empty text is the end token alone; with nothing to learn from, all counts are zero, and the
 score is that of unknown symbols, 0 each; equal doc_ids are separate rows; other columns play no part.
@@ -47,14 +52,14 @@ from quillstat.llm.common import Scratch, bucket_of_id, table, text_of
 
 DEPTH, DISCOUNT, GAIN, FEWEST = 3, 0.5, 30.0, 3
 FOLDS = 10
-CACHED, MAP_BITS = 2e-7, 1 << 27
+CACHED, MAP_BITS = 2e-7, 1 << 28
 #: The hash of what stands before a text: no word holds a space.
 START_HASH = xxhash.xxh64_intdigest(b" ")
 #: Symbols of the gathered model: an unknown word, what stands before a text; the words follow.
 REST, START, FIRST = 0, 1, 2
 BITS = 20
-#: Windows held before they are passed on; characters of text handled at once.
-WINDOWS, CHARS = 1 << 21, 1 << 20
+#: Tokens held before they are passed on; characters of text handled at once; characters of the corpus for one bucket.
+WINDOWS, CHARS, BUCKET_CHARS = 1 << 21, 1 << 20, 1 << 22
 
 
 def words_of(text: str) -> list[bytes]:
@@ -124,22 +129,99 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+def bucket_bits(texts: DataFrame) -> int:
+    """The number of buckets is 2 to this: a few a shuffle partition, and one for every BUCKET_CHARS characters of all texts (t)."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    wanted = max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
+    return min((wanted - 1).bit_length(), 24)
 
-    def out() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([_longs(h), pa.array(n)], ["h", "n"])
 
-    for b in batches:
-        for part in _parts(b.column(0).to_pylist()):
-            held.append(_hashes(part)[0])
-            size += len(held[-1])
-            if size >= WINDOWS:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packs(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """bucket: sorted. The buckets there are, and of each column the bytes of each bucket."""
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    return [pa.array(bucket[cuts[:-1]], pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns)]
+
+
+def _count_blocks(packed: object, order: int, bits: int):
+    """(p, ctx, suf, n): per bucket and window the grams of an order whose two parts are in the bitmap, and their counts; of order 1 all words, as ctx."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = None if packed is None else np.load(io.BytesIO(packed.value))["bits"]
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            by = np.argsort(parts[0])
+            h = parts[0][by]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, first, n = h[starts], by[starts], np.diff(starts, append=len(h))
+            context, suffix = (h, h[:0]) if order == 1 else (parts[1][first], parts[2][first])
+            bucket = _buckets(h, bits)
+            p, ctx, counts = _packs(bucket, context, n.astype(np.uint32))
+            suf = _packs(bucket, suffix)[1] if order > 1 else pa.array([b""] * len(p), pa.binary())
+            return pa.RecordBatch.from_arrays([p, ctx, suf, counts], ["p", "ctx", "suf", "n"])
+
+        for b in batches:
+            for part in _parts(b.column(0).to_pylist()):
+                h, length = _hashes(part)
+                if order == 1:
+                    held.append((h,))
+                else:
+                    *_, (_, grams, context, suffix) = _orders(h, length, order)
+                    on = _in_map(often, context) & _in_map(often, suffix)
+                    held.append((grams[on], context[on], suffix[on]))
+                size += len(held[-1][0])
+                if size >= WINDOWS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def _add_up(order: int, fewest: int):
+    """Blocks sorted by bucket to (h, ctx, suf, n) rows of at least `fewest` occurrences; holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            context, suffix, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.uint64, np.uint64, np.uint32), strict=True))
+            h = context if order == 1 else pair_hash(context, suffix)
+            by = np.argsort(h)
+            h = h[by]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total = np.add.reduceat(n[by].astype(np.int64), starts)
+            starts, total = starts[total >= fewest], total[total >= fewest]
+            for lo in range(0, len(total), 1 << 16):
+                cut = starts[lo : lo + (1 << 16)]
+                first = by[cut]
+                yield pa.RecordBatch.from_arrays([_longs(h[cut]), _longs(context[first]), _longs((suffix if order > 1 else context)[first]), pa.array(total[lo : lo + (1 << 16)])], ["h", "ctx", "suf", "n"])
+
+        for b in batches:
+            for p, *block in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if p != bucket:
+                    if held:
+                        yield from out()
+                    bucket, held = p, []
+                held.append(block)
+        if held:
+            yield from out()
+
+    return run
+
+
+def count_grams(texts: DataFrame, order: int, bits: int, often: DataFrame | None = None, fewest: int = 1) -> DataFrame:
+    """texts: (t); often: (h), what is long enough to stay of the order before. (h, ctx, suf, n) of the grams of `fewest` occurrences."""
+    packed = None if often is None else _packed(texts.sparkSession, bits=_bitmap(often))
+    blocks = texts.mapInArrow(_count_blocks(packed, order, bits), "p int, ctx binary, suf binary, n binary")
+    return blocks.repartition("p").sortWithinPartitions("p").mapInArrow(_add_up(order, fewest), "h long, ctx long, suf long, n long")
 
 
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -166,36 +248,6 @@ def _packed(spark: SparkSession, **arrays: object) -> object:
     return spark.sparkContext.broadcast(out.getvalue())
 
 
-def _count_grams(packed: object, order: int):
-    """Sums per task of the grams of an order whose two parts are in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.load(io.BytesIO(packed.value))["bits"]
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            h, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            for lo in range(0, len(n), 1 << 17):
-                at = first[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([_longs(context[at]), _longs(suffix[at]), pa.array(n[lo : lo + (1 << 17)])], ["ctx", "suf", "n"])
-
-        for b in batches:
-            for part in _parts(b.column(0).to_pylist()):
-                for k, (_, h, context, suffix) in enumerate(_orders(*_hashes(part), order), 2):
-                    if k == order:
-                        on = _in_map(bits, context) & _in_map(bits, suffix)
-                        held.append((h[on], context[on], suffix[on]))
-                        size += len(held[-1][0])
-                if size >= WINDOWS:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            yield from out()
-
-    return run
-
-
 class Tree:
     """Written tables of a trained tree: words (h, n), the start among them; for each depth from 1 states (ctx, left,
     total) that are retained, and rows (h, ctx, suf, n, p, more): all grams of the next order, with the probability of
@@ -212,12 +264,22 @@ class Tree:
         return DISCOUNT * self.v / self.n if self.n else 1.0
 
     def numbers(self) -> DataFrame:
-        """(h, c, v, n): for each gram what it adds to the log10 score, v; c: a word's count; n: occurrences."""
+        """(h, c, v, n): what a gram adds to the log10 score, v; c: a word's count; n: occurrences. A gram that is a row or a word and a context too has two rows, to be added up."""
         none = F.lit(None).cast("long").alias("c")
         found = [self.words.where(F.col("h") != _signed(START_HASH)).select("h", F.col("n").alias("c"), F.log10((F.col("n") - DISCOUNT) / float(max(self.n, 1))).alias("v"), "n")]
         found += [s.select(F.col("ctx").alias("h"), none, F.log10("left").alias("v"), F.col("total").alias("n")) for s in self.states]
         found += [r.where(F.col("more").isNotNull()).select("h", none, F.col("more").alias("v"), "n") for r in self.rows]
-        return reduce(DataFrame.unionAll, found).groupBy("h").agg(F.max("c").alias("c"), F.sum("v").alias("v"), F.max("n").alias("n"))
+        return reduce(DataFrame.unionAll, found)
+
+
+def _merged(h: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by hash, equal ones added up."""
+    by = np.argsort(h, kind="stable")
+    h = h[by]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    if not len(starts):
+        return h, c, v
+    return h[starts], np.maximum.reduceat(c[by], starts), np.add.reduceat(v[by], starts)
 
 
 def _signed(h: int) -> int:
@@ -225,21 +287,27 @@ def _signed(h: int) -> int:
 
 
 def _learn(grams: DataFrame, before: DataFrame, counts: DataFrame, scratch: Scratch, d: int) -> tuple[DataFrame, DataFrame]:
-    """grams: (ctx, suf, n, h) of order d + 1; before: (suf, parent); counts: (ctx, total). The states and rows of depth d."""
+    """grams: (ctx, suf, n, h) of order d + 1; before: (suf, parent); counts: (ctx, total). The states and rows of depth d.
+
+    Joins build on the side of unique keys, a share of which is in each of the partitions, and stream the other.
+    """
     sums = grams.groupBy("ctx").agg(F.sum("n").alias("given"), F.count("*").alias("k"))
-    stats = sums.join(counts, "ctx").withColumn("left", F.greatest(1.0 - (F.col("given") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-12)))
+    stats = sums.hint("shuffle_hash").join(counts, "ctx").withColumn("left", F.greatest(1.0 - (F.col("given") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-12)))
     stats = scratch.write(stats, f"stats-{d}")
-    wide = scratch.write(grams.join(before, "suf").join(stats.select("ctx", "total", "left"), "ctx"), f"wide-{d}")
+    wide = scratch.write(grams.join(before.hint("shuffle_hash"), "suf").join(stats.select("ctx", "total", "left").hint("shuffle_hash"), "ctx"), f"wide-{d}")
     # Each occurrence left out in turn: its row has one less, the context too.
     without = (F.col("n") - 1 - DISCOUNT + F.col("left") * F.col("total") * F.col("parent")) / F.greatest(F.col("total") - 1, F.lit(1))
     known = wide.groupBy("ctx").agg(F.sum(F.col("n") * F.log(without / F.col("parent"))).alias("known"))
     other = F.greatest(F.col("total") - F.col("given"), F.lit(0)) * F.log("left")
-    states = scratch.write(stats.join(known, "ctx").where(F.col("known") + other >= GAIN).select("ctx", "left", "total"), f"states-{d}")
+    states = scratch.write(stats.join(known.hint("shuffle_hash"), "ctx").where(F.col("known") + other >= GAIN).select("ctx", "left", "total"), f"states-{d}")
     p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("parent")
     kept = F.col("is_kept").isNotNull()
-    rows = wide.join(states.select("ctx", F.lit(True).alias("is_kept")), "ctx", "left")
+    rows = wide.join(states.select("ctx", F.lit(True).alias("is_kept")).hint("shuffle_hash"), "ctx", "left")
     rows = rows.select("h", "ctx", "suf", "n", F.when(kept, p).otherwise(F.col("parent")).alias("p"), F.when(kept, F.log10(p / F.col("left") / F.col("parent"))).alias("more"))
-    return states, scratch.write(rows, f"rows-{d}")
+    rows = scratch.write(rows, f"rows-{d}")
+    for name in ("grams", "stats", "wide"):
+        scratch.remove(f"{name}-{d}")
+    return states, rows
 
 
 def _release(spark: SparkSession) -> None:
@@ -248,19 +316,17 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
-    """docs: (text). Counts and learns in written tables."""
+def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, bits: int | None = None) -> Tree:
+    """docs: (text). Counts and learns in written tables; bits: see bucket_bits."""
     spark = docs.sparkSession
     texts = docs.select(text_of().alias("t"))
-    words = scratch.write(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    bits = bucket_bits(texts) if bits is None else bits
+    words = scratch.write(count_grams(texts, 1, bits).select("h", "n"), "words")
     token = words.where(F.col("h") != _signed(START_HASH))
     tree = Tree(words, *token.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    often, parent = words.where(F.col("n") >= FEWEST), token.select(F.col("h").alias("suf"), ((F.col("n") - DISCOUNT) / float(max(tree.n, 1))).alias("parent"))
+    often, parent = words.where(F.col("n") >= FEWEST), token.where(F.col("n") >= FEWEST).select(F.col("h").alias("suf"), ((F.col("n") - DISCOUNT) / float(max(tree.n, 1))).alias("parent"))
     for d in range(1, depth + 1):
-        counted = texts.mapInArrow(_count_grams(_packed(spark, bits=_bitmap(often.select("h"))), d + 1), "ctx long, suf long, n long")
-        grams = counted.groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST).withColumn("h", F.xxhash64("ctx", "suf"))
-        grams = scratch.write(grams, f"grams-{d}")
-        del counted
+        grams = scratch.write(count_grams(texts, d + 1, bits, often.select("h"), FEWEST), f"grams-{d}")
         _release(spark)
         states, rows = _learn(grams, parent, often.select(F.col("h").alias("ctx"), F.col("n").alias("total")), scratch, d)
         tree.states.append(states)
@@ -343,18 +409,55 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     return Model.of(tree), tree.words
 
 
-def _score(packed: object, n: int, v: int, depth: int):
-    """is_word null: a document's sums over cached grams; true: one of its other words; false: one of its other grams that may have a number."""
+NUMBER, GRAM, WORD, DOCS = range(4)
+_SENT = "p int, kind int, w long, h long, c long, v double, keys binary, docs binary, ids array<long>"
+_SENT_ARROW = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("v", pa.float64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_FOUND = "w long, kind int, p int, docs binary, score binary, base binary, known binary, ids array<long>"
+_FOUND_ARROW = pa.schema([("w", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _record(schema: pa.Schema, n: int, **columns: object) -> pa.RecordBatch:
+    """A batch of n rows; columns that are not given are null."""
+    given = {k: v if isinstance(v, pa.Array) else pa.array(v, schema.field(k).type) for k, v in columns.items()}
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _base(count: np.ndarray, n: int, v: int) -> np.ndarray:
+    return np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+
+
+def _ask(packed: object, n: int, v: int, depth: int, bits: int):
+    """Per window w: a row of its documents with their sums over cached grams, and for each bucket the other words, and grams that may have a number, with the window's document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.load(io.BytesIO(packed.value))
-        bits, key, count, value = x["bits"], x["h"], x["c"], x["v"]
-        own_base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
-        uid = TaskContext.get().partitionId() << 40
+        often, key, value, own_base = x["bits"], x["h"], x["v"], _base(x["c"], n, v)
+        window = TaskContext.get().partitionId() << 32
+        ids, tokens, asked, parts = [], 0, {GRAM: [], WORD: []}, []
+
+        def add(h: np.ndarray, doc: np.ndarray, kind: int, sums: np.ndarray) -> None:
+            at = _position(key, h.view(np.int64))
+            on, off = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            sums[2] += np.bincount(doc[on], value[at[on]], sums.shape[1])
+            if kind == WORD:
+                sums[0] += np.bincount(doc[on], minlength=sums.shape[1])
+                sums[1] += np.bincount(doc[on], own_base[at[on]], sums.shape[1])
+            asked[kind].append((h[off], doc[off] + len(ids)))
 
-        def batch(**columns: object) -> pa.RecordBatch:
-            n = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCORED_ARROW], schema=_SCORED_ARROW)
+        def out() -> Iterator[pa.RecordBatch]:
+            length, known, base, total = np.concatenate(parts, axis=1)
+            yield _record(_SENT_ARROW, 1, p=[window % (1 << bits)], kind=[DOCS], w=[window], ids=[ids], keys=[length.tobytes()], docs=[np.stack([known, base, total]).tobytes()])
+            for kind, found in asked.items():
+                h, doc = (np.concatenate(y) for y in zip(*found, strict=True))
+                if len(h):
+                    bucket = _buckets(h, bits)
+                    by = np.argsort((bucket << 32) | doc, kind="stable")
+                    doc, bucket = doc[by], bucket[by]
+                    step = np.diff(doc, prepend=0)
+                    step[1:][bucket[1:] != bucket[:-1]] = doc[1:][bucket[1:] != bucket[:-1]]
+                    p, keys, docs = _packs(bucket, h[by], step.astype(np.uint32))
+                    yield _record(_SENT_ARROW, len(p), p=p, kind=[kind] * len(p), w=[window] * len(p), keys=keys, docs=docs)
 
         for b in batches:
             doc_ids, done = b.column(0).to_pylist(), 0
@@ -363,68 +466,108 @@ def _score(packed: object, n: int, v: int, depth: int):
                 doc, first = np.repeat(np.arange(len(part)), length), np.cumsum(length) - length
                 word = np.ones(len(h), bool)
                 word[first] = False
-                base, score, known, later = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part)), []
-
-                def add(h: np.ndarray, doc: np.ndarray, is_word: bool) -> None:
-                    at = _position(key, h.view(np.int64))
-                    on = np.flatnonzero(at >= 0)
-                    score[:] += np.bincount(doc[on], value[at[on]], len(part))
-                    if is_word:
-                        base[:] += np.bincount(doc[on], own_base[at[on]], len(part))
-                        known[:] += np.bincount(doc[on], minlength=len(part))
-                    off = np.flatnonzero(at < 0)
-                    if len(off):
-                        later.append(batch(uid=uid + doc[off], h=h[off].view(np.int64), is_word=np.full(len(off), is_word)))
-
-                add(h[word], doc[word], True)
+                sums = np.zeros((3, len(part)))
+                add(h[word], doc[word], WORD, sums)
                 for end, grams, *_ in [(first, h[first]), *_orders(h, length, depth + 1)]:
-                    on = _in_map(bits, grams)
-                    add(grams[on], doc[end[on]], False)
-                yield batch(uid=uid + np.arange(len(part)), doc_id=doc_ids[done : done + len(part)], n_tokens=length - 1, n_known=known.astype(np.int64), base=base, score=score)
-                yield from later
-                uid += len(part)
-                done += len(part)
+                    on = _in_map(often, grams)
+                    add(grams[on], doc[end[on]], GRAM, sums)
+                parts.append(np.concatenate([[length - 1.0], sums]))
+                ids += doc_ids[done : done + len(part)]
+                done, tokens = done + len(part), tokens + len(h)
+                if tokens >= WINDOWS:
+                    yield from out()
+                    window, ids, tokens, asked, parts = window + 1, [], 0, {GRAM: [], WORD: []}, []
+        if ids:
+            yield from out()
 
     return run
 
 
-_SCORED = "is_word boolean, uid long, doc_id long, n_tokens long, n_known long, base double, score double, h long"
-_SCORED_ARROW = pa.schema([("is_word", pa.bool_()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("h", pa.int64())])
+def _answer(n: int, v: int, unknown: float):
+    """Rows sorted by bucket, its numbers first, to sums by document for each block asked; holds one bucket's numbers. Document rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, numbers, table = None, [], None
+        for b in batches:
+            p, kind = b.column("p").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(p)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if p[i] != bucket:
+                    bucket, numbers, table = p[i], [], None
+                if kind[i] == NUMBER:
+                    numbers.append([b.column(k)[i:j].to_numpy() for k in ("h", "c", "v")])
+                    continue
+                rows = b.slice(i, j - i)
+                if kind[i] == DOCS:
+                    yield _record(_FOUND_ARROW, j - i, w=rows.column("w"), kind=rows.column("kind"), p=rows.column("p"), docs=rows.column("keys"), score=rows.column("docs"), ids=rows.column("ids"))
+                    continue
+                if table is None:
+                    table = _merged(*(np.concatenate(y) for y in zip(*numbers, strict=True))) if numbers else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                h, c, value = table
+                found = []
+                for keys, docs in zip(rows.column("keys"), rows.column("docs"), strict=True):
+                    at = _position(h, np.frombuffer(keys.as_buffer(), np.int64))
+                    step = np.frombuffer(docs.as_buffer(), np.uint32)
+                    starts = np.flatnonzero((step > 0) | (np.arange(len(step)) == 0))
+                    none = np.log10(unknown) if kind[i] == WORD else 0.0
+                    score = np.where(at >= 0, value[at], none) if len(h) else np.full(len(at), none)
+                    sums = [step[starts].tobytes(), np.add.reduceat(score, starts).tobytes(), None, None]
+                    if kind[i] == WORD:
+                        count = np.where(at >= 0, c[at], 0) if len(h) else np.zeros(len(at), np.int64)
+                        sums[2:] = np.add.reduceat(_base(count, n, v), starts).tobytes(), np.add.reduceat((count > 0).astype(np.uint32), starts).astype(np.uint32).tobytes()
+                    found.append(sums)
+                docs, score, base, known = zip(*found, strict=True)
+                yield _record(_FOUND_ARROW, j - i, w=rows.column("w"), kind=rows.column("kind"), p=rows.column("p"), docs=docs, score=score, base=base, known=known)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by window, its documents first, to one row a document."""
+    now, ids, length, sums = None, None, None, None
+
+    def out() -> pa.RecordBatch:
+        whole = (pa.array(ids, pa.int64()), pa.array(length.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]))
+        return pa.RecordBatch.from_arrays(list(whole), ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    for b in batches:
+        for w, kind, _, docs, score, base, known, its_ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if w != now:
+                if now is not None:
+                    yield out()
+                now, ids, length, sums = w, its_ids, np.frombuffer(docs), np.frombuffer(score).reshape(3, -1).copy()
+                continue
+            at = np.cumsum(np.frombuffer(docs, np.uint32), dtype=np.int64)
+            sums[2, at] += np.frombuffer(score)
+            if kind == WORD:
+                sums[1, at] += np.frombuffer(base)
+                sums[0, at] += np.frombuffer(known, np.uint32)
+    if now is not None:
+        yield out()
 
 
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH, cached: float = CACHED) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`, learning from those with `learn`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
-    tree = grow(docs.where(learn), scratch, depth)
-    numbers = scratch.write(tree.numbers(), "numbers")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    bits = bucket_bits(source)
+    tree = grow(docs.where(learn), scratch, depth, bits)
+    numbers = tree.numbers()
     hot = numbers.where(F.col("n") >= max(FEWEST, cached * tree.n)).select("h", F.coalesce("c", F.lit(0)).alias("c"), "v").toArrow()
-    order = np.argsort(hot["h"].to_numpy())
-    arrays = {name: hot[name].to_numpy()[order] for name in ("h", "c", "v")}
+    h, c, own = _merged(*(hot[name].to_numpy() for name in ("h", "c", "v")))
     # A hash of no word has a number if it is a gram or the start; that of a word is met as a word only.
-    packed = _packed(spark, bits=_bitmap(numbers.where(F.col("c").isNull()).select("h")), **arrays)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    packed = _packed(spark, bits=_bitmap(numbers.where(F.col("c").isNull()).select("h")), h=h, c=c, v=own)
     _release(spark)
-    scored = scratch.write(source.mapInArrow(_score(packed, tree.n, tree.v, depth), _SCORED), "scored")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    base = F.when(F.col("is_word"), F.log10((c + 0.1) / F.lit(tree.n + 0.1 * (tree.v + 1))))
-    own = F.coalesce(F.col("v"), F.when(F.col("is_word"), F.lit(float(np.log10(tree.unknown)))))
-    rest = (
-        scored.where(F.col("is_word").isNotNull())
-        .select("uid", "h", "is_word")
-        .join(numbers.select("h", "c", "v").hint("merge"), "h", "left")
-        .groupBy("uid")
-        .agg(F.sum(base).alias("more_base"), F.sum(own).alias("more_score"), F.count_if(F.col("is_word") & (c > 0)).alias("more_known"))
-    )
-    out = scored.where(F.col("is_word").isNull()).select("uid", "doc_id", "n_tokens", "n_known", "base", "score").join(rest.hint("merge"), "uid", "left")
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+    asked = source.mapInArrow(_ask(packed, tree.n, tree.v, depth, bits), _SENT)
+    known = numbers.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("p"), F.lit(NUMBER).alias("kind"), "h", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "v")
+    met = asked.unionByName(known, allowMissingColumns=True).repartition("p").sortWithinPartitions(F.col("p") * 4 + F.col("kind"))  # one number is sorted by its digits
+    answers = met.mapInArrow(_answer(tree.n, tree.v, tree.unknown), _FOUND)
+    # A window's documents come first: their kind is the highest.
+    out = answers.repartition("w").sortWithinPartitions("w", F.desc("kind"), "p").mapInArrow(_gather, _SCORED)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
