@@ -1,18 +1,20 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features: byte n-grams of 1 to ORDERS bytes of the text (A-Z lower-cased, white space runs as one space), hashed into
+Features: n-grams of 1 to ORDERS characters of the text (lower-cased, white space runs as one space), hashed into
 BUCKETS; tf is the square root of a bucket's count, idf the smoothed log of the share of documents without it, and a
 document's vector has length 1. Document frequencies cover every training document.
 
 Training: follow-the-regularised-leader (proximal, per-coordinate rates) with L1 and L2 penalties, over at most SAMPLE
-labelled documents (those of the lowest id hash; a fifth of them is set aside). The model is BUCKETS x languages doubles.
+labelled documents: each language has its share of them, LEAST at least (as far as it has so many), and those of its rows
+with the lowest hash of id and text; a fifth of them is set aside. Labels are counted over all training rows. The model is BUCKETS x languages doubles.
 The set-aside part then fixes the temperature that divides the logits, by least negative log likelihood.
 
 The features of the sampled documents, and one number a bucket, are all that reaches the driver: both bounded by the
 parameters. Prediction is one pass over whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled document to learn from,
-every text is `und`; a null lang is no label; repeated rows count as often as they stand; other columns play no part.
+every text is `und`; a null lang is no label; rows that share an id are told apart by their texts, and of rows that share
+both all or none are sampled; beyond SAMPLE / LEAST languages the rarest are left out; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,34 +22,35 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import bucket_of_id, table
 
 ORDERS, BUCKETS = 3, 1 << 14
-SAMPLE, EPOCHS = 4_000, 3
+SAMPLE, LEAST, EPOCHS = 4_000, 20, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: Bytes featurised in one go; longer texts are added up piece by piece.
+#: Characters featurised in one go; longer texts are added up piece by piece.
 PIECE = 1 << 20
 _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
-_SPACES = re.compile(rb"\s+")
+_SPACES = re.compile(r"\s+")
 
 
 def counts(text: str) -> np.ndarray:
     """How often each bucket's n-grams occur in the whole text."""
-    data = np.frombuffer(_SPACES.sub(b" ", b" " + text.encode().lower() + b" "), np.uint8).astype(np.uint32)
+    data = np.frombuffer(_SPACES.sub(" ", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), np.uint32)
     total = np.zeros(BUCKETS, np.int64)
     for lo in range(0, len(data), PIECE):
         x = data[lo : lo + PIECE + ORDERS - 1]
         gram = np.zeros(len(x), np.uint32)
         for n in range(1, ORDERS + 1):
-            gram = gram[: len(x) - n + 1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)
+            gram = gram[: len(x) - n + 1] * np.uint32(0x01000193) + x[n - 1 :] + np.uint32(1)
             starts = gram[:PIECE]
             h = (starts ^ (starts >> np.uint32(15))) * np.uint32(_MIX[n - 1])
             total += np.bincount(h >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS)
@@ -162,12 +165,20 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + n) / (1 + df)) + 1.0
     if not n:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    # The lowest hashes: a share of hash space that holds 1.2 times the bound, then the bound itself.
-    order = F.xxhash64("doc_id", F.length("text"))
+    # The lowest hashes of each language: a share of hash space that holds 1.2 times its part, its least hash at least; then the part itself.
+    order = F.xxhash64("doc_id", "text")
+    part = {}
     if n > sample:
-        rows = rows.where(order < int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / n + 1e-9) - 1))
+        labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "lang").limit(max(1, sample // LEAST)).collect()
+        part = {r.lang: max(min(LEAST, sample), sample * r.n // n) for r in labels}
+        below = {r.lang: max(r.first, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.2 * part[r.lang] / r.n)))) for r in labels}
+        limits = docs.sparkSession.createDataFrame(list(below.items()), "of string, below long")
+        rows = rows.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(order <= F.col("below"))
     chosen = rows.select(order.alias("h"), "lang", "text").mapInArrow(_counted, "h long, lang string, at binary, c binary")
-    got = sorted((r.h, r.lang, bytes(r.at), bytes(r.c)) for r in chosen.orderBy("h", "lang", "at", "c").limit(sample).collect())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "c"))
+    chosen = chosen.withColumn("nth", nth)
+    chosen = chosen.where(reduce(lambda a, x: a | ((F.col("lang") == x[0]) & (F.col("nth") <= x[1])), part.items(), F.lit(False))) if part else chosen
+    got = sorted((r.h, r.lang, bytes(r.at), bytes(r.c)) for r in chosen.collect())
     got = [(lang, np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(c, "<u4")) for _, lang, at, c in got]
     langs = sorted({lang for lang, _, _ in got})
     vectors = []

@@ -11,13 +11,15 @@ Layout (`write_store`): Parquet files in ascending doc_id order. A document row
 addresses of its chunks), their Merkle root, its offset in the file's id stream, and the bytes of the chunks that it
 owns. A chunk that several documents hold is owned by one of them and stored only there. `flags` says for each chunk:
 0 owned, 1 owned and used by others, 2 stored elsewhere, 3 a repeat of one earlier in the document. Each file ends with a
-manifest row: the number of its documents and ids, and the Merkle root over its documents' roots.
+manifest row: the number of its documents and ids, and the Merkle root over its documents' roots. Beside the files, at
+`<path>-manifest`, one row holds the same of the whole store, its root over the files' roots.
 
 Only chunk addresses are shuffled to find owners, never their bytes; the bytes move once, to be put in order.
 
-Reading: `read_checksums` checks every stored chunk against its address and every recipe and file against its Merkle
-root, and returns each document's place and CRC-32. It carries chunk CRCs over the join, not chunk bytes, and combines
-them. `read_documents` returns the ids themselves. Both raise ValueError where the store is damaged.
+Reading: `verify` checks the store against its manifests: every file's documents, ids, offsets and Merkle root, and all
+files against the whole store's. `read_checksums` does so, checks every stored chunk against its address and every recipe against its Merkle root, and returns each document's place and CRC-32. It carries chunk CRCs over the join, not chunk bytes, and combines
+them. `read_documents` returns the ids themselves, after the same checks. A missing document, file or chunk raises
+ValueError; a chunk or recipe that does not match raises it in the task that reads it.
 
 Defined cases: a null or empty text is the end id alone; rows with equal or null doc_id are separate documents (null
 first, equal ones in no fixed order); an empty table gives an empty store; other columns play no part.
@@ -26,6 +28,7 @@ first, equal ones in no fixed order); an empty table gives an empty store; other
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -59,18 +62,36 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+#: How a vocabulary file must cut texts for words to be encoded apart.
+_NORMALIZERS, _CUTTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+def _cuts_at_spaces(path: str) -> bool:
+    """Whether the file's tokenizer lower-cases, drops white space and splits at it, and does nothing else around its model."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    names = lambda part, field: [x["type"] for x in ((own.get(part) or {}).get(field) or [])]
+    split = next(iter((own.get("pre_tokenizer") or {}).get("pretokenizers") or []), {})
+    drops = split.get("behavior") == "Removed" and split.get("invert") is True and r"[^\s\p{L}\p{N}]+" in split.get("pattern", {}).get("Regex", "")
+    return names("normalizer", "normalizers") == _NORMALIZERS and names("pre_tokenizer", "pretokenizers") == _CUTTERS and drops and own["model"]["type"] == "BPE" and not own.get("post_processor")
+
+
 class WordEncoder:
-    """Encodes by words between ASCII spaces, which the tokenizer drops and never joins across; remembers at most MEMO words."""
+    """Encodes by words between ASCII spaces, which the tokenizer drops and never joins across; remembers at most MEMO words. A file of another kind is left to the library, text by text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _cuts_at_spaces(path)
         self.letters = _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
-        self.marks = {ord(c): int.to_bytes(self.tokenizer.encode(c, add_special_tokens=False).ids[0], self.width, "little") for c in ",."}
+        self.marks = {ord(c): self._alone(c) for c in ",."} if self.by_words else {}
+
+    def _alone(self, text: str) -> bytes:
+        return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         memo, tokenize, code = self.memo, self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
@@ -99,6 +120,9 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed in `width` bytes each."""
         out: list[bytes] = []
+        if not self.by_words:
+            code = "H" if self.width == 2 else "I"
+            return [array(code, e.ids).tobytes() for k in range(0, len(texts), TEXTS) for e in self.tokenizer.encode_batch_fast(texts[k : k + TEXTS], add_special_tokens=False)]
         for k in range(0, len(texts), TEXTS):
             cut = [text.encode().split() for text in texts[k : k + TEXTS]]
             if len(self.memo) > MEMO:  # the words met first are mostly the frequent ones
@@ -236,6 +260,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> Non
     )
     placed = rows.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
     placed.mapInArrow(_layout(vocabulary_width(vocabulary)), _STORED).write.option("compression", "zstd").parquet(path)
+    _of_store(docs.sparkSession.read.schema(_STORED).parquet(path)).write.parquet(f"{path}-manifest")
 
 
 # CRC-32 of a concatenation: crc(a + b) = shift(crc(a), len(b)) ^ crc(b), where shift multiplies by x^(8 len(b)).
@@ -310,16 +335,16 @@ def _checksums(width: int):
                         shared.append({"leaf": leaf, "crc": crcs[-1]})
                     elif flag == ELSEWHERE:
                         away.append(leaf)
-                rows.append((r["doc_id"], r["uid"], r["shard"], r["offset"], r["n_tokens"], r["lengths"], r["leaves"] if away else None, crcs, shared, away))
+                rows.append((r["doc_id"], r["uid"], r["shard"], r["offset"], r["n_tokens"], r["lengths"], r["leaves"] if away else None, crcs, shared, away, r["root"]))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("leaf", pa.binary()), ("crc", pa.int64())])), pa.list_(pa.binary())]
-                names = ["doc_id", "uid", "shard", "offset", "n_tokens", "lengths", "leaves", "crcs", "shared", "away"]
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("leaf", pa.binary()), ("crc", pa.int64())])), pa.list_(pa.binary()), pa.binary()]
+                names = ["doc_id", "uid", "shard", "offset", "n_tokens", "lengths", "leaves", "crcs", "shared", "away", "root"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-_CHECKED = "doc_id long, uid long, shard long, offset long, n_tokens long, lengths array<int>, leaves array<binary>, crcs array<long>, shared array<struct<leaf:binary,crc:long>>, away array<binary>"
+_CHECKED = "doc_id long, uid long, shard long, offset long, n_tokens long, lengths array<int>, leaves array<binary>, crcs array<long>, shared array<struct<leaf:binary,crc:long>>, away array<binary>, root binary"
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,6 +362,51 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
+_FILE_DOCS, _MANIFEST = "shard long, offset long, n_tokens long, root binary", "n_files long, n_docs long, n_tokens long, root binary"
+
+
+def _file_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, docs: (offset, n_tokens, root) by offset, n_docs, n_tokens, root) to (shard, wrong): what a file's documents break of its manifest."""
+    for b in batches:
+        wrong = []
+        for r in b.to_pylist():
+            docs, at = r["docs"] or [], 0
+            for d in docs:
+                at = at + d["n_tokens"] if d["offset"] == at else -1
+                if at < 0:
+                    break
+            fine = len(docs) == r["n_docs"] and at == r["n_tokens"] and merkle_root([d["root"] for d in docs]) == r["root"]
+            wrong.append(None if fine else f"file {r['shard']}: its documents do not match its manifest")
+        yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(wrong, pa.string())], ["shard", "wrong"])
+
+
+def _store_manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            files = r["files"] or []
+            row = len(files), sum(f["n_docs"] for f in files), sum(f["n_tokens"] for f in files), merkle_root([f["root"] for f in files])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["n_files", "n_docs", "n_tokens", "root"])
+
+
+def _of_store(store: DataFrame) -> DataFrame:
+    """One row: the manifest that the files' manifest rows make."""
+    files = store.where("n_docs is not null").agg(F.array_sort(F.collect_list(F.struct("shard", "n_docs", "n_tokens", "root"))).alias("files"))
+    return files.mapInArrow(_store_manifest, _MANIFEST)
+
+
+def verify(spark: SparkSession, path: str, docs: DataFrame | None = None) -> None:
+    """Raises ValueError unless the files at `path` hold just the documents of their manifests. docs: (shard, offset, n_tokens, root), where they are at hand."""
+    store = spark.read.schema(_STORED).parquet(path)
+    found = _of_store(store).first()
+    if found != spark.read.schema(_MANIFEST).parquet(f"{path}-manifest").first():
+        raise ValueError("the files' manifests do not match the store's manifest")
+    held = (store.where("n_docs is null") if docs is None else docs).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("offset", "n_tokens", "root"))).alias("docs"))
+    whole = held.join(store.where("n_docs is not null").select("shard", "n_docs", "n_tokens", "root"), "shard", "full").select("shard", "docs", F.coalesce("n_docs", F.lit(-1)).alias("n_docs"), "n_tokens", "root")
+    bad = whole.mapInArrow(_file_states, "shard long, wrong string").where("wrong is not null").first()
+    if bad:
+        raise ValueError(bad.wrong)
+
+
 def shard_starts(store: DataFrame) -> DataFrame:
     """(shard, first): ids in all files before each. The window is over one row a file."""
     files = store.where("n_docs is not null").select("shard", "n_tokens")
@@ -349,11 +419,14 @@ def read_checksums(spark: SparkSession, path: str, width: int) -> DataFrame:
     scratch = Scratch(spark, "token-read")
     store = spark.read.schema(_STORED).parquet(path)
     checked = scratch.write(store.where("n_docs is null").mapInArrow(_checksums(width), _CHECKED), "checked")
+    verify(spark, path, checked.select("shard", "offset", "n_tokens", "root"))
     crcs = checked.select(F.inline("shared"))
     wanted = checked.select("uid", F.explode("away").alias("leaf"))
-    found = wanted.join(crcs, "leaf").groupBy("uid").agg(F.collect_list(F.struct("leaf", "crc")).alias("found"))
+    found = wanted.join(crcs, "leaf", "left").groupBy("uid").agg(F.collect_list(F.struct("leaf", "crc")).alias("found"))
     found = scratch.write(found, "found")
-    whole = checked.drop("shared", "away").join(found, "uid", "left")
+    if not found.where(F.exists("found", lambda x: x["crc"].isNull())).isEmpty():
+        raise ValueError("a chunk that documents share is missing from the store")
+    whole = checked.drop("shared", "away", "root").join(found, "uid", "left")
     joined = whole.mapInArrow(_combine, "doc_id long, shard long, offset long, n_tokens long, ids_crc32 long")
     return joined.join(shard_starts(store), "shard").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -371,10 +444,13 @@ def _spread(width: int):
 
 def read_documents(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(doc_id, start, ids): the id stream of every document, rebuilt from its recipe; ids are `width`-byte little-endian."""
+    verify(spark, path)
     store = spark.read.schema(_STORED).parquet(path)
     parts = Scratch(spark, "token-read").write(store.where("n_docs is null").mapInArrow(_spread(width), "doc_id long, uid long, shard long, offset long, pos long, leaf binary, data binary, shared boolean"), "parts")
     shared = parts.where("shared").select("leaf", F.col("data").alias("held"))
-    away = parts.where("data is null").drop("data").join(shared, "leaf").withColumnRenamed("held", "data")
+    away = parts.where("data is null").drop("data").join(shared, "leaf", "left").withColumnRenamed("held", "data")
+    if not away.where("data is null").isEmpty():
+        raise ValueError("a chunk that documents share is missing from the store")
     whole = parts.where("data is not null").unionByName(away).groupBy("uid", "doc_id", "shard", "offset").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"))
     ids = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["data"]))
     return whole.join(shard_starts(store), "shard").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), ids.alias("ids"))

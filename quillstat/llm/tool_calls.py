@@ -3,26 +3,30 @@
 Calls and results are hash-joined by (conversation, identifier). A call's level is one more than the highest level of the
 calls that it depends on, so ascending levels are a topological order. Calls with one dependency at most form trees,
 whose depths come from pointer doubling (log of the depth rounds); what is left of the graph, calls with several
-dependencies, is relaxed round by round. No conversation is ever gathered in one task, so one that holds a third of all
+dependencies, is settled round by round, each round joining only the calls settled in the one before. No conversation is ever gathered in one task, so one that holds a third of all
 rows is no different from others.
 
-Arguments are parsed and validated against the tool's schema (a subset of JSON Schema: type, required, properties, enum,
-additionalProperties). A call is written as JSON with sorted keys and no spaces.
+Arguments are parsed and validated against the tool's schema (a subset of JSON Schema: type, required, properties, items,
+enum, additionalProperties, minimum, maximum, minLength, maxLength; an unknown type is refused before any work). A call
+is written as JSON with sorted keys and no spaces.
 
 Defined cases: a null identifier or conversation links nothing (the row stays, with no result); of calls, or results,
-that repeat an identifier in a conversation the one of the lowest turn counts (then the least text) and the rest are
-dropped; a dependency on an unknown call counts in n_missing and is otherwise ignored; calls on or behind a cycle have a
-null level; arguments that are no JSON object make a call invalid, and are written as a JSON string; a tool without a
+that repeat an identifier in a conversation the one of the lowest turn counts (then the least text), and n_repeats says
+how many others there are; a result without a call is a row of its own, not linked, with a null level; a dependency on an unknown call counts in n_missing and is otherwise ignored; calls on or behind a cycle have a
+null level; arguments that are no JSON object make a call invalid, and are written as a JSON string where they are no
+JSON at all, hold NaN or Infinity, or are nested too deep; lone surrogates are written escaped; a tool without a
 schema makes its calls invalid; other columns play no part.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import Scratch, table
@@ -30,12 +34,29 @@ from quillstat.llm.common import Scratch, table
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _kinds(schema: dict) -> list[str]:
+    kind = schema.get("type", [])
+    return [kind] if isinstance(kind, str) else list(kind)
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Raises ValueError for a type that is not one of JSON's."""
+    if unknown := [k for k in _kinds(schema) if k not in _TYPES]:
+        raise ValueError(f"{at}: unknown type {unknown[0]!r}")
+    for k, field in [*schema.get("properties", {}).items(), *([("items", schema["items"])] if "items" in schema else [])]:
+        check_schema(field, f"{at}.{k}")
+
+
 def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """What in `value` breaks `schema`, in document order."""
-    kind = schema.get("type")
-    if kind is not None and (not isinstance(value, _TYPES[kind]) or kind in ("integer", "number") and isinstance(value, bool)):
-        return [f"{at}: not of type {kind}"]
+    kinds = _kinds(schema)
+    if kinds and not any(isinstance(value, _TYPES[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in kinds):
+        return [f"{at}: not of type {' or '.join(kinds)}"]
     found = [f"{at}: not one of the listed values"] if "enum" in schema and value not in schema["enum"] else []
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        found.append(f"{at}: out of range")
+    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+        found.append(f"{at}: length out of range")
     if isinstance(value, dict):
         fields = schema.get("properties", {})
         found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -50,35 +71,56 @@ def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def _checked(name: str, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, list[str]]:
+    """The arguments, parsed where that is possible, and what is wrong with them."""
+    try:
+        value = json.loads(arguments or "", parse_constant=_refuse)
+        wrong = schema_errors(value, schemas[name] | {"type": "object"}) if name in schemas else ["$: unknown tool"]
+        canonical(value)
+    except RecursionError:
+        return arguments, ["$: nested too deep"]
+    except ValueError:  # also a number that is no finite double
+        return arguments, ["$: not JSON"]
+    return value, wrong
 
 
 def _written(schemas: dict[str, dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, errors = [], []
-            for call_id, name, arguments, result in zip(*(b.column(c).to_pylist() for c in ("call_id", "name", "arguments", "result")), strict=True):
-                try:
-                    value = json.loads(arguments or "")
-                except ValueError:
-                    value, wrong = arguments, ["$: not JSON"]
+            linked = []
+            for is_call, call_id, name, arguments, result in zip(*(b.column(c).to_pylist() for c in ("is_call", "call_id", "name", "arguments", "result")), strict=True):
+                if is_call:
+                    value, wrong = _checked(name, arguments, schemas)
+                    texts.append(canonical({"arguments": value, "id": call_id, "name": name, "result": result}))
                 else:
-                    wrong = schema_errors(value, schemas[name] | {"type": "object"}) if name in schemas else ["$: unknown tool"]
-                texts.append(canonical({"arguments": value, "id": call_id, "name": name, "result": result}))
-                errors.append("; ".join(wrong))
-            keep = [b.column(c) for c in ("conv_id", "call_id", "turn", "level", "n_missing")]
-            linked = [r is not None for r in b.column("result").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(linked), pa.array(errors, pa.string()), pa.array(texts, pa.string())], ["conv_id", "call_id", "turn", "level", "n_missing", "linked", "errors", "json"])
+                    wrong = ["$: result without a call"]
+                    texts.append(canonical({"id": call_id, "result": result}))
+                errors.append(_SURROGATE.sub("?", "; ".join(wrong)))
+                linked.append(is_call and result is not None)
+            keep = [b.column(c) for c in ("conv_id", "call_id", "turn", "level", "n_missing", "n_repeats")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(linked, pa.bool_()), pa.array(errors, pa.string()), pa.array(texts, pa.string())], ["conv_id", "call_id", "turn", "level", "n_missing", "n_repeats", "linked", "errors", "json"])
 
     return run
 
 
 def _first(rows: DataFrame, *tie: str) -> DataFrame:
-    """One row of each (conv_id, call_id): the least (turn, tie...)."""
+    """One row of each (conv_id, call_id): the least (turn, tie...), and `repeats`, how many others there are."""
     named = rows.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
-    best = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", *tie))
-    return named.withColumn("nth", best).where("nth = 1").drop("nth")
+    order = F.struct("turn", *tie, *[c for c in rows.columns if c not in ("conv_id", "call_id", "turn", *tie)])
+    return named.groupBy("conv_id", "call_id").agg(F.min(order).alias("first"), (F.count("*") - 1).alias("repeats")).select("conv_id", "call_id", "first.*", "repeats")
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,14 +145,21 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     done = scratch.write(degree.where("n = 0").select("conv_id", F.col("call_id").alias("head"), F.lit(0).cast("long").alias("level")), "done-0")
     many = degree.where("n > 1").select("conv_id", "call_id", "n")
     wide = known.where("known").join(many, ["conv_id", "call_id"]).join(settled.select("conv_id", F.col("call_id").alias("dep"), F.col("head").alias("dep_head"), "dist"), ["conv_id", "dep"], "left")
-    wide, rounds = scratch.write(wide.select("conv_id", F.col("call_id").alias("head"), "n", "dep_head", "dist"), "wide"), 0
-    size, before = done.count(), -1
-    while size != before and not wide.isEmpty():
+    wide, rounds = scratch.write(wide.select("conv_id", F.col("call_id").alias("head"), "dep_head", "dist"), "wide"), 0
+    # What each unsettled head has met so far; a round joins only the heads that the one before has settled.
+    waiting = many.select("conv_id", F.col("call_id").alias("head"), "n", F.lit(0).cast("long").alias("met"), F.lit(0).cast("long").alias("level"))
+    settled_now, all_done = done, [done]
+    while not wide.isEmpty():
         rounds += 1
-        ready = wide.join(done.select("conv_id", F.col("head").alias("dep_head"), "level"), ["conv_id", "dep_head"]).groupBy("conv_id", "head", "n").agg(F.count("*").alias("met"), (F.max(F.col("level") + F.col("dist")) + 1).alias("level")).where("met = n")
-        new = ready.select("conv_id", "head", "level").join(done, ["conv_id", "head"], "left_anti")
-        done = scratch.write(done.unionByName(new), f"done-{rounds}")
-        size, before = done.count(), size
+        hits = wide.join(settled_now.select("conv_id", F.col("head").alias("dep_head"), "level"), ["conv_id", "dep_head"])
+        hits = hits.groupBy("conv_id", "head").agg(F.count("*").alias("more"), (F.max(F.col("level") + F.col("dist")) + 1).alias("high"))
+        met = waiting.join(hits, ["conv_id", "head"], "left").select("conv_id", "head", "n", (F.col("met") + F.coalesce("more", F.lit(0))).alias("met"), F.greatest("level", F.coalesce("high", F.lit(0))).alias("level"))
+        met = scratch.write(met, f"met-{rounds}")
+        settled_now, waiting = met.where("met = n").select("conv_id", "head", "level"), met.where("met < n")
+        if settled_now.isEmpty():
+            break
+        all_done.append(settled_now)
+    done = reduce(DataFrame.unionByName, all_done)
     placed = settled.join(done, ["conv_id", "head"]).select("conv_id", "call_id", (F.col("level") + F.col("dist")).alias("level"))
     return degree.select("conv_id", "call_id", "n_missing").join(placed, ["conv_id", "call_id"], "left")
 
@@ -118,23 +167,31 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls: (conv_id, call_id, turn, name, arguments, depends_on); results: (conv_id, call_id, turn, content).
 
-    (conv_id, call_id, turn, level, n_missing, linked, errors, json): `errors` is empty for valid arguments.
+    (conv_id, call_id, turn, level, n_missing, n_repeats, linked, errors, json): `errors` is empty for valid arguments.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     scratch = Scratch(calls.sparkSession, "tool-calls")
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on")
     results = results.select("conv_id", "call_id", "turn", "content")
     kept = scratch.write(_first(calls, "name", "arguments"), "calls")
-    found = _first(results, "content").select("conv_id", "call_id", F.coalesce("content", F.lit("")).alias("result"))
-    placed = kept.join(levels(kept, scratch), ["conv_id", "call_id"]).join(found, ["conv_id", "call_id"], "left")
-    nameless = calls.where(F.col("conv_id").isNull() | F.col("call_id").isNull())
-    columns = ["conv_id", "call_id", "turn", "level", "n_missing", "name", "arguments", "result"]
-    rest = nameless.select("conv_id", "call_id", "turn", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("n_missing"), "name", "arguments", F.lit(None).cast("string").alias("result"))
-    whole = placed.select(*columns).unionByName(rest.select(*columns))
-    return whole.mapInArrow(_written(schemas), "conv_id long, call_id string, turn long, level long, n_missing long, linked boolean, errors string, json string")
+    found = _first(results, "content").select("conv_id", "call_id", F.col("turn").alias("result_turn"), F.coalesce("content", F.lit("")).alias("result"), F.col("repeats").alias("result_repeats"))
+    found = scratch.write(found, "results")
+    placed = kept.join(levels(kept, scratch), ["conv_id", "call_id"])
+    none, text, zero = F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(0).cast("long")
+    # A full join: what has no call is a result alone.
+    is_call = F.col("is_call").isNotNull()
+    linked = placed.withColumn("is_call", F.lit(True)).join(found, ["conv_id", "call_id"], "full")
+    linked = linked.select("conv_id", "call_id", F.coalesce("turn", "result_turn").alias("turn"), "level", "n_missing", (F.coalesce("repeats", zero) + F.coalesce("result_repeats", zero)).alias("n_repeats"), is_call.alias("is_call"), "name", "arguments", "result")
+    unnamed = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    rest = calls.where(unnamed).select("conv_id", "call_id", "turn", zero.alias("level"), zero.alias("n_missing"), zero.alias("n_repeats"), F.lit(True).alias("is_call"), "name", "arguments", text.alias("result"))
+    alone = results.where(unnamed).select("conv_id", "call_id", "turn", none.alias("level"), none.alias("n_missing"), zero.alias("n_repeats"), F.lit(False).alias("is_call"), text.alias("name"), text.alias("arguments"), F.coalesce("content", F.lit("")).alias("result"))
+    whole = linked.unionByName(rest).unionByName(alone)
+    return whole.mapInArrow(_written(schemas), "conv_id long, call_id string, turn long, level long, n_missing long, n_repeats long, linked boolean, errors string, json string")
 
 
-#: The tool that stands for a turn of plain chat.
-TURN_SCHEMAS = {"reply": {"required": ["n_chars", "text"], "properties": {"n_chars": {"type": "integer"}, "text": {"type": "string"}}, "additionalProperties": False}}
+#: The tool that stands for a turn of plain chat; turns that are longer or shorter make their calls invalid.
+TURN_SCHEMAS = {"reply": {"required": ["n_chars", "text"], "properties": {"n_chars": {"type": "integer", "maximum": 350}, "text": {"type": "string", "minLength": 20}}, "additionalProperties": False}}
 
 
 def calls_of_turns(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,16 +210,21 @@ def calls_of_turns(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
     found = link_calls(calls, results, TURN_SCHEMAS)
-    return found.select("conv_id", "call_id", "level", "n_missing", "linked", (F.col("errors") == "").alias("valid"), F.sha2("json", 256).alias("json_sha256"))
+    return found.select("conv_id", "call_id", "level", "n_missing", "n_repeats", "linked", (F.col("errors") == "").alias("valid"), F.sha2("json", 256).alias("json_sha256"))
 
 
 SQL = """
-WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn - 1 AS turn, coalesce(text, '') AS result FROM conversations WHERE role = 'assistant'),
+WITH rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) OVER k - 1 AS repeats, row_number() OVER (k ORDER BY text) AS nth
+  FROM conversations WINDOW k AS (PARTITION BY conv_id, turn, role)),
+u AS (SELECT conv_id, turn, text, repeats, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM rows WHERE role = 'user' AND nth = 1),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS result, repeats FROM rows WHERE role = 'assistant' AND nth = 1),
 c AS (SELECT u.*, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM u)
-SELECT c.conv_id, 't' || c.turn AS call_id, level, CAST(CASE WHEN level = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_missing,
-       a.result IS NOT NULL AS linked, true AS valid,
-       sha256('{"arguments":' || CAST(json_object('n_chars', length(c.text), 'text', c.text) AS VARCHAR) || ',"id":"t' || c.turn
-         || '","name":"reply","result":' || coalesce(CAST(to_json(a.result) AS VARCHAR), 'null') || '}') AS json_sha256
-FROM c LEFT JOIN a ON c.conv_id = a.conv_id AND c.turn = a.turn
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, 't' || coalesce(c.turn, a.turn) AS call_id, level,
+       CAST(CASE WHEN level = 0 THEN 1 WHEN level > 0 THEN 0 END AS BIGINT) AS n_missing,
+       CAST(coalesce(c.repeats, 0) + coalesce(a.repeats, 0) AS BIGINT) AS n_repeats,
+       c.text IS NOT NULL AND a.result IS NOT NULL AS linked, coalesce(length(c.text) BETWEEN 20 AND 350, false) AS valid,
+       sha256(CASE WHEN c.text IS NULL THEN '{"id":"t' || a.turn || '","result":' || CAST(to_json(a.result) AS VARCHAR) || '}'
+         ELSE '{"arguments":' || CAST(json_object('n_chars', length(c.text), 'text', c.text) AS VARCHAR) || ',"id":"t' || c.turn
+         || '","name":"reply","result":' || coalesce(CAST(to_json(a.result) AS VARCHAR), 'null') || '}' END) AS json_sha256
+FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.turn = a.turn
 """

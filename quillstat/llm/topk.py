@@ -7,14 +7,17 @@ below it cannot reach the bound, so the entries at or above it, of any node, are
 resolved to their exact scores, and those that reach the bound are ranked.
 
 Queries are a stated set; both sides are packed into blocks of rows and every query block meets every block of vectors
-once a phase: the query blocks are dealt out under a block-group key, so this is an equi-join with bounded rows.
+once a phase, in a grid of cells of about QUERY_BLOCKS x VECTOR_BLOCKS blocks (fewer vectors where there would be under
+CELLS groups of them): blocks of one side are copied once a group of the other, a task holds the query blocks of a cell
+and streams its vectors. Every row has a key of its own.
 
 Scores are integers. They are exact as long as they stay below 2^53 in size (checked for each pair of blocks; beyond it
 64-bit integer arithmetic is used, exact up to 2^63).
 
-Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, neither do rows with a
-null id; rows with the same id count as one vector (the least array); a query's own id is never among its results;
-vectors of different length are never compared; fewer than K candidates give fewer ranks; other columns play no part.
+Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; rows with the same id
+are separate candidates and separate queries, and only a query's own row is never among its results; a row with a null id
+is a candidate like any other and comes last of equal scores; vectors of different length are never compared; fewer than
+K candidates give fewer ranks; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,31 +34,33 @@ from quillstat.llm.common import Scratch, table
 K, SLICES, EVERY = 5, 4, 50
 #: Rows of a packed block: queries, vectors.
 QUERY_ROWS, VECTOR_ROWS = 512, 2048
-NO_BOUND = -(2**63)
+#: Blocks of a cell of the grid; groups of vectors there are at least, where there are so many blocks.
+QUERY_BLOCKS, VECTOR_BLOCKS, CELLS = 8, 32, 256
+NO_BOUND, NO_ID = -(2**63), 2**63 - 1
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 * x) of each component, for the vectors that take part."""
-    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """(key, vec_id, v): floor(256 * x) of each component, for the vectors that take part; the key holds once it is written."""
+    usable = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
-    return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).select(F.monotonically_increasing_id().alias("key"), "vec_id", "v")
 
 
 def _pack(rows: int):
-    """Blocks of vectors of one length: (dim, ids, extra, data), ids and data as packed 64-bit integers."""
+    """Blocks of vectors of one length: (dim, keys, extra, data) as packed 64-bit integers; extra: a query's bound, a vector's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, list[int], int]]] = {}
 
         def block(part: list[tuple[int, list[int], int]], dim: int) -> pa.RecordBatch:
-            ids, v, bound = zip(*part, strict=True)
-            packed = [np.array(ids, "<i8").tobytes(), np.array(bound, "<i8").tobytes(), np.array(v, "<i8").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["dim", "ids", "bound", "data"])
+            keys, v, extra = zip(*part, strict=True)
+            packed = [np.array(keys, "<i8").tobytes(), np.array(extra, "<i8").tobytes(), np.array(v, "<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["dim", "keys", "extra", "data"])
 
         for b in batches:
-            for vec_id, v, bound in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, v, extra in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 part = held.setdefault(len(v), [])
-                part.append((vec_id, v, NO_BOUND if bound is None else bound))
+                part.append((key, v, extra))
                 if len(part) == rows:
                     yield block(held.pop(len(v)), len(v))
         for dim, part in held.items():
@@ -64,7 +69,7 @@ def _pack(rows: int):
     return run
 
 
-_BLOCK = "dim int, ids binary, bound binary, data binary"
+_BLOCK = "dim int, keys binary, extra binary, data binary"
 
 
 def _partials(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
@@ -81,49 +86,73 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
+def _entries(q_keys: np.ndarray, bound: np.ndarray, q: np.ndarray, c_keys: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, slices: int, resolve: bool) -> pa.RecordBatch:
+    """A query block with a block of vectors: at most k entries of each query, with their whole scores."""
+    parts = _partials(q, c, slices)
+    own = q_keys[:, None] == c_keys
+    if resolve:  # phases 2 and 3
+        wanted = np.zeros(own.shape, bool)
+        for p in parts:
+            wanted |= p >= (bound // slices)[:, None]
+        at, col = np.nonzero(wanted & ~own)
+    else:  # phase 1
+        at, col = [], []
+        for p in parts:
+            p = np.where(own, p.min(initial=0) - 1, p)
+            best = _best(p, min(k + 1, p.shape[1]))
+            at.append(np.repeat(np.arange(len(q_keys)), best.shape[1]))
+            col.append(best.ravel())
+        pairs = np.unique(np.concatenate(at) * len(c_keys) + np.concatenate(col))
+        at, col = pairs // len(c_keys), pairs % len(c_keys)
+        at, col = at[~own[at, col]], col[~own[at, col]]
+    score = sum(p[at, col] for p in parts).astype(np.int64)
+    keep = score >= bound[at]
+    at, col, score = at[keep], col[keep], score[keep]
+    order = np.lexsort((c_keys[col], c_ids[col], -score, at))
+    at, col, score = at[order], col[order], score[order]
+    near = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
+    return pa.RecordBatch.from_arrays([pa.array(q_keys[at[near]]), pa.array(c_keys[col[near]]), pa.array(c_ids[col[near]]), pa.array(score[near])], ["query", "key", "id", "score"])
+
+
 def _phase(k: int, slices: int, resolve: bool):
+    """Blocks sorted by cell, its queries first; holds a cell's query blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for b in batches:
-            for i in range(b.num_rows):
-                dim, q_ids, bound, q, c_ids, c = (b.column(n)[i].as_py() for n in range(6))
-                q_ids, c_ids, bound = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8"), np.frombuffer(bound, "<i8")
-                parts = _partials(np.frombuffer(q, "<i8").reshape(-1, dim), np.frombuffer(c, "<i8").reshape(-1, dim), slices)
-                own = q_ids[:, None] == c_ids
-                if resolve:  # phases 2 and 3
-                    wanted = np.zeros(own.shape, bool)
-                    for p in parts:
-                        wanted |= p >= (bound // slices)[:, None]
-                    at, col = np.nonzero(wanted & ~own)
-                else:  # phase 1
-                    at, col = [], []
-                    for p in parts:
-                        p = np.where(own, p.min(initial=0) - 1, p)
-                        best = _best(p, min(k + 1, p.shape[1]))
-                        at.append(np.repeat(np.arange(len(q_ids)), best.shape[1]))
-                        col.append(best.ravel())
-                    pairs = np.unique(np.concatenate(at) * len(c_ids) + np.concatenate(col))
-                    at, col = pairs // len(c_ids), pairs % len(c_ids)
-                    at, col = at[~own[at, col]], col[~own[at, col]]
-                score = sum(p[at, col] for p in parts).astype(np.int64)
-                keep = score >= bound[at]
-                at, col, score = at[keep], col[keep], score[keep]
-                order = np.lexsort((c_ids[col], -score, at))
-                at, col, score = at[order], col[order], score[order]
-                first = np.searchsorted(at, at, side="left")
-                near = np.arange(len(at)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[near]]), pa.array(c_ids[col[near]]), pa.array(score[near])], ["query_id", "vec_id", "score"])
+            for at, dim, keys, extra, data in zip(*(b.column(n) for n in range(5)), strict=True):
+                at, dim, *block = at.as_py(), dim.as_py(), *(np.frombuffer(x.as_buffer(), "<i8") for x in (keys, extra, data))
+                block[2] = block[2].reshape(-1, dim)
+                if at >> 1 != cell:
+                    cell, held = at >> 1, {}
+                if at & 1:
+                    for asked in held.get(dim, ()):
+                        yield _entries(*asked, *block, k, slices, resolve)
+                else:  # outlives its batch
+                    held.setdefault(dim, []).append([x.copy() for x in block])
 
     return run
 
 
-def _meet(queries: DataFrame, vectors: DataFrame, groups: int, k: int, slices: int, resolve: bool) -> DataFrame:
-    dealt = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), "bound", F.col("data").alias("q"))
-    pairs = dealt.join(vectors, (dealt["g"] == vectors["group"]) & (dealt["q_dim"] == vectors["dim"])).select("dim", "q_ids", "bound", "q", "ids", "data")
-    return pairs.mapInArrow(_phase(k, slices, resolve), "query_id long, vec_id long, score long")
+def _meet(queries: DataFrame, vectors: DataFrame, n_queries: int, n_vectors: int, k: int, slices: int, resolve: bool) -> DataFrame:
+    """(query, key, id, score): each block of vectors' best entries of each query, by the rows' keys; an unknown id is NO_ID."""
+    wide, high = max(1, min(n_vectors, max(CELLS, n_vectors // VECTOR_BLOCKS))), max(1, n_queries // QUERY_BLOCKS)
+
+    def group(n: int) -> Column:
+        return F.pmod(F.xxhash64("keys"), F.lit(n))
+
+    def copies(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    asked = queries.select(copies(wide).alias("g"), group(high).alias("r"), "dim", "keys", "extra", "data").withColumn("at", (F.col("g") * high + F.col("r")) * 2)
+    held = vectors.select(group(wide).alias("g"), copies(high).alias("r"), "dim", "keys", "extra", "data").withColumn("at", (F.col("g") * high + F.col("r")) * 2 + 1)
+    met = asked.unionByName(held).repartition(F.shiftright("at", 1)).sortWithinPartitions("at").select("at", "dim", "keys", "extra", "data")
+    return met.mapInArrow(_phase(k, slices, resolve), "query long, key long, id long, score long")
 
 
 def _ranked(lists: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """rank from 1 to k: by score, then the smaller id (unknown ones last), then the key."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "key")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -131,16 +160,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, slices: int = SLICES
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query (rows of `vectors` for which `is_query` holds, seen as (vec_id)) with all other vectors."""
     scratch = Scratch(vectors.sparkSession, "top-k")
     whole = scratch.write(integer_vectors(vectors), "vectors")
-    no_bound = F.lit(None).cast("long")
-    blocks = scratch.write(whole.select("vec_id", "v", no_bound.alias("bound")).mapInArrow(_pack(VECTOR_ROWS), _BLOCK), "blocks")
-    groups = max(1, blocks.count())
-    grouped = blocks.select("dim", "ids", "data", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"))
+    blocks = scratch.write(whole.select("key", "v", F.coalesce("vec_id", F.lit(NO_ID))).mapInArrow(_pack(VECTOR_ROWS), _BLOCK), "blocks")
     queries = scratch.write(whole.where(is_query), "queries")
-    packed = scratch.write(queries.select("vec_id", "v", no_bound.alias("bound")).mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-1")
-    lists = scratch.write(_meet(packed, grouped, groups, k, slices, False), "lists")
-    bounds = _ranked(lists, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    packed = scratch.write(queries.join(bounds, "vec_id", "left").select("vec_id", "v", "bound").mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-2")
-    return _ranked(_meet(packed, grouped, groups, k, slices, True), k).select("query_id", "rank", "vec_id", "score")
+    packed = scratch.write(queries.select("key", "v", F.lit(NO_BOUND)).mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-1")
+    sizes = packed.count(), blocks.count()
+    lists = scratch.write(_meet(packed, blocks, *sizes, k, slices, False), "lists")
+    bounds = _ranked(lists, k).where(F.col("rank") == k).select(F.col("query").alias("key"), F.col("score").alias("bound"))
+    packed = scratch.write(queries.join(bounds, "key", "left").select("key", "v", F.coalesce("bound", F.lit(NO_BOUND))).mapInArrow(_pack(QUERY_ROWS), _BLOCK), "packed-2")
+    found = _ranked(_meet(packed, blocks, *sizes, k, slices, True), k)
+    named = queries.select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"))
+    return found.join(named, "query").select("query_id", "rank", F.nullif("id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +178,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, row_number() OVER () AS k, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+  SELECT q.k AS q, c.k, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.k <> c.k AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, k) AS INT) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -25,7 +25,8 @@ from quillstat.llm.common import Scratch
 
 def test_masks_hit_every_pattern():
     """Whatever fifth of 8 to 20 tokens is substituted, some mask stands clear of it."""
-    for n in range(decontaminate.MIN_ITEM, decontaminate.WINDOW + 1):
+    assert all(m != tuple(range(len(m))) for m in decontaminate.MASKS)
+    for n in range(decontaminate.EXACT, decontaminate.WINDOW + 1):
         for bad in itertools.combinations(range(n), n // 5):
             assert any(not any(p + o in bad for o in m) for m in decontaminate.MASKS for p in range(n - m[-1])), (n, bad)
 
@@ -38,13 +39,14 @@ def brute_leaks(rows, items):
         for j, b in items:
             v = words(b)
             c = min(len(v), 20)
-            if len(v) < 8:
+            if len(v) < 3:
                 continue
+            free = c // 5 if c >= 8 else 0
             for diag in range(-len(v), len(w)):
                 same = [w[q + diag] == v[q] for q in range(len(v)) if 0 <= q + diag < len(w)]
                 for k in range(len(same) - c + 1):
                     m = sum(same[k : k + c])
-                    if m >= c - c // 5:
+                    if m >= c - free:
                         best[i, j] = max(best.get((i, j), 0), m)
     return best
 
@@ -52,7 +54,7 @@ def brute_leaks(rows, items):
 @pytest.mark.parametrize("part,few", [(500_000, 250_000), (40, 0)])
 def test_leaks_equal_brute_force(spark, part, few):
     r = random.Random(2)
-    items = [(k, prose(100 + k, n)) for k, n in enumerate((30, 25, 20, 15, 9, 8, 7))] + [(7, None), (8, ""), (9, prose(100, 30))]
+    items = [(k, prose(100 + k, n)) for k, n in enumerate((30, 25, 20, 15, 9, 8, 7))] + [(7, None), (8, ""), (9, prose(100, 30)), (10, "alphas omegas zeta"), (11, "one"), (12, prose(106, 4)), (13, prose(107, 5))]
     rows = []
     for i in range(40):
         w = prose(200 + i, 40).split()
@@ -62,6 +64,7 @@ def test_leaks_equal_brute_force(spark, part, few):
             leak[r.randrange(len(leak))] = "substitute"
         at = r.randrange(40)
         rows.append((i, " ".join([*w[:at], *leak[r.randrange(3) :], *w[at:]]).upper(), "en"))
+    rows += [(60 + k, f"{prose(300, 9)} {items[k][1]} {prose(301, 9)}", "en") for k in (10, 11, 12, 13)] + [(70, "alphas other zeta one", "en")]
     rows += [(50, items[0][1], None), (50, items[0][1], None), (None, items[1][1], None), (51, None, None), (52, "", None)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "wh": F.lit(2)})
     got = {(x.doc_id, x.item_id): x.matched for x in decontaminate.find_leaks(documents(spark, rows), bench, part=part, few=few).collect()}
@@ -79,11 +82,11 @@ def test_leaks_of_an_item_without_id(spark):
 
 def brute_top(vectors, k=5):
     out = []
-    for q, a in vectors.items():
-        if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in vectors.items() if c != q and len(b) == len(a))
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
-    return sorted(out)
+    for i, (q, a) in enumerate(vectors):
+        if q is not None and q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c is None, c or 0) for j, (c, b) in enumerate(vectors) if j != i and len(b) == len(a))
+            out += [(q, n + 1, None if no_id else c, -s) for n, (s, no_id, c) in enumerate(scores[:k])]
+    return sorted(out, key=repr)
 
 
 def test_top_k_equals_brute_force(spark):
@@ -91,18 +94,23 @@ def test_top_k_equals_brute_force(spark):
     data = [(i, rng.normal(0, 0.2, 16).round(2).tolist()) for i in range(160)]
     data += [(i, data[3][1]) for i in range(200, 230)]  # ties
     data += [(250, [0.5] * 7), (251, [0.25] * 7)]
-    odd = [(300, None), (350, []), (301, [None, *[1.0] * 15]), (302, [float("nan")] * 16), (303, [float("inf")] * 16), (None, [1.0] * 16), (5, data[5][1])]
-    df = spark.createDataFrame([(i, v) for i, v in data + odd], "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("score", "dim", "g", "bound")})
-    ints = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in data}
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    data += [(None, [1.0] * 16), (None, [1.0] * 16), (5, data[5][1]), (5, data[7][1]), (50, data[9][1]), (50, data[50][1])]  # ids that are null or repeated
+    odd = [(300, None), (350, []), (301, [None, *[1.0] * 15]), (302, [float("nan")] * 16), (303, [float("inf")] * 16)]
+    df = spark.createDataFrame([(i, v) for i, v in data + odd], "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("score", "dim", "g", "bound", "key", "keys", "id")})
+    ints = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in data]
+    got = sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()), key=repr)
     assert got == brute_top(ints)
+    small = topk.QUERY_ROWS, topk.VECTOR_ROWS, topk.QUERY_BLOCKS, topk.VECTOR_BLOCKS, topk.CELLS
+    topk.QUERY_ROWS, topk.VECTOR_ROWS, topk.QUERY_BLOCKS, topk.VECTOR_BLOCKS, topk.CELLS = 2, 7, 1, 2, 3  # many cells
+    assert sorted((tuple(r) for r in topk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0).collect()), key=repr) == got
+    topk.QUERY_ROWS, topk.VECTOR_ROWS, topk.QUERY_BLOCKS, topk.VECTOR_BLOCKS, topk.CELLS = small
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_top_k_large_numbers(spark):
     data = [(0, [5e6, -5e6, 3.0]), (1, [5e6, 5e6, 1.0]), (2, [5e6, -5e6, 1.0]), (3, [0.0, 0.0, 5e6])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in data}
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in data]
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()) == [r for r in brute_top(ints) if r[0] == 0]
 
 
@@ -209,7 +217,11 @@ def test_tool_calls(spark):
     c = spark.createDataFrame(calls, call).withColumn("level", F.lit(5))
     got = tool_calls.link_calls(c, spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), schemas).collect()
     by = {(r.conv_id, r.call_id): r for r in got}
-    assert len(got) == 8 + 2 + 70
+    assert len(got) == 8 + 2 + 70 + 2
+    assert by[1, "zz"].json == '{"id":"zz","result":"orphan"}' and not by[1, "zz"].linked and by[1, "zz"].level is None and by[1, "zz"].errors
+    assert by[1, "a"].n_repeats == 2 and by[1, "b"].n_repeats == 0
+    got = [r for r in got if r.errors != "$: result without a call"]
+    by = {(r.conv_id, r.call_id): r for r in got}
     level = {k: r.level for k, r in by.items()}
     assert [level[1, x] for x in "abcdefg"] == [0, 1, 2, 3, None, None, None] and level[3, "a"] == 1
     assert [level[4, f"k{i}"] for i in range(70)] == list(range(70))
@@ -222,6 +234,33 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(none, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), schemas).count() == 0
 
 
+def test_hostile_arguments(spark):
+    schemas = {"f": {"properties": {"x": {"type": ["integer", "null"], "minimum": 0}, "s": {"type": "string", "minLength": 2, "maxLength": 3}}}}
+    args = ['{"x":"\\ud800"}', "[" * 100_000, '{"x":NaN}', '{"x":-Infinity}', '{"x":1e999}', '{"x":null,"s":"ab"}', '{"x":-1}', '{"s":"abcd"}', '{"x":' + "9" * 5000 + "}", '{"y":' * 990 + "1" + "}" * 990, "", None]
+    rows = [(1, f"c{k}", k, "f", a, None) for k, a in enumerate(args)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = [r for _, r in sorted((r.turn, r) for r in tool_calls.link_calls(calls, none, schemas).collect())]
+    assert [r.errors for r in got[:8]] == ["$.x: not of type integer or null", "$: nested too deep", "$: not JSON", "$: not JSON", "$: not JSON", "", "$.x: out of range", "$.s: length out of range"]
+    assert all(r.errors for r in got[8:9] + got[10:]) and json.loads(got[0].json)["arguments"] == {"x": "\ud800"} and all(json.loads(r.json) for r in got)
+    with pytest.raises(ValueError, match="unknown type"):
+        tool_calls.link_calls(calls, none, {"f": {"properties": {"x": {"type": "text"}}}})
+
+
+def test_levels_of_calls_with_several_dependencies(spark):
+    r, calls = random.Random(8), []
+    for conv in range(6):
+        for i in range(40):
+            calls.append((conv, f"c{i}", i, "f", "{}", [f"c{j}" for j in {r.randrange(i) for _ in range(r.randrange(4))}] if i else None))
+    want = {}
+    for conv, c, _, _, _, deps in calls:
+        want[conv, c] = 1 + max((want[conv, d] for d in deps or ()), default=-1)
+    r.shuffle(calls)
+    rows = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    got = {(x.conv_id, x.call_id): x.level for x in tool_calls.levels(rows, Scratch(spark, "test")).collect()}
+    assert got == want and max(want.values()) > 8
+
+
 def brute_pii(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
 
@@ -234,12 +273,22 @@ def brute_pii(t):
         return 15 <= len(s) <= 34 and int("".join(str(int(ch, 36)) for ch in s[4:] + s[:4])) % 97 == 1
 
     ok = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": luhn, "phone": lambda s: 9 <= len(digits(s)) <= 15, "iban": mod97}
-    return [(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(pii.PLAIN[k], t or "", re.ASCII) if ok[k](m[0])]
+    t, out = t or "", []
+    for k in pii.KINDS:
+        found = list(re.finditer(pii.PLAIN[k], t, re.ASCII))
+        ends, starts = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(t)]
+        for i, m in enumerate(found):
+            around = t[ends[i] : m.start()][-40:] + "\n" + t[m.end() : starts[i + 1]][:40]
+            n = {c: n for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()}.get(m[0][:2])
+            strong = k != "iban" or n == len(m[0].replace(" ", ""))
+            if ok[k](m[0]) and (strong or re.search(pii.CONTEXT[k], around.lower())):
+                out.append((k, m.start(), m.end()))
+    return out
 
 
 def test_pii_equals_plain_patterns(spark):
     r = random.Random(4)
-    parts = ["a.b@c.de", "x_y%+@foo-bar.co.uk", "@", "a@b", ".", "..", "1.2.3.4", "300.1.1.1", "001.02.3.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "5500 0000 0000 0004", "+1 (415) 555-2671", "+12", "+49 30 1234567-", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82WEST12345698765433", " ", "  ", "-", "7", "é", "日本", "_", "card", "\n", "call", "0" * 25]
+    parts = ["a.b@c.de", "x_y%+@foo-bar.co.uk", "@", "a@b", ".", "..", "1.2.3.4", "300.1.1.1", "001.02.3.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "5500 0000 0000 0004", "+1 (415) 555-2671", "+12", "+49 30 1234567-", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82WEST12345698765433", "BE68 5390 0754 7034 EUR", "ES91 2100 0418 4502 0005 1332", "ZZ26 0000 0000 0000 0000", "BE68 5390 0754 7034CARD", "iban ", "konto", " ", "  ", "-", "7", "é", "日本", "_", "card", "\n", "call", "0" * 25]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(1500)]
     texts += [None, "", "a" * 60_000, "1" * 60_000, "1 " * 30_000, "1." * 30_000, "+1" + "-" * 60_000, "a.b@c.de " * 300, "A1" * 20_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(0))
@@ -255,6 +304,14 @@ def test_pii_context(spark):
     assert got == pytest.approx({0: 0.9, 1: 0.6})
 
 
+def test_weak_ibans_need_context(spark):
+    code = next(f"ZZ{k:02d}{'0' * 16}" for k in range(100) if int("".join(str(int(ch, 36)) for ch in "0" * 16 + f"ZZ{k:02d}")) % 97 == 1)
+    texts = [f"the number {code} stands here", f"by bank to {code}", "BE68 5390 0754 7034 CARD", "AT61 1904 3002 3457 3201 BKAUATWW"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, round(s.score, 1)) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    assert got == {0: [], 1: [(11, 31, 0.7)], 2: [(0, 19, 0.6)], 3: [(0, 24, 0.6)]}
+
+
 def test_language_id(spark):
     alphabets = {"aa": "abcde fgh", "bb": "klmno pqr", "cc": "stuvw xyz"}
     rng = random.Random(6)
@@ -270,7 +327,74 @@ def test_language_id(spark):
     assert (again.weights == model.weights).all() and again.temperature == model.temperature
     few = language_id.train(docs, learn, sample=60)
     assert few.langs == model.langs
+    # Rows that all share one id, and a language with 1 in 300 of them.
+    same = documents(spark, [(7, t, lang) for _, t, lang in rows] + [(7, "0123 zzzz 9876", "rare")])
+    assert language_id.train(same, F.lit(True), sample=80).langs == ["aa", "bb", "cc", "rare"]
     none = language_id.train(empty(spark), learn)
     assert language_id.predict(docs, none).where("lang_pred <> 'und'").count() == 0
     assert language_id.predict(empty(spark), model).count() == 0
     assert language_id.predict(documents(spark), model).count() == len(ROWS) and LONG
+
+
+def brute_ftrl(rows, n_langs, epochs):
+    """FTRL-proximal, one coordinate at a time."""
+    a, b, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+    z, n = Counter(), Counter()
+
+    def weight(f, y):
+        x = z[f, y]
+        return 0.0 if abs(x) <= l1 else (math.copysign(l1, x) - x) / ((b + math.sqrt(n[f, y])) / a + l2)
+
+    order = np.random.default_rng(42)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            x, truth = rows[k]
+            w = {(f, y): weight(f, y) for f in x for y in range(n_langs)}
+            logits = [sum(v * w[f, y] for f, v in x.items()) for y in range(n_langs)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            for f, v in x.items():
+                for y in range(n_langs):
+                    g = v * (e[y] / sum(e) - (y == truth))
+                    z[f, y] += g - (math.sqrt(n[f, y] + g * g) - math.sqrt(n[f, y])) / a * w[f, y]
+                    n[f, y] += g * g
+    return {key: weight(*key) for key in z}
+
+
+def test_language_model_equals_brute_force(spark):
+    """TF-IDF, FTRL and temperature by dictionaries of features; the hashed buckets are the only thing shared."""
+    alphabets = {"aa": "abcdeλμν ", "bb": "abcfgλξπ ", "cc": "abhij語文 "}
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(alphabets[lang]) for _ in range(40)), lang) for i, lang in ((k, list(alphabets)[k % 3]) for k in range(90))]
+    model = language_id.train(documents(spark, rows), F.lit(True))
+
+    def grams(t):
+        t = re.sub(r"\s+", " ", f" {t.lower()} ")
+        found = Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+        out = Counter()
+        for g, c in found.items():
+            h = 0
+            for ch in g:
+                h = (h * 0x01000193 + ord(ch) + 1) % 2**32
+            h = (h ^ (h >> 15)) * language_id._MIX[len(g) - 1] % 2**32
+            out[h >> (32 - language_id.BUCKETS.bit_length() + 1)] += c
+        return out
+
+    every = {i: grams(t) for i, t, _ in rows}
+    df = Counter(f for g in every.values() for f in g)
+    idf = {f: math.log((1 + len(rows)) / (1 + c)) + 1 for f, c in df.items()}
+
+    def vector(g):
+        v = {f: math.sqrt(c) * idf[f] for f, c in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()} | {"bias": 1.0}
+
+    order = {r.doc_id: r.h for r in documents(spark, rows).select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    ranked = sorted(rows, key=lambda r: order[r[0]])
+    data = [(vector(every[i]), list(alphabets).index(lang)) for i, _, lang in ranked]
+    aside, used = data[::5], [x for k, x in enumerate(data) if k % 5]
+    w = brute_ftrl(used, 3, language_id.EPOCHS)
+    for (f, y), x in w.items():
+        assert (model.bias[y] if f == "bias" else model.weights[f, y]) == pytest.approx(x, abs=1e-9)
+    logits = [[sum(v * w.get((f, y), 0.0) for f, v in x.items()) for y in range(3)] for x, _ in aside]
+    loss = lambda t: sum(math.log(sum(math.exp(v / t) for v in row)) - row[y] / t for row, (_, y) in zip(logits, aside, strict=True))
+    assert model.temperature == pytest.approx(min(np.geomspace(0.05, 20.0, 121), key=loss))

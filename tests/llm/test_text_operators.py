@@ -86,6 +86,25 @@ def test_token_store_finds_damage(spark, tmp_path):
     bad.write.parquet(f"{tmp_path}/bad")
     with pytest.raises(Exception, match="does not match its address"):
         token_store.read_checksums(spark, f"{tmp_path}/bad", 2).collect()
+    # A document, a chunk that others use, a file's manifest row, or a whole file is gone.
+    path = f"{tmp_path}/shared"
+    token_store.write_store(documents(spark, [(k, prose(k, 300) + " " + LONG, "en") for k in range(6)]), WORDS, 2, path)
+    rows = spark.read.parquet(path)
+    owner = rows.where("n_docs is null AND length(payload) > 4096").first().doc_id
+    cuts = {"document": "n_docs is not null OR doc_id <> 3", "owner": f"n_docs is not null OR doc_id <> {owner}", "manifest": "n_docs is null", "all": "false"}
+    for name, kept in cuts.items():
+        rows.where(kept).write.parquet(f"{tmp_path}/{name}")
+        spark.read.parquet(f"{path}-manifest").write.parquet(f"{tmp_path}/{name}-manifest")
+        for read in (token_store.read_checksums, token_store.read_documents):
+            with pytest.raises(ValueError, match="manifest"):
+                read(spark, f"{tmp_path}/{name}", 2)
+    # The manifests agree, but shared chunks are nowhere.
+    lost = rows.withColumn("flags", F.when(F.col("n_docs").isNull(), F.expr("unhex(repeat('02', size(leaves)))")))
+    lost.write.parquet(f"{tmp_path}/lost")
+    spark.read.parquet(f"{path}-manifest").write.parquet(f"{tmp_path}/lost-manifest")
+    for read in (token_store.read_checksums, token_store.read_documents):
+        with pytest.raises(ValueError, match="missing"):
+            read(spark, f"{tmp_path}/lost", 2)
     token_store.write_store(empty(spark), WORDS, 2, f"{tmp_path}/none")
     assert token_store.read_checksums(spark, f"{tmp_path}/none", 2).count() == 0
 
