@@ -149,3 +149,27 @@ def test_queries_are_registered():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    path, names = str(tmp_path), ["score", "copy", "n_lines", "n_dropped", "lang_pred", "row_key", "leak_key", "held_row", "key"]
+    build(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(k + 100) for k, c in enumerate(names)})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, path).write.parquet(f"{path}/clash/{k}")
+        after = spark.read.parquet(f"{path}/clash/{k}")
+        assert after.dtypes == docs.dtypes
+        docs = after
+        assert docs.select(*names).distinct().collect() == [tuple(range(100, 100 + len(names)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count() > 20
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """An empty table, one without labels, and one with a text of millions of characters."""
+    path = str(tmp_path)
+    build(spark, path)
+    for docs, left in ((spark.createDataFrame([], SCHEMA), 0), (spark.createDataFrame([(1, "words here", None, "s", 9), (2, "12", None, "s", 2), (3, "long text " * 300_000, None, "s", 9)], SCHEMA), 2)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, path).write.parquet(f"{path}/odd-{left}/{k}")
+            docs = spark.read.parquet(f"{path}/odd-{left}/{k}")
+            assert docs.count() == left
