@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstat.plans import boxscore, tracking
+from quillstat.plans import boxscore, pages, tracking
 
-MODULES = (boxscore, tracking)
+MODULES = (boxscore, pages, tracking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

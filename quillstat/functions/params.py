@@ -44,6 +44,8 @@ SUMMARY = [
     ("pointsFromTurnovers", "PTS OFF TOV"), ("benchPoints", "Bench pts"), ("biggestLead", "Biggest lead"), ("leadChanges", "Lead changes"),
     ("timesTied", "Times tied"), ("biggestScoringRun", "Biggest run"),
 ]
+# What the four factors take from the advanced table.
+ADVANCED = {"offensiveReboundPercentage": ("oreb_pct", "pct"), "offensiveRating": ("ortg", "f1"), "defensiveRating": ("drtg", "f1"), "netRating": ("netrtg", "f1"), "pace": ("pace", "f1")}
 # Shot zones by distance in feet, both ends included; then the two that have no range.
 ZONES = [("At the rim (0-4 ft)", 0, 4), ("Paint / short (5-9 ft)", 5, 9), ("Mid-range (10 ft to the arc)", 10, 99)]
 THREES = "Three-pointers"

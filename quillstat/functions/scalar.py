@@ -68,6 +68,16 @@ def elapsed_minutes(period: Column, clock: Column) -> Column:
     return before + length - clock_seconds(clock) / 60.0
 
 
+def feet(x1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Where a person's box touches the floor: the middle of its lower edge."""
+    return (x1 + x2) / 2, y2
+
+
+def ball_coloured(hue: Column, saturation: Column, value: Column) -> Column:
+    """Whether median colours of a patch are those of a ball."""
+    return hue.between(3, 17) & (saturation >= 70) & value.between(90, 200)
+
+
 def project(h: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     """The point (x, y) under the 3x3 row-major map h."""
     w = h[6] * x + h[7] * y + h[8]

@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.functions.params import MILE_KM, SUMMARY, THREES, ZONES
+from quillstat.functions.params import ADV, ADVANCED, BOX, HUSTLE, MILE_KM, MISC, SHOOT, SUMMARY, THREES, TRACK, ZONES
 from quillstat.functions.scalar import half_even, minutes, number, pct, shown_1dp, shown_int, shown_pct
 
 
+#: The tabs of a game: name, endpoint, suffix of its team table, specification.
+TABS = [("Box score", "traditional", 2, BOX), ("Shooting", "traditional", 2, SHOOT), ("Advanced", "advanced", 1, ADV), ("Miscellaneous", "misc", 1, MISC), ("Hustle", "hustle", 1, HUSTLE), ("Player tracking", "player_track", 1, TRACK)]
+
+
 def conform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Exactly these columns (name -> type): cast where present, null where absent."""
     have = set(df.columns)
@@ -29,7 +33,7 @@ def frame(df: DataFrame, spec: list[tuple[str, str, str]], *keep: str) -> DataFr
 
 
 def team_tabs(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, str]], name: str = "nameI", team: str = "teamTricode", played: str = "minutes") -> DataFrame:
-    """Players with minutes, then a TEAM row taken from the team table: (team, row_kind 0 or 1, PLAYER, columns). Order: row_kind, MIN descending, PLAYER."""
+    """Players with minutes, then a TEAM row taken from the team table: (team, row_kind 0 or 1, PLAYER, columns); `ordered` ranks them."""
     on = players.where(F.coalesce(minutes(F.col(played)), F.lit(0.0)) > 0) if played in players.columns else players
     keep = (F.col(team).alias("team"),)
     people = frame(on, spec, *keep, F.lit(0).alias("row_kind"), F.col(name).alias("PLAYER"))
@@ -38,8 +42,8 @@ def team_tabs(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, s
 
 
 def with_fouls(tabs: DataFrame, fouls: DataFrame) -> DataFrame:
-    """Adds technical and flagrant counts by player label; players without any get 0, TEAM rows null."""
-    count = lambda c: F.when(F.col("row_kind") == 0, F.coalesce(c, F.lit(0)).cast("double"))
+    """Adds technical and flagrant counts by player label; players without any foul, and TEAM rows, get null."""
+    count = lambda c: F.when(F.col("row_kind") == 0, F.col(c).cast("double"))
     return tabs.join(fouls.select(F.col("player").alias("_p"), "technical", "flagrant"), F.col("PLAYER") == F.col("_p"), "left").withColumns({"technical": count("technical"), "flagrant": count("flagrant")}).drop("_p")
 
 
@@ -63,8 +67,43 @@ def drop_ghosts(players: DataFrame, order: str) -> DataFrame:
     return first_per_key(players.where(F.trim(F.coalesce("minutes", F.lit(""))) != ""), ["personId"], order)
 
 
-def four_factors(team: DataFrame, *keep: str) -> DataFrame:
-    """Shooting, turnover and free-throw ratios of each row; zero denominators give null."""
+def ordered(tabs: DataFrame) -> DataFrame:
+    """nth: a row's place in its team's tab, from 1: players by MIN (most first, then by name), the TEAM row last."""
+    return tabs.withColumn("nth", F.row_number().over(Window.partitionBy("team").orderBy("row_kind", F.desc_nulls_last("MIN"), "PLAYER")))
+
+
+def stat_tab(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, str]], fouls: DataFrame | None = None) -> DataFrame:
+    """One tab of all teams: (team, row_kind, PLAYER, POS, MIN, columns, nth). MIN is shown in every tab; a position that is missing is empty; teams without players get no TEAM row."""
+    spec = spec if any(raw == "minutes" for raw, _, _ in spec) else [("minutes", "MIN", "min"), *spec]
+    position = F.coalesce(F.col("position"), F.lit("")) if "position" in players.columns else F.lit("")
+    on = players.where(F.coalesce(half_even(minutes(F.col("minutes")), 1), F.lit(0.0)) > 0)
+    people = frame(on, spec, F.col("teamTricode").alias("team"), F.lit(0).alias("row_kind"), F.col("nameI").alias("PLAYER"), position.alias("POS"))
+    there = teams.join(players.select("teamTricode").distinct(), "teamTricode", "left_semi")
+    total = frame(there, spec, F.col("teamTricode").alias("team"), F.lit(1).alias("row_kind"), F.lit("TEAM").alias("PLAYER"), F.lit("").alias("POS"))
+    tab = people.unionByName(total, allowMissingColumns=True)
+    return ordered(tab if fouls is None else with_fouls(tab, fouls))
+
+
+def build_tabs(tables: dict[tuple[str, int], DataFrame]) -> dict[str, DataFrame]:
+    """The six tabs of a bundle, by name; those whose player table is missing are left out. The tracking tab shows kilometres beside miles."""
+    tabs = {}
+    for name, endpoint, team_table, spec in TABS:
+        players, teams = tables.get((endpoint, 0)), tables.get((endpoint, team_table))
+        if players is None:
+            continue
+        teams = players.where("false") if teams is None else teams
+        pbp = tables.get(("playbyplay", 0)) if spec is MISC else None
+        tab = stat_tab(players, teams, spec, foul_counts(pbp) if pbp is not None and "actionType" in pbp.columns else None)
+        tabs[name] = add_kilometres(add_kilometres(tab), "Avg speed (mph)", "Avg speed (km/h)") if spec is TRACK else tab
+    return tabs
+
+
+def four_factors(team: DataFrame, *keep: str, advanced: DataFrame | None = None) -> DataFrame:
+    """Shooting, turnover and free-throw ratios of each row; zero denominators give null. `advanced` adds rebounding, ratings and pace by teamTricode, null for a team it lacks."""
+    if advanced is not None:
+        rates = first_per_key(advanced, ["teamTricode"], *[c for c in ADVANCED]).select(F.col("teamTricode").alias("_team"), *[half_even(number(F.col(raw)) * (100 if kind == "pct" else 1), 1).alias(label) for raw, (label, kind) in ADVANCED.items()])
+        joined = team.join(rates, team["teamTricode"] == rates["_team"], "left")
+        return four_factors(joined, *keep, *[label for label, _ in ADVANCED.values()])
     fgm, fga, tpm, fta, tov = (F.col(c).cast("double") for c in ("fieldGoalsMade", "fieldGoalsAttempted", "threePointersMade", "freeThrowsAttempted", "turnovers"))
     return team.select(*keep, half_even(pct(fgm + 0.5 * tpm, fga), 1).alias("efg_pct"), half_even(pct(tov, fga + 0.44 * fta + tov), 1).alias("tov_pct"), half_even(F.try_divide(fta, fga), 2).alias("ft_rate"))
 
@@ -118,11 +157,11 @@ def team_summary(summary: DataFrame) -> DataFrame:
 
 
 def game_info(arena: DataFrame, crowd: DataFrame) -> DataFrame:
-    """One row: the arena's label and the attendance, null unless it is all digits."""
-    where = arena.limit(1).select(F.concat("arenaName", F.lit(", "), "arenaCity").alias("arena"), F.lit(1).alias("_k"))
+    """One row a game_id: the arena's label and the attendance, null unless it is all digits; of several rows of a game the least counts."""
+    where = arena.groupBy("game_id").agg(F.min(F.concat("arenaName", F.lit(", "), "arenaCity")).alias("arena"))
     seats = F.col("attendance").cast("string")
-    many = crowd.limit(1).select(F.when(seats.rlike("^[0-9]+$"), seats.try_cast("bigint")).alias("attendance"), F.lit(1).alias("_k"))
-    return where.join(many, "_k", "full").drop("_k")
+    many = crowd.groupBy("game_id").agg(F.min(F.when(seats.rlike("^[0-9]+$"), seats.try_cast("bigint"))).alias("attendance"))
+    return where.join(many, "game_id", "full")
 
 
 def add_kilometres(df: DataFrame, after: str = "Distance (mi)", label: str = "Distance (km)") -> DataFrame:
@@ -169,5 +208,5 @@ def made_of(made: Column, attempted: Column) -> Column:
 def line_score(rows: DataFrame) -> DataFrame:
     """Team and points by period, overtimes included, without periods nobody played."""
     periods = sorted((c for c in rows.columns if c.startswith("period") and c.endswith("Score")), key=lambda c: int(c[6:-5]))
-    names = [f"Q{k}" if k <= 4 else f"OT{k - 4}" for k in range(1, len(periods) + 1)]
-    return drop_empty_columns(rows.select(F.col("teamTricode").alias("TEAM"), *[number(F.col(c)).cast("long").alias(n) for c, n in zip(periods, names, strict=True)], F.col("score").alias("T")))
+    names = [f"Q{k}" if k <= 4 else f"OT{k - 4}" for k in (int(c[6:-5]) for c in periods)]
+    return drop_empty_columns(rows.select(F.col("teamTricode").alias("TEAM"), *[number(F.col(c)).cast("long").alias(n) for c, n in zip(periods, names, strict=True)], F.col("score").alias("FINAL")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.scalar import half_even
+from quillstat.operators.possession import latest_before
 
 
 def _median(values: Column) -> Column:
@@ -39,11 +40,10 @@ def coverage(spine: DataFrame, rows: DataFrame, keys: list[str], least: int) ->
 
 
 def banners(frames: DataFrame, events: DataFrame, key: str, what: str, length: int = 36) -> DataFrame:
-    """(key, frame, what): the latest event that began at most `length` frames before; null without one."""
-    last = events.groupBy(key, "frame").agg(F.max(F.struct(F.col("frame").alias("at"), what)).alias("_hit"))
-    w = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    seen = frames.join(last, [key, "frame"], "left").withColumn("_hit", F.last("_hit", True).over(w))
-    return seen.select(key, "frame", F.when(F.col("frame") - F.col("_hit.at") <= length, F.col(f"_hit.{what}")).alias(what))
+    """(key, frame, what): the latest event that began at most `length` frames before, on a frame that is shown or not; null without one."""
+    last = events.groupBy(key, "frame").agg(F.max(what).alias(what)).withColumn("_at", F.col("frame"))
+    seen = latest_before(frames, last, key, "frame", "_at", what)
+    return seen.select(key, "frame", F.when(F.col("frame") - F.col("_at") <= length, F.col(what)).alias(what))
 
 
 def next_frame(frames: DataFrame, key: str, frame: str, at: int) -> DataFrame:

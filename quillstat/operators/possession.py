@@ -37,8 +37,8 @@ def holder_states(holders: DataFrame, shot: str = "shot", frame: str = "frame",
 
 
 def with_positions(states: DataFrame, frames: DataFrame) -> DataFrame:
-    """X0, Y0 at each state's start and X1, Y1 at its end; null where the player has no place then."""
-    spots = frames.groupBy("pid", "frame").agg(F.min(F.struct("Xs", "Ys")).alias("_at"))
+    """X0, Y0 at each state's start and X1, Y1 at its end; null where the player has no place then. Rows without a place don't count."""
+    spots = frames.where(F.col("Xs").isNotNull() & F.col("Ys").isNotNull()).groupBy("pid", "frame").agg(F.min(F.struct("Xs", "Ys")).alias("_at"))
     for k, at in (("0", "start"), ("1", "end")):
         spot = spots.select(F.col("pid"), F.col("frame").alias(at), F.col("_at.Xs").alias(f"X{k}"), F.col("_at.Ys").alias(f"Y{k}"))
         states = states.join(spot, ["pid", at], "left")
@@ -72,11 +72,17 @@ def drop_flipflops(events: DataFrame, key: str = "shot", frames: int = P.FLIP_FR
 
 
 def possession_frames(spans: DataFrame, states: DataFrame, key: str = "shot", start: str = "start", end: str = "end", team: str = "team", step: int = 1) -> DataFrame:
-    """(key, frame, team) for each frame of a span [start, end): the team of the latest state begun by then; null before the first."""
+    """(key, frame, team) for each frame of a span [start, end): the team of the latest state begun by then, in the span or before it; null before the first."""
     spine = spans.select(key, F.explode(F.sequence(F.col(start), F.col(end) - 1, F.lit(step))).alias("frame"))
-    begun = states.groupBy(key, F.col("start").alias("frame")).agg(F.max_by(team, F.struct("end", team)).alias("_begun"))
-    w = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(begun, [key, "frame"], "left").select(key, "frame", F.last("_begun", True).over(w).alias(team))
+    begun = states.groupBy(key, F.col("start").alias("frame")).agg(F.max_by(team, F.struct("end", team)).alias(team))
+    return latest_before(spine, begun, key, "frame", team)
+
+
+def latest_before(spine: DataFrame, marks: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """Each spine row (key, order) with the values of the last mark at or before it, whether or not a spine row stands there."""
+    both = marks.select(key, order, F.struct(*values).alias("_mark"), F.lit(0).alias("_is_row")).unionByName(spine.select(key, order, F.lit(1).alias("_is_row")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(order, "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_mark", F.last("_mark", True).over(w)).where("_is_row = 1").select(key, order, *[F.col(f"_mark.{v}").alias(v) for v in values])
 
 
 def possession_share(frames: DataFrame, team: str = "team", light: str = "light", dark: str = "dark") -> DataFrame:
@@ -85,8 +91,8 @@ def possession_share(frames: DataFrame, team: str = "team", light: str = "light"
     return frames.where(F.col(team).isNotNull()).agg(share(light).alias("light"), share(dark).alias("dark"))
 
 
-def cumulative_counts(events: DataFrame, frames: DataFrame, key: str = "shot", kits: tuple[str, str] = ("light", "dark"), types: tuple[str, str] = ("pass", "interception")) -> DataFrame:
-    """Running totals per frame: <kit>_<type>, <kit>_possession in per cent of the frames so far (null before any)."""
+def cumulative_counts(events: DataFrame, frames: DataFrame, key: str = "clip", kits: tuple[str, str] = ("light", "dark"), types: tuple[str, str] = ("pass", "interception")) -> DataFrame:
+    """Running totals per frame of a clip, over all its shots: <kit>_<type>, <kit>_possession in per cent of the frames so far (null before any)."""
     hits = events.groupBy(key, "frame").agg(*[F.count_if((F.col("team") == k) & (F.col("type") == t)).alias(f"{k}_{t}") for k in kits for t in types])
     w = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     joined = frames.join(hits, [key, "frame"], "left")

@@ -30,9 +30,12 @@ def head_tail_mean(people: DataFrame, keys: list[str], order: str, columns: list
 
 
 def assign_teams(summary: DataFrame, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
-    """(shot, track_id, team): three colour clusters ordered by lightness: dark, other, light. Tracks with too little to go by are unknown."""
+    """(shot, track_id, team): three colour clusters ordered by lightness: dark, other, light. Tracks with too little to go by are unknown, and so are all where fewer than three colours are left."""
     ok = (F.col("n_colour") >= P.MIN_COLOUR) & (F.col("inside_share") >= P.MIN_INSIDE_SHARE) & (F.col("frames") >= P.MIN_TRACK_FRAMES)
-    whole = VectorAssembler(inputCols=["L", "a", "b"], outputCol="_lab", handleInvalid="skip").transform(summary.where(ok)).select("shot", "track_id", "_lab")
+    whole = VectorAssembler(inputCols=["L", "a", "b"], outputCol="_lab", handleInvalid="skip").transform(summary.where(ok)).select("shot", "track_id", "_lab").persist()
+    if whole.select("_lab").distinct().limit(3).count() < 3:
+        whole.unpersist()
+        return summary.select("shot", "track_id", F.lit("unknown").alias("team"))
     models = [KMeans(k=3, seed=s, featuresCol="_lab", predictionCol="_c").fit(whole) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
     order = sorted(range(3), key=lambda k: best.clusterCenters()[k][0])

@@ -171,7 +171,7 @@ def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A sampling operator: 100 customers in the order of a seeded hash."""
-    return read(spark, d, "customer").orderBy(F.xxhash64("c_custkey", F.lit(42)), "c_custkey").limit(100).select("c_custkey", "c_name")
+    return read(spark, d, "customer").orderBy(F.md5(F.concat(F.lit("42:"), F.col("c_custkey").cast("string"))), "c_custkey").limit(100).select("c_custkey", "c_name")
 
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -228,7 +228,7 @@ SELECT ord, z.zone, count(*) FILTER (WHERE made) AS made, count(s.zone) AS attem
     "foul_counts": _FOULS,
     "fouls_on_tabs": f"""
 WITH f AS ({_FOULS})
-SELECT event_type AS team, 0 AS row_kind, CAST(user_id AS VARCHAR) AS "PLAYER", round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 1) AS "PTS", CAST(coalesce(max(technical), 0) AS DOUBLE) AS technical, CAST(coalesce(max(flagrant), 0) AS DOUBLE) AS flagrant
+SELECT event_type AS team, 0 AS row_kind, CAST(user_id AS VARCHAR) AS "PLAYER", round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 1) AS "PTS", CAST(max(technical) AS DOUBLE) AS technical, CAST(max(flagrant) AS DOUBLE) AS flagrant
 FROM events LEFT JOIN f ON CAST(user_id AS VARCHAR) = f.player GROUP BY event_type, user_id
 UNION ALL SELECT event_type, 1, 'TEAM', round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 1), NULL, NULL FROM events GROUP BY event_type""",
     "share_of_team": "SELECT s_suppkey, s_nationkey, round_even(100.0 * s_acctbal / nullif(sum(s_acctbal) OVER (PARTITION BY s_nationkey), 0), 1) AS s_acctbal FROM supplier",
@@ -247,6 +247,7 @@ SELECT o_orderkey AS game_id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'T' ||
     "held_flag": "SELECT l_partkey, l_suppkey, bool_or(l_returnflag = 'R') AS held FROM lineitem GROUP BY 1, 2",
     "season_counts": "SELECT CAST(year(o_orderdate) AS INT) AS season, count(*) AS games, count(DISTINCT o_custkey) AS teams FROM orders GROUP BY 1",
     "pattern_counts": "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z])the([^A-Za-z]|$)') GROUP BY 1",
+    "seeded_sample": "SELECT c_custkey, c_name FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 100",
     "profile_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(*) = 0 AS empty FROM {t}" for t in _TABLES),
     "markdown_rows": "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS row FROM nation",
     "split_rule": "SELECT CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT user_id) AS shots FROM events GROUP BY 1",

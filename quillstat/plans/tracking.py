@@ -97,6 +97,27 @@ def possession_frames(spark: SparkSession, d: str) -> DataFrame:
     return possession.possession_frames(_spans(spark, d), states)
 
 
+_LATE = (100, 700, 6)
+
+
+def _late_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every sixth hour of a span that begins after most users' first events."""
+    start, end, _ = _LATE
+    return _spans(spark, d).select("shot", F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
+
+
+def possession_late(spark: SparkSession, d: str) -> DataFrame:
+    """States that began before the span, or between its frames, count."""
+    states = _events(spark, d).select(F.col("user_id").alias("shot"), F.col("hour").alias("start"), F.col("event_id").alias("end"), F.col("event_type").alias("team"))
+    return possession.possession_frames(_late_frames(spark, d), states, step=_LATE[2])
+
+
+def banner_thinned(spark: SparkSession, d: str) -> DataFrame:
+    """Banners of events on hours that are not shown."""
+    hits = _events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("shot"), F.col("hour").alias("frame"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("what"))
+    return clip.banners(possession_late(spark, d).select("shot", "frame"), hits, "shot", "what", 10)
+
+
 def possession_share(spark: SparkSession, d: str) -> DataFrame:
     share = possession.possession_share(possession_frames(spark, d).where("team IN ('click', 'view')"), light="click", dark="view")
     return share.select(half_even(F.col("light"), 6).alias("light"), half_even(F.col("dark"), 6).alias("dark"))
@@ -104,7 +125,7 @@ def possession_share(spark: SparkSession, d: str) -> DataFrame:
 
 def running_counts(spark: SparkSession, d: str) -> DataFrame:
     hits = _events(spark, d).select(F.col("user_id").alias("shot"), F.col("hour").alias("frame"), F.when(F.col("k") < 50, "pass").otherwise("interception").alias("type"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("team"))
-    out = possession.cumulative_counts(hits, possession_frames(spark, d), kits=("click", "view"))
+    out = possession.cumulative_counts(hits, possession_frames(spark, d), "shot", kits=("click", "view"))
     return out.withColumns({c: half_even(F.col(c), 4) for c in ("click_possession", "view_possession")})
 
 
@@ -265,7 +286,7 @@ def best_per_bin(spark: SparkSession, d: str) -> DataFrame:
     return clip.best_per_bin(_events(spark, d), F.floor(F.col("k") / 10), "value", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (score_timeline, scoring_runs, team_leads, contested_holder, holder_states, pass_events, flipflop_drop, possession_frames, possession_share, running_counts, gap_fill, static_clutter, near_semi, homography_map, smooth_motion, player_table, track_summary, head_tail_mean, kit_clusters, stitch_tracks, ball_path, thin_labels, first_candidates, spike_cuts, segments, coverage_spine, banner_window, next_frame, thin_frames, best_per_bin)}
+QUERIES = {f.__name__: f for f in (score_timeline, scoring_runs, team_leads, contested_holder, holder_states, pass_events, flipflop_drop, possession_frames, possession_late, banner_thinned, possession_share, running_counts, gap_fill, static_clutter, near_semi, homography_map, smooth_motion, player_table, track_summary, head_tail_mean, kit_clusters, stitch_tracks, ball_path, thin_labels, first_candidates, spike_cuts, segments, coverage_spine, banner_window, next_frame, thin_frames, best_per_bin)}
 
 _NX, _NY = "(1 + 0.01 * n)", "(0.0001 * n)"
 SQL = {
@@ -285,6 +306,10 @@ c AS (SELECT *, min(metric) FILTER (WHERE side <> bs) OVER (PARTITION BY l_partk
     "flipflop_drop": f"""WITH {_PASSES}, i AS (SELECT *, lag(team) OVER w AS lt, lag(frame) OVER w AS lf, lead(team) OVER w AS nt, lead(frame) OVER w AS nf FROM ev2 WHERE type = 'interception' WINDOW w AS (PARTITION BY user_id ORDER BY frame, from_pid))
 SELECT * FROM ev2 WHERE type = 'pass' UNION ALL SELECT user_id, frame, type, team, from_pid, to_pid, dist_m, gap_s FROM i WHERE NOT coalesce(lt <> team AND frame - lf <= 1500, false) AND NOT coalesce(nt <> team AND nf - frame <= 1500, false)""",
     "possession_frames": f"WITH {_POSS} SELECT * FROM pf",
+    "possession_late": f"""WITH ev AS ({_EV}), sp AS (SELECT user_id AS shot, CAST(h AS BIGINT) AS frame FROM (SELECT DISTINCT user_id FROM events), generate_series({_LATE[0]}, {_LATE[1] - 1}, {_LATE[2]}) g(h)),
+b AS (SELECT user_id AS shot, hour AS frame, max_by(event_type, event_id) AS team FROM ev GROUP BY 1, 2) SELECT sp.shot, sp.frame, b.team FROM sp ASOF LEFT JOIN b ON sp.shot = b.shot AND sp.frame >= b.frame""",
+    "banner_thinned": f"""WITH ev AS ({_EV}), sp AS (SELECT user_id AS shot, CAST(h AS BIGINT) AS frame FROM (SELECT DISTINCT user_id FROM events), generate_series({_LATE[0]}, {_LATE[1] - 1}, {_LATE[2]}) g(h)),
+p AS (SELECT user_id AS shot, hour AS at, max('e' || event_id) AS what FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT sp.shot, sp.frame, CASE WHEN sp.frame - p.at <= 10 THEN p.what END AS what FROM sp ASOF LEFT JOIN p ON sp.shot = p.shot AND sp.frame >= p.at""",
     "possession_share": f"WITH {_POSS} SELECT round_even(avg(CASE WHEN team = 'click' THEN 1.0 ELSE 0 END), 6) AS light, round_even(avg(CASE WHEN team = 'view' THEN 1.0 ELSE 0 END), 6) AS dark FROM pf WHERE team IN ('click', 'view')",
     "running_counts": f"""WITH {_POSS}, h AS (SELECT user_id AS shot, hour AS frame, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}' AND k {op} 50) AS {t}_{y}" for t in ('click', 'view') for y, op in (('pass', '<'), ('interception', '>=')))} FROM ev GROUP BY 1, 2),
 j AS (SELECT shot, frame, {', '.join(f"CAST(sum(coalesce({t}_{y}, 0)) OVER w AS BIGINT) AS {t}_{y}" for t in ('click', 'view') for y in ('pass', 'interception'))}, sum(CASE WHEN team = 'click' THEN 1 ELSE 0 END) OVER w AS c, sum(CASE WHEN team = 'view' THEN 1 ELSE 0 END) OVER w AS v FROM pf LEFT JOIN h USING (shot, frame) WINDOW w AS (PARTITION BY shot ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

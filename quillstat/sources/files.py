@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def suffixes(spark: SparkSession, pattern: str) -> list[int]:
+    """The numbers that stand before the extension of the files a glob finds."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted({int(m[1]) for f in found if (m := re.search(r"_([0-9]+)\.csv$", f.getPath().getName()))})
+
+
 def bundle_table(spark: SparkSession, root: str, endpoint: str, suffix: int, games: str = "*", ordered: bool = False) -> DataFrame | None:
     """One table of an endpoint over all chosen games, keyed by its file suffix; null only for the empty field; None if no game has it.
 
@@ -34,13 +43,21 @@ def bundle_table(spark: SparkSession, root: str, endpoint: str, suffix: int, gam
 
 
 def load_bundle(spark: SparkSession, root: str, games: str = "*") -> dict[tuple[str, int], DataFrame]:
-    """Every table that some game has, by (endpoint, suffix). Raises if there is none."""
-    found = {(e, k): t for e in ENDPOINTS for k in range(10) if (t := bundle_table(spark, root, e, k, games, e == "playbyplay")) is not None}
+    """Every table that some game has, by (endpoint, suffix), whatever the suffix. Raises if there is none."""
+    found = {(e, k): bundle_table(spark, root, e, k, games, e == "playbyplay") for e in ENDPOINTS for k in suffixes(spark, f"{root}/{games}/{e}_*.csv")}
     if not found:
         raise FileNotFoundError(f"no game tables under {root}/{games}")
     return found
 
 
+def load_sample(spark: SparkSession, root: str, game_id: str) -> dict[tuple[str, int], DataFrame]:
+    """One game's tables. Raises if an endpoint has none."""
+    found = load_bundle(spark, root, game_id)
+    if missing := [e for e in ENDPOINTS if e not in {e for e, _ in found}]:
+        raise FileNotFoundError(f"game {game_id}: no table of {', '.join(missing)}")
+    return found
+
+
 def sample_games(spark: SparkSession, root: str, season: str | None = None) -> DataFrame:
     games = spark.read.schema(GAMES).option("header", True).option("nullValue", "").csv(f"{root}/games.csv")
     return games if season is None else games.where(F.col("season") == season)

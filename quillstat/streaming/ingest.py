@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +19,21 @@ def pending(shots: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def land_shots(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Lands each shot's rows once, in the target's partition shot=<n>.
+    """Lands each row once, in the target's partitions shot=<n>/batch=<k>.
 
-    A batch that is replayed after a crash overwrites the partitions it had written (dynamic overwrite), so no shot is
-    ever doubled; shots landed by earlier batches are left out.
+    A batch that is replayed after a crash overwrites the partitions it had written (dynamic overwrite), so nothing is
+    ever doubled; rows that earlier batches landed are left out, further rows of the same shot are added.
     """
 
     def land(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if exists(batch.sparkSession, f"{target}/_batches"):
-            seen = batch.sparkSession.read.schema("shot long, batch long").parquet(f"{target}/_batches").where(F.col("batch") < number)
-            rows = batch.join(seen.select("shot").distinct(), "shot", "left_anti")
-        rows = rows.persist()
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shot").parquet(f"{target}/rows")
-        rows.select("shot").distinct().withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/_batches")
-        rows.unpersist()
+        rows = batch.dropDuplicates()
+        if exists(batch.sparkSession, f"{target}/rows"):
+            columns = batch.columns
+            seen = batch.sparkSession.read.schema(f"{schema}, batch long").parquet(f"{target}/rows").where(F.col("batch") < number)
+            seen = seen.join(batch.select("shot").distinct(), "shot", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in columns])
+            same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), columns, F.lit(True))
+            rows = rows.join(seen, same, "left_anti")
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shot", "batch").parquet(f"{target}/rows")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -74,7 +74,7 @@ def test_optional_columns(spark):
     assert boxscore.drop_empty_columns(df).columns == ["TEAM", "x"]
     assert boxscore.conform(df, {"x": "bigint", "z": "string"}).first() == (3, None)
     line = spark.createDataFrame([("A", 20, 30, 8, 58)], "teamTricode string, period1Score int, period2Score int, period5Score int, score int")
-    assert boxscore.line_score(line).columns == ["TEAM", "Q1", "Q2", "Q3", "T"]
+    assert boxscore.line_score(line).columns == ["TEAM", "Q1", "Q2", "OT1", "FINAL"]
 
 
 def test_timeline_and_runs(spark):
