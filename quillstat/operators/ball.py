@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +46,14 @@ def drop_static(candidates: DataFrame) -> DataFrame:
 
 
 def near_flag(left: DataFrame, right: DataFrame, keys: list[str], xy: tuple[str, str], other: tuple[str, str], radius: float) -> DataFrame:
-    """near: whether some row of `right` with equal keys stands within the radius."""
-    r = right.groupBy(*keys).agg(F.collect_list(F.struct(F.col(other[0]).alias("x"), F.col(other[1]).alias("y"))).alias("_others"))
-    close = F.exists("_others", lambda o: F.hypot(F.col(xy[0]) - o["x"], F.col(xy[1]) - o["y"]) <= radius)
-    return left.join(r, keys, "left").withColumn("near", F.coalesce(close, F.lit(False))).drop("_others")
+    """near: whether some row of `right` with equal keys stands within the radius: an equi-join on grid cells of that size, `right` dealt to nine of them."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+    spots = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(other[0]).alias("_rx"), F.col(other[1]).alias("_ry")).where("_rx IS NOT NULL AND _ry IS NOT NULL").distinct()
+    spots = spots.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": cell("_rx") + F.col("_dx"), "_cy": cell("_ry") + F.col("_dy")})
+    same = reduce(lambda a, k: a & (F.col(k) == F.col(f"_r_{k}")), keys, (cell(xy[0]) == F.col("_cx")) & (cell(xy[1]) == F.col("_cy")))
+    close = same & (F.hypot(F.col(xy[0]) - F.col("_rx"), F.col(xy[1]) - F.col("_ry")) <= radius)
+    return left.join(spots, close, "left_semi").withColumn("near", F.lit(True)).unionByName(left.join(spots, close, "left_anti").withColumn("near", F.lit(False)))
 
 
 def player_bonus(candidates: DataFrame, people: DataFrame) -> DataFrame:
@@ -123,9 +131,20 @@ def ball_track(balls: DataFrame, frames: DataFrame, people: DataFrame) -> DataFr
 
 
 def thin_labels(rows: DataFrame, key: str, order: str, apart: int = 3) -> DataFrame:
-    """Per key, the first row and then each row at least `apart` after the last one kept: a fold over the key's sorted places."""
-    kept = F.aggregate(F.array_sort(F.collect_set(order)), F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= apart), F.concat(acc, F.array(x))).otherwise(acc))
-    return rows.groupBy(key).agg(kept.alias("_kept")).select(key, F.explode("_kept").alias(order))
+    """(key, order), longs: per key, the first row and then each row at least `apart` after the last one kept. Sorted rows are streamed; only the last kept place is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            keep = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keep.append(last is None or k != now or at - last >= apart)
+                if keep[-1]:
+                    now, last = k, at
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    places = rows.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order)).where(F.col(order).isNotNull()).distinct()
+    return places.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"`{key}` long, `{order}` long")
 
 
 def first_candidates(rows: DataFrame, keys: list[str], order: str, n: int = 6) -> DataFrame:

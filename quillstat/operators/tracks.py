@@ -122,16 +122,17 @@ def smooth_motion(rows: DataFrame, keys: list[str], frame: str = "frame", x: str
     whole = Window.partitionBy(*keys, "run")
     runs = spine.withColumn("run", run).withColumns({"n": F.count("*").over(whole), "k": F.row_number().over(inner)})
     runs = runs.withColumn("ok", F.col("ok") & (F.col("n") >= P.SMOOTH_WINDOW))
-    around = inner.rowsBetween(-_HALF, _HALF)
-    runs = runs.withColumns({"_xs": F.collect_list("x").over(around), "_ys": F.collect_list("y").over(around)})
-    dot = lambda values, weights: sum((F.element_at(values, i + 1) * F.lit(weight) for i, weight in enumerate(weights)), F.lit(0.0))
+    shifts = range(-_HALF, _HALF + 1)
+    runs = runs.withColumns({f"_{c}{i}": F.lead(c, i).over(inner) if i > 0 else F.lag(c, -i).over(inner) for c in ("x", "y") for i in shifts if i})
+    at = lambda c, i: F.col(f"_{c}{i}" if i else c)
+    dot = lambda c, weights: sum((at(c, i) * F.lit(weight) for i, weight in zip(shifts, weights, strict=True)), F.lit(0.0))
     mid = F.col("ok") & (F.col("k") > _HALF) & (F.col("k") <= F.col("n") - _HALF)
-    full = runs.withColumns({"_vx": F.when(mid, dot("_xs", _SLOPE) * fps), "_vy": F.when(mid, dot("_ys", _SLOPE) * fps), "_px": F.when(mid, dot("_xs", _POSITION)), "_py": F.when(mid, dot("_ys", _POSITION))})
+    full = runs.withColumns({"_vx": F.when(mid, dot("x", _SLOPE) * fps), "_vy": F.when(mid, dot("y", _SLOPE) * fps), "_px": F.when(mid, dot("x", _POSITION)), "_py": F.when(mid, dot("y", _POSITION))})
     speed = F.hypot("_vx", "_vy")
     # The window around the first (last) whole row serves the rows before (after) it.
-    every = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    window = F.when(mid, F.struct("_xs", "_ys", speed.alias("s")))
-    full = full.withColumns({"_first": F.first(window, True).over(every), "_last": F.last(window, True).over(every)})
+    window = F.struct(F.array(*[at("x", i) for i in shifts]).alias("_xs"), F.array(*[at("y", i) for i in shifts]).alias("_ys"), speed.alias("s"))
+    one = lambda k: F.first(F.when(mid & (F.col("k") == k), window), True).over(whole)  # noqa: E731  the only row there is
+    full = full.withColumns({"_first": one(_HALF + 1), "_last": one(F.col("n") - _HALF)})
     edge = _edge_rows()
 
     def placed(p: str, values: str) -> Column:

@@ -235,7 +235,7 @@ def ball_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thin_labels(spark: SparkSession, d: str) -> DataFrame:
-    return ball.thin_labels(_events(spark, d), "user_id", "hour", 3)
+    return ball.thin_labels(_events(ship(spark), d), "user_id", "hour", 3)
 
 
 def first_candidates(spark: SparkSession, d: str) -> DataFrame:

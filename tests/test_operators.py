@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillstat.functions import params as P
 from quillstat.functions.scalar import elapsed_minutes, half_even, minutes
-from quillstat.operators import ball, boxscore, clip, possession, timeline, tracks
+from quillstat.operators import ball, boxscore, clip, possession, summary, timeline, tracks
 
 
 def rows(spark, data, schema, seed=0):
@@ -259,3 +262,59 @@ def test_empty_inputs(spark):
     assert tracks.smooth_motion(people, ["pid"]).count() == 0
     holders = spark.createDataFrame([], "shot long, frame long, pid string, team string")
     assert possession.holder_states(holders).count() == 0
+
+
+def test_states_and_banners_off_the_spine(spark):
+    spans = spark.createDataFrame([(0, 10, 16)], "shot long, start long, end long")
+    states = spark.createDataFrame([(0, 5, 9, "light"), (0, 13, 20, "dark")], "shot long, start long, end long, team string")
+    assert [r.team for r in possession.possession_frames(spans, states).orderBy("frame").collect()] == ["light"] * 3 + ["dark"] * 3
+    assert [tuple(r)[1:] for r in possession.possession_frames(spans, states, step=2).orderBy("frame").collect()] == [(10, "light"), (12, "light"), (14, "dark")]
+    frames = spark.createDataFrame([(0, k) for k in range(0, 60, 6)], "shot long, frame long")
+    shown = clip.banners(frames, spark.createDataFrame([(0, 10, "pass")], "shot long, frame long, what string"), "shot", "what")
+    assert {r.frame for r in shown.where("what = 'pass'").collect()} == {12, 18, 24, 30, 36, 42}
+    spots = spark.createDataFrame([("a", 1, None, None), ("a", 1, 3.0, 4.0)], "pid string, frame long, Xs double, Ys double")
+    one = spark.createDataFrame([(0, "a", 1, 1)], "shot long, pid string, start long, end long")
+    assert possession.with_positions(one, spots).first().X0 == 3.0
+
+
+def test_counts_run_over_a_clip(spark):
+    events = spark.createDataFrame([("c", 1, "pass", "light"), ("c", 5, "pass", "light")], "clip string, frame long, type string, team string")
+    frames = spark.createDataFrame([("c", k, "light" if k < 4 else None) for k in (0, 1, 2, 4, 5, 6)], "clip string, frame long, team string")
+    got = possession.cumulative_counts(events, frames).orderBy("frame").collect()
+    assert [r.light_pass for r in got] == [0, 1, 1, 1, 2, 2] and got[-1].light_possession == 100.0
+
+
+def test_kits_need_three_colours(spark):
+    schema = "shot long, track_id long, frames long, inside_share double, n_colour long, L double, a double, b double"
+    for n in (0, 2):
+        rows_ = spark.createDataFrame([(0, k, 50, 1.0, 20, 10.0 * k, 0.0, 0.0) for k in range(n)] + [(0, 9, 1, 1.0, 0, None, None, None)], schema)
+        assert {r.team for r in tracks.assign_teams(rows_).collect()} == {"unknown"}
+
+
+def test_chains_equal_a_loop(spark):
+    """Greedy stitching of random scenes against a plain loop over whole tracks."""
+    rng = random.Random(9)
+    for _ in range(20):
+        scene = []
+        for k in range(30):
+            first = rng.randrange(200)
+            scene.append((0, k, rng.choice(["light", "dark"]), first, first + rng.randrange(5, 40), *(rng.uniform(0, 8) for _ in range(4))))
+        names = ["shot", "track_id", "team", "first", "last", "head_X", "head_Y", "tail_X", "tail_Y"]
+        got = {r.track_id: r.pid for r in tracks._chains(pd.DataFrame(scene, columns=names)).itertuples()}
+        chains, want = [], {}
+        for t in sorted(scene, key=lambda t: (t[3], t[1])):
+            near = [(math.dist(t[5:7], c[-1][7:9]), i) for i, c in enumerate(chains) if c[0][2] == t[2] and 0 < t[3] - c[-1][4] <= P.STITCH_GAP and math.dist(t[5:7], c[-1][7:9]) <= P.STITCH_SPEED * (t[3] - c[-1][4]) / P.FPS + P.STITCH_SLACK]
+            if near:
+                chains[min(near)[1]].append(t)
+                want[t[1]] = f"s0-p{min(near)[1]}"
+            else:
+                chains.append([t])
+                want[t[1]] = f"s0-p{len(chains) - 1}"
+        assert got == want
+
+
+def test_summary_document(spark):
+    totals = spark.createDataFrame([(1.5, 3)], "clip_seconds double, usable_shots long")
+    stats = spark.createDataFrame([("BOS", "light", 7), ("GSW", "dark", 16)], "team string, kit string, passes long")
+    doc = json.loads(summary.summary_document(totals, stats, spark.createDataFrame([(5,)], "raw_tracks long")).first().json)
+    assert doc == {"clip_seconds": 1.5, "usable_shots": 3, "team_stats": {"BOS": {"kit": "light", "passes": 7}, "GSW": {"kit": "dark", "passes": 16}}, "quality": {"raw_tracks": 5}}

@@ -77,3 +77,18 @@ def test_streaming_runs_and_windows(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("runs").collect()) == [(1, "a", 0, 0, 1), (1, "b", 1, 3, 3)]
     batch = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:50:00", "x"), ("2024-01-01 01:10:00", "x")], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type")
     assert sorted(r.n for r in ingest.windowed_counts(batch).collect()) == [1, 2]
+
+
+def test_any_suffix_and_missing_endpoints(spark, bundle, tmp_path):
+    (tmp_path / "0042100401" / "summary_12.csv").write_text("gameId,x\n0042100401,1\n")
+    assert ("summary", 12) in files.load_bundle(spark, bundle)
+    with pytest.raises(FileNotFoundError, match="traditional"):
+        files.load_sample(spark, bundle, "0042100401")
+
+
+def test_later_rows_of_a_shot_are_landed(spark, tmp_path):
+    src, dst, schema = f"{tmp_path}/in", f"{tmp_path}/out", "shot long, frame long"
+    for batch in ([(1, 1)], [(1, 2), (1, 1)], [(1, 3)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest.land_shots(spark, src, schema, dst, f"{tmp_path}/cp").awaitTermination()
+    assert sorted((r.shot, r.frame) for r in spark.read.parquet(f"{dst}/rows").collect()) == [(1, 1), (1, 2), (1, 3)]
