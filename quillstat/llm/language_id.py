@@ -13,8 +13,8 @@ The features of the sampled documents, and one number a bucket, are all that rea
 parameters. Prediction is one pass over whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled document to learn from,
-every text is `und`; a null lang is no label; rows that share an id are told apart by their texts, and of rows that share
-both all or none are sampled; beyond SAMPLE / LEAST languages the rarest are left out; other columns play no part.
+every text is `und`; a null lang is no label; rows that share an id are told apart by their texts, and rows that share both
+are sampled together, up to their language's part; beyond SAMPLE / LEAST languages the rarest are left out; other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import bucket_of_id, table
@@ -149,10 +148,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [counts(x) for x in b.column(2).to_pylist()]
+        rows = [counts(x) for x in b.column("text").to_pylist()]
         at = [np.flatnonzero(c) for c in rows]
         packed = [pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<u4").tobytes() for c, a in zip(rows, at, strict=True)], pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], ["h", "lang", "at", "c"])
+        yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("h", "lang", "k")), *packed], ["h", "lang", "k", "at", "c"])
 
 
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
@@ -174,12 +173,14 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
         below = {r.lang: max(r.first, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.2 * part[r.lang] / r.n)))) for r in labels}
         limits = docs.sparkSession.createDataFrame(list(below.items()), "of string, below long")
         rows = rows.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(order <= F.col("below"))
-    chosen = rows.select(order.alias("h"), "lang", "text").mapInArrow(_counted, "h long, lang string, at binary, c binary")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "c"))
-    chosen = chosen.withColumn("nth", nth)
-    chosen = chosen.where(reduce(lambda a, x: a | ((F.col("lang") == x[0]) & (F.col("nth") <= x[1])), part.items(), F.lit(False))) if part else chosen
-    got = sorted((r.h, r.lang, bytes(r.at), bytes(r.c)) for r in chosen.collect())
-    got = [(lang, np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(c, "<u4")) for _, lang, at, c in got]
+    # Rows that share id and text come as one with their number, so no key gathers rows; what is left is bounded by `sample`.
+    once = rows.groupBy(order.alias("h"), "lang").agg(F.count("*").alias("k"), F.min("text").alias("text"))
+    chosen = once.mapInArrow(_counted, "h long, lang string, k long, at binary, c binary").collect()
+    got, left = [], dict(part)
+    for r in sorted(chosen, key=lambda r: (r.h, r.lang)):
+        k = min(r.k, left.get(r.lang, 0)) if part else r.k
+        left[r.lang] = left.get(r.lang, 0) - k
+        got += [(r.lang, np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.c, "<u4"))] * k
     langs = sorted({lang for lang, _, _ in got})
     vectors = []
     for lang, at, c in got:

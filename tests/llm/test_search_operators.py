@@ -330,6 +330,9 @@ def test_language_id(spark):
     # Rows that all share one id, and a language with 1 in 300 of them.
     same = documents(spark, [(7, t, lang) for _, t, lang in rows] + [(7, "0123 zzzz 9876", "rare")])
     assert language_id.train(same, F.lit(True), sample=80).langs == ["aa", "bb", "cc", "rare"]
+    # Rows that share id and text, over a third of all: they count up to their language's part, and nothing else is displaced.
+    copied = documents(spark, rows + [(7, "abcde fgh", "aa")] * 200)
+    assert language_id.train(copied, F.lit(True), sample=80).langs == ["aa", "bb", "cc"]
     none = language_id.train(empty(spark), learn)
     assert language_id.predict(docs, none).where("lang_pred <> 'und'").count() == 0
     assert language_id.predict(empty(spark), model).count() == 0
