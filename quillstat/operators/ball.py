@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions import params as P
@@ -28,15 +28,26 @@ def candidate_table(balls: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def neighbours(df: DataFrame, key: str, order: str, reach: int, places: dict[str, tuple[tuple[str, str], float]]) -> DataFrame:
-    """n_<name>: other rows of the key within `reach` of `order` whose (x, y) lies within a radius. places: name -> ((x, y), radius)."""
-    w = Window.partitionBy(key).orderBy(order).rangeBetween(-reach, reach)
-    columns = sorted({c for (x, y), _ in places.values() for c in (x, y)})
-    near = df.withColumn("_near", F.collect_list(F.struct(*columns)).over(w))
+    """n_<name>: other rows of the key within `reach` of `order` whose (x, y) lies within a radius. places: name -> ((x, y), radius).
 
-    def count(x: str, y: str, radius: float) -> Column:
-        return F.size(F.filter("_near", lambda s: F.hypot(s[x] - F.col(x), s[y] - F.col(y)) <= radius)) - 1
-
-    return near.withColumns({f"n_{name}": count(x, y, radius) for name, ((x, y), radius) in places.items()}).drop("_near")
+    Equal places meet once, with their number. They meet by an equi-join on cells twice as wide as the reach and the
+    radius, one side dealt to the (mostly eight) cells that its surroundings touch. A row without key, order or place
+    counts not even itself: -1.
+    """
+    for name, ((x, y), radius) in places.items():
+        wide = {"t": float(reach), "x": radius * (1 + 1e-9), "y": radius * (1 + 1e-9)}
+        cell = lambda c, by, off=0.0: F.floor((F.col(f"_{c}") + off) / (2 * by))
+        spots = df.select(F.col(key).alias("_key"), F.col(order).alias("_t"), F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
+        spots = spots.groupBy("_key", "_t", "_x", "_y").agg(F.count("*").alias("_m"))
+        others = spots.select("_key", F.col("_t").alias("_t2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_m").alias("_m2"), *[F.sequence(cell(c, by, -by), cell(c, by, by)).alias(f"_c{c}") for c, by in wide.items()])
+        for c in wide:
+            others = others.withColumn(f"_c{c}", F.explode(f"_c{c}"))
+        spots = spots.drop("_m").withColumns({f"_c{c}": cell(c, by) for c, by in wide.items()})
+        met = spots.join(others, ["_key", "_ct", "_cx", "_cy"]).where((F.abs(F.col("_t") - F.col("_t2")) <= reach) & (F.hypot(F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")) <= radius))
+        counts = met.groupBy("_key", "_t", "_x", "_y").agg(F.sum("_m2").alias("_n"))
+        own = (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_t")) & (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))
+        df = df.join(counts, own, "left").withColumn(f"n_{name}", F.coalesce("_n", F.lit(0)) - 1).drop("_key", "_t", "_x", "_y", "_n")
+    return df
 
 
 def drop_static(candidates: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ An event's user is its shot (or game), its minute or hour of the month its frame
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.scalar import half_even, inverse, project
@@ -216,22 +216,27 @@ def kit_clusters(spark: SparkSession, d: str) -> DataFrame:
     return tracks.assign_teams(tracks.track_summary(_people(spark, d)))
 
 
+def _hundred(user: str) -> Column:
+    return F.floor(F.col(user) / 100)
+
+
 def stitch_tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks are short spells of a user; teams alternate."""
+    """A shot is a hundred users, so more users are more shots, not larger ones; tracks are short spells of it and teams alternate."""
     w = Window.partitionBy("shot").orderBy("frame")
-    e = _people(ship(spark), d).where("mapped").withColumn("_at", F.row_number().over(w))
+    e = _people(ship(spark), d).where("mapped").withColumn("shot", _hundred("track_id")).withColumn("_at", F.row_number().over(w))
     people = e.select("shot", (F.floor(F.col("_at") / 20)).alias("track_id"), F.col("_at").cast("long").alias("frame"), "mapped", "X", "Y", "L", "a", "b")
     summary = tracks.track_summary(people).withColumn("inside_share", F.lit(1.0))
     return tracks.stitch_tracks(people, summary, summary.select("shot", "track_id", F.when(F.col("track_id") % 2 == 0, "light").otherwise("dark").alias("team")))
 
 
 def ball_path(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates are events by hour; the court map is one constant matrix."""
+    """A shot is a hundred users; candidates are events by hour; the court map is one constant matrix."""
     e = _events(ship(spark), d)
-    balls = e.select((F.col("user_id") % 20).alias("shot"), F.col("hour").alias("frame"), (F.col("value") % 1.0).alias("conf"), (F.col("value") * 2).alias("cx"), (F.col("k") * 4).alias("cy"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    balls = e.select(_hundred("user_id").alias("shot"), F.col("hour").alias("frame"), (F.col("value") % 1.0).alias("conf"), (F.col("value") * 2).alias("cx"), (F.col("k") * 4).alias("cy"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
     cells = {c: F.lit(float(v)) for c, v in zip(ball.H, (10, 0, 0, 0, 10, 0, 0, 0, 1), strict=True)}
     frames = balls.select("shot", "frame").distinct().withColumns({"mapped": F.lit(True)} | cells)
-    return ball.ball_track(balls, frames, _people(spark, d).withColumn("frame", F.col("frame") % HOURS))
+    people = _people(spark, d).withColumns({"shot": _hundred("track_id"), "frame": F.col("frame") % HOURS})
+    return ball.ball_track(balls, frames, people)
 
 
 def thin_labels(spark: SparkSession, d: str) -> DataFrame:
