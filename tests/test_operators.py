@@ -150,6 +150,16 @@ def test_static_equals_brute_force(spark):
         assert n == sum(abs(f - g) <= 15 and (x - u) ** 2 + (y - v) ** 2 <= 9 for _, g, u, v in data) - 1
 
 
+def test_neighbours_of_repeats_bounds_and_nulls(spark):
+    data = [(1, 0, 0.0, 0.0)] * 40 + [(1, 15, 3.0, 0.0), (1, 16, 3.0, 0.0), (1, 0, -3.0, -0.0), (1, 0, 2.5, 2.5), (2, 0, 0.0, 0.0), (None, 0, 0.0, 0.0), (1, None, 0.0, 0.0), (1, 0, None, 0.0)]
+    df = rows(spark, data, "shot long, frame long, cx double, cy double")
+    got = ball.neighbours(df, "shot", "frame", 15, {"img": (("cx", "cy"), 3.0)})
+    assert got.columns == [*df.columns, "n_img"] and got.count() == len(data)
+    by = {tuple(r)[:4]: r.n_img for r in got.collect()}
+    assert by == {(1, 0, 0.0, 0.0): 41, (1, 15, 3.0, 0.0): 42, (1, 16, 3.0, 0.0): 1, (1, 0, -3.0, 0.0): 40, (1, 0, 2.5, 2.5): 1, (2, 0, 0.0, 0.0): 0, (None, 0, 0.0, 0.0): -1, (1, None, 0.0, 0.0): -1, (1, 0, None, 0.0): -1}
+
+
+
 def brute_path(frame, xy, reward):
     """All paths through a handful of candidates."""
     best = (-np.inf, [])
