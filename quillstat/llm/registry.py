@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstat.llm import byte_bpe, decontaminate, language_id, line_dedup, pii, simhash, suffix_tree, token_store, tool_calls, topk
+from quillstat.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle, pii, simhash, suffix_tree, token_store, tool_calls, topk, toxicity, vector_codes
 from quillstat.shipping import ship
 
 _MODULES = {
@@ -20,6 +20,9 @@ _MODULES = {
     "op8_byte_bpe": byte_bpe,
     "op9_simhash": simhash,
     "op10_line_dedup": line_dedup,
+    "op11_vector_codes": vector_codes,
+    "op12_merkle": merkle,
+    "op13_toxicity": toxicity,
 }
 
 
