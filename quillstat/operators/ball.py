@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import params as P
 from quillstat.functions.scalar import inverse, project
+from quillstat.scratch import Scratch
 
 H = [f"h{i}{j}" for i in range(3) for j in range(3)]
 
@@ -30,24 +31,28 @@ def candidate_table(balls: DataFrame, frames: DataFrame) -> DataFrame:
 def neighbours(df: DataFrame, key: str, order: str, reach: int, places: dict[str, tuple[tuple[str, str], float]]) -> DataFrame:
     """n_<name>: other rows of the key within `reach` of `order` whose (x, y) lies within a radius. places: name -> ((x, y), radius).
 
-    Equal places meet once, with their number. They meet by an equi-join on cells twice as wide as the reach and the
-    radius, one side dealt to the (mostly eight) cells that its surroundings touch. A row without key, order or place
-    counts not even itself: -1.
+    Rows of equal key, order and places meet once, with their number, all places in one equi-join: on cells twice as wide
+    as the reach and the radius, one side dealt to the (mostly eight) cells that its surroundings touch. A row without
+    key, order or place counts not even itself: -1.
     """
-    for name, ((x, y), radius) in places.items():
-        wide = {"t": float(reach), "x": radius * (1 + 1e-9), "y": radius * (1 + 1e-9)}
-        cell = lambda c, by, off=0.0: F.floor((F.col(f"_{c}") + off) / (2 * by))
-        spots = df.select(F.col(key).alias("_key"), F.col(order).alias("_t"), F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
-        spots = spots.groupBy("_key", "_t", "_x", "_y").agg(F.count("*").alias("_m"))
-        others = spots.select("_key", F.col("_t").alias("_t2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_m").alias("_m2"), *[F.sequence(cell(c, by, -by), cell(c, by, by)).alias(f"_c{c}") for c, by in wide.items()])
-        for c in wide:
-            others = others.withColumn(f"_c{c}", F.explode(f"_c{c}"))
-        spots = spots.drop("_m").withColumns({f"_c{c}": cell(c, by) for c, by in wide.items()})
-        met = spots.join(others, ["_key", "_ct", "_cx", "_cy"]).where((F.abs(F.col("_t") - F.col("_t2")) <= reach) & (F.hypot(F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")) <= radius))
-        counts = met.groupBy("_key", "_t", "_x", "_y").agg(F.sum("_m2").alias("_n"))
-        own = (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_t")) & (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))
-        df = df.join(counts, own, "left").withColumn(f"n_{name}", F.coalesce("_n", F.lit(0)) - 1).drop("_key", "_t", "_x", "_y", "_n")
-    return df
+    at = {c: F.col(c) for xy, _ in places.values() for c in xy}
+    held = {c: f"_v{k}" for k, c in enumerate(at)}
+    wide = df.select(F.col(key).alias("_key"), F.col(order).alias("_t"), *[at[c].cast("double").alias(v) for c, v in held.items()]).where("_key IS NOT NULL AND _t IS NOT NULL")
+    wide = wide.groupBy("_key", "_t", *held.values()).agg(F.count("*").alias("_m"))
+    each = F.array(*[F.struct(F.lit(k).alias("p"), F.col(held[x]).alias("x"), F.col(held[y]).alias("y"), F.lit(r).alias("r")) for k, ((x, y), r) in enumerate(places.values())])
+    long = wide.withColumn("_e", F.explode(each)).select("*", "_e.*").drop("_e").where("x IS NOT NULL AND y IS NOT NULL")
+    # A cell is a hair wider than its radius, so that rounding never puts two near rows further apart than next to each other.
+    cell = lambda c, half, off=0.0: F.floor((F.col(c) + off * half) / (2 * half))
+    axes = {"_t": F.lit(float(max(reach, 1))), "x": F.col("r") * (1 + 1e-9), "y": F.col("r") * (1 + 1e-9)}
+    others = long.select("_key", "p", *[F.col(c).alias(f"{c}2") for c in ("_t", "x", "y", "_m")], *[F.sequence(cell(c, h, -1.0), cell(c, h, 1.0)).alias(f"_c{c}") for c, h in axes.items()])
+    for c in axes:
+        others = others.withColumn(f"_c{c}", F.explode(f"_c{c}"))
+    own = long.withColumns({f"_c{c}": cell(c, h) for c, h in axes.items()}).drop("_m")
+    met = own.join(others, ["_key", "p", *[f"_c{c}" for c in axes]]).where((F.abs(F.col("_t") - F.col("_t2")) <= reach) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= F.col("r")))
+    counts = met.groupBy("_key", "_t", *held.values()).agg(*[F.sum(F.when(F.col("p") == k, F.col("_m2"))).alias(f"_n{k}") for k in range(len(places))])
+    same = reduce(lambda a, c: a & at[c].cast("double").eqNullSafe(F.col(held[c])), held, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_t")))
+    joined = df.join(counts, same, "left")
+    return joined.withColumns({f"n_{name}": F.coalesce(f"_n{k}", F.lit(0)) - 1 for k, name in enumerate(places)}).drop("_key", "_t", *held.values(), *[f"_n{k}" for k in range(len(places))])
 
 
 def drop_static(candidates: DataFrame) -> DataFrame:
@@ -57,14 +62,17 @@ def drop_static(candidates: DataFrame) -> DataFrame:
 
 
 def near_flag(left: DataFrame, right: DataFrame, keys: list[str], xy: tuple[str, str], other: tuple[str, str], radius: float) -> DataFrame:
-    """near: whether some row of `right` with equal keys stands within the radius: an equi-join on grid cells of that size, `right` dealt to nine of them."""
+    """near: whether some row of `right` with equal keys stands within the radius. The distinct places of `left` meet those of `right`, dealt to nine grid cells, in an equi-join; its hits are joined back."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    spots = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(other[0]).alias("_rx"), F.col(other[1]).alias("_ry")).where("_rx IS NOT NULL AND _ry IS NOT NULL").distinct()
+    spots = right.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(other[0]).alias("_rx"), F.col(other[1]).alias("_ry")).where("_rx IS NOT NULL AND _ry IS NOT NULL").distinct()
     spots = spots.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": cell("_rx") + F.col("_dx"), "_cy": cell("_ry") + F.col("_dy")})
-    same = reduce(lambda a, k: a & (F.col(k) == F.col(f"_r_{k}")), keys, (cell(xy[0]) == F.col("_cx")) & (cell(xy[1]) == F.col("_cy")))
-    close = same & (F.hypot(F.col(xy[0]) - F.col("_rx"), F.col(xy[1]) - F.col("_ry")) <= radius)
-    return left.join(spots, close, "left_semi").withColumn("near", F.lit(True)).unionByName(left.join(spots, close, "left_anti").withColumn("near", F.lit(False)))
+    names = [f"_k{n}" for n in range(len(keys))]
+    places = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y")).distinct().withColumns({"_cx": cell("_x"), "_cy": cell("_y")})
+    close = places.join(spots, [*names, "_cx", "_cy"]).where(F.hypot(F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry")) <= radius)
+    hits = close.select(*names, "_x", "_y").distinct().withColumn("_near", F.lit(True))
+    same = reduce(lambda a, kn: a & (F.col(kn[0]) == F.col(kn[1])), zip(keys, names, strict=True), (F.col(xy[0]) == F.col("_x")) & (F.col(xy[1]) == F.col("_y")))
+    return left.join(hits, same, "left").withColumn("near", F.coalesce("_near", F.lit(False))).drop(*names, "_x", "_y", "_near")
 
 
 def player_bonus(candidates: DataFrame, people: DataFrame) -> DataFrame:
@@ -117,9 +125,15 @@ def _select(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[chosen, ["shot", "frame", "cx", "cy", "conf"]]
 
 
-def select_ball(candidates: DataFrame, people: DataFrame) -> DataFrame:
-    """(shot, frame, cx, cy, conf): the ball's path through each shot. A shot, one camera take, is a group."""
-    clear = player_bonus(drop_static(candidates.where(F.col("cy") < P.OVERLAY_Y)), people)
+def select_ball(candidates: DataFrame, people: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(shot, frame, cx, cy, conf): the ball's path through each shot. A shot, one camera take, is a group.
+
+    Candidates are read several times, so they are written once to `scratch` (without one, until the driver ends), and so are those that are no clutter.
+    """
+    scratch = scratch or Scratch(candidates.sparkSession, "ball")
+    columns = ["shot", "frame", "cx", "cy", "conf", "Xp", "Yp"]
+    whole = scratch.write(candidates.where(F.col("cy") < P.OVERLAY_Y).select(*columns), "candidates")
+    clear = player_bonus(scratch.write(drop_static(whole), "clear"), people)
     rows = clear.select("shot", "frame", "cx", "cy", "conf", "Xp", "Yp", "bonus")
     return rows.groupBy("shot").applyInPandas(_select, "shot long, frame long, cx double, cy double, conf double")
 
@@ -136,9 +150,9 @@ def interpolate(track: DataFrame, keys: list[str], frame: str, values: list[str]
     return rows.select(*keys, (F.col(frame) + F.col("_k")).alias(frame), *filled, *[F.when(F.col("_k") == 0, F.col(b)).alias(b) for b in blank], (F.col("_k") > 0).alias("interpolated"))
 
 
-def ball_track(balls: DataFrame, frames: DataFrame, people: DataFrame) -> DataFrame:
+def ball_track(balls: DataFrame, frames: DataFrame, people: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(shot, frame, cx, cy, conf, interpolated)."""
-    return interpolate(select_ball(candidate_table(balls, frames), people), ["shot"], "frame", ["cx", "cy"], ["conf"])
+    return interpolate(select_ball(candidate_table(balls, frames), people, scratch), ["shot"], "frame", ["cx", "cy"], ["conf"])
 
 
 def thin_labels(rows: DataFrame, key: str, order: str, apart: int = 3) -> DataFrame:

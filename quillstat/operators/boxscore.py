@@ -85,11 +85,14 @@ def stat_tab(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, st
 
 
 def build_tabs(tables: dict[tuple[str, int], DataFrame]) -> dict[str, DataFrame]:
-    """The six tabs of a bundle, by name; those whose player table is missing are left out. The tracking tab shows kilometres beside miles."""
+    """The six tabs of a bundle, by name; one whose player table is missing has no rows. The tracking tab shows kilometres beside miles."""
     tabs = {}
     for name, endpoint, team_table, spec in TABS:
         players, teams = tables.get((endpoint, 0)), tables.get((endpoint, team_table))
         if players is None:
+            some = next(iter(tables.values()), None)
+            if some is not None:
+                tabs[name] = some.where("false").select(F.lit("").alias("team"), F.lit(0).alias("row_kind"), F.lit("").alias("PLAYER"), F.lit("").alias("POS"), F.lit(0.0).alias("MIN"), F.lit(0).alias("nth"))
             continue
         teams = players.where("false") if teams is None else teams
         pbp = tables.get(("playbyplay", 0)) if spec is MISC else None
@@ -101,6 +104,7 @@ def build_tabs(tables: dict[tuple[str, int], DataFrame]) -> dict[str, DataFrame]
 def four_factors(team: DataFrame, *keep: str, advanced: DataFrame | None = None) -> DataFrame:
     """Shooting, turnover and free-throw ratios of each row; zero denominators give null. `advanced` adds rebounding, ratings and pace by teamTricode, null for a team it lacks."""
     if advanced is not None:
+        advanced = conform(advanced, {"teamTricode": "string"} | {c: "string" for c in ADVANCED})  # columns that are absent give null
         rates = first_per_key(advanced, ["teamTricode"], *[c for c in ADVANCED]).select(F.col("teamTricode").alias("_team"), *[half_even(number(F.col(raw)) * (100 if kind == "pct" else 1), 1).alias(label) for raw, (label, kind) in ADVANCED.items()])
         joined = team.join(rates, team["teamTricode"] == rates["_team"], "left")
         return four_factors(joined, *keep, *[label for label, _ in ADVANCED.values()])
@@ -181,14 +185,14 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def best_flags(df: DataFrame, columns: dict[str, str], *partition: str) -> DataFrame:
-    """best_<c>: whether the row has the best value (`max` or `min`); never where a value is null or all are equal."""
-    w = Window.partitionBy(*partition)
-    flags = {}
-    for c, kind in columns.items():
-        low, high = F.min(c).over(w), F.max(c).over(w)
-        full = F.count(c).over(w) == F.count(F.lit(1)).over(w)
-        flags[f"best_{c}"] = F.coalesce(full & (low != high) & (F.col(c) == (high if kind == "max" else low)), F.lit(False))
-    return df.withColumns(flags)
+    """best_<c>: whether the row has the best value (`max` or `min`) of its partition; never where a value is null or all are equal. One aggregate, joined back."""
+    stats = [a for k, c in enumerate(columns) for a in (F.min(c).alias(f"_lo{k}"), F.max(c).alias(f"_hi{k}"), (F.count(c) == F.count("*")).alias(f"_full{k}"))]
+    bounds = df.groupBy(*[F.col(p).alias(f"_p{k}") for k, p in enumerate(partition)]).agg(*stats)
+    same = reduce(lambda a, kp: a & F.col(kp[1]).eqNullSafe(F.col(f"_p{kp[0]}")), enumerate(partition), F.lit(True))
+    joined = df.join(bounds if partition else F.broadcast(bounds), same)  # without a partition, bounds are one row
+    best = lambda k, c, kind: F.col(f"_full{k}") & (F.col(f"_lo{k}") != F.col(f"_hi{k}")) & (F.col(c) == F.col(f"_hi{k}" if kind == "max" else f"_lo{k}"))
+    flags = {f"best_{c}": F.coalesce(best(k, c, kind), F.lit(False)) for k, (c, kind) in enumerate(columns.items())}
+    return joined.withColumns(flags).select(*[F.col(f"`{c}`") for c in df.columns], *flags)
 
 
 def shown_clock(clock: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstat.shipping import ship
+
 #: The endpoints of a game bundle.
 ENDPOINTS = ("traditional", "advanced", "misc", "hustle", "player_track", "playbyplay", "summary")
 GAMES = "game_id string, date string, away string, home string, away_pts bigint, home_pts bigint, label string, season string"
@@ -26,20 +32,60 @@ def suffixes(spark: SparkSession, pattern: str) -> list[int]:
     return sorted({int(m[1]) for f in found if (m := re.search(r"_([0-9]+)\.csv$", f.getPath().getName()))})
 
 
+#: Rows of numbered tables whose columns differ: a header of each file (ord -1), then its rows.
+CELLS = "game_id string, endpoint string, suffix int, ord long, names array<string>, cells map<string,string>"
+_CELLS = pa.schema([("game_id", pa.string()), ("endpoint", pa.string()), ("suffix", pa.int32()), ("ord", pa.int64()), ("names", pa.list_(pa.string())), ("cells", pa.map_(pa.string(), pa.string()))])
+_NUMBERED = re.compile(r"([^/]+)/([^/]+)_([0-9]+)\.csv$")
+
+
+def cell_rows(game: str, endpoint: str, suffix: int, names: list[str], rows: Iterator[list[str | None]]) -> Iterator[tuple]:
+    """One table in the form of CELLS. Of columns of one name the first counts; cells a row lacks are null."""
+    yield game, endpoint, suffix, -1, names, None
+    first = {n: k for k, n in reversed(list(enumerate(names)))}
+    for at, row in enumerate(rows):
+        yield game, endpoint, suffix, at, None, [(n, row[k] if k < len(row) else None) for n, k in first.items()]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(2**31 - 1)
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            game, endpoint, suffix = _NUMBERED.search(path).groups()
+            lines = csv.reader(io.StringIO(content.as_py().decode("utf-8-sig"), newline=""))
+            values = ([c or None for c in line] for line in lines if line)
+            out = list(cell_rows(game, endpoint, int(suffix), [c or "" for c in next(values, [])], values))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_CELLS)], schema=_CELLS)
+
+
+def numbered_tables(spark: SparkSession, root: str, endpoint: str = "*", suffix: str = "*", games: str = "*") -> DataFrame:
+    """The tables <root>/<game>/<endpoint>_<suffix>.csv of all chosen games in the form of CELLS, parsed file by file where Spark puts them. Only the empty field is null."""
+    files = ship(spark).read.format("binaryFile").load(f"{root}/{games}/{endpoint}_{suffix}.csv").where(F.col("path").rlike(r"_[0-9]+\.csv$"))
+    return files.select("path", "content").mapInArrow(_parsed, CELLS)
+
+
+def table_of(cells: DataFrame, endpoint: str, suffix: int, ordered: bool = False) -> DataFrame | None:
+    """One table over all games of `cells`, by name: every column that some game has, as text, null in games without it; with game_id and, `ordered`, the row's place in its file. None if no game has it.
+
+    Columns come in the order of their places in the headers; those named like the keys give way to them.
+    """
+    mine = cells.where((F.col("endpoint") == endpoint) & (F.col("suffix") == suffix))
+    heads = mine.where("ord = -1")
+    names = [r.name for r in heads.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    if not names and heads.isEmpty():
+        return None
+    keys = ["game_id", "ord"] if ordered else ["game_id"]
+    return mine.where("ord >= 0").select(*[F.col("cells").getItem(n).alias(n) for n in names if n.lower() not in keys], *keys)
+
+
 def bundle_table(spark: SparkSession, root: str, endpoint: str, suffix: int, games: str = "*", ordered: bool = False) -> DataFrame | None:
     """One table of an endpoint over all chosen games, keyed by its file suffix; null only for the empty field; None if no game has it.
 
-    Columns differ between games: each is read as text by name (later casts are tolerant), with the game's folder as
-    game_id. `ordered` adds `ord`, the row's place in its file.
+    Columns, and their order, differ between games: each is read as text by name (later casts are tolerant), null where
+    a game lacks it, with the game's folder as game_id. `ordered` adds `ord`, the row's place in its file.
     """
-    path = f"{root}/{games}/{endpoint}_{suffix}.csv"
-    if not exists(spark, path):
+    if not exists(spark, f"{root}/{games}/{endpoint}_{suffix}.csv"):
         return None
-    df = spark.read.option("header", True).option("nullValue", "").option("enforceSchema", False).option("multiLine", ordered).csv(path)
-    df = df.withColumn("game_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    if ordered:  # a file that is read whole keeps its order in the row ids
-        df = df.withColumn("ord", F.monotonically_increasing_id())
-    return df
+    return table_of(numbered_tables(spark, root, endpoint, str(suffix), games), endpoint, suffix, ordered)
 
 
 def load_bundle(spark: SparkSession, root: str, games: str = "*") -> dict[tuple[str, int], DataFrame]:

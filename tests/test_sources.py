@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quillstat.operators import boxscore, timeline
 from quillstat.sources import files
 from quillstat.streaming import ingest
 
@@ -31,6 +32,44 @@ def test_bundle(spark, bundle):
         files.load_bundle(spark, bundle, "999*")
 
 
+def test_games_with_other_columns(spark, bundle, tmp_path):
+    """Different columns, and the same ones in another order."""
+    whole = files.bundle_table(spark, bundle, "summary", 4)
+    assert whole.columns == ["gameId", "teamTricode", "period1Score", "period5Score", "score", "game_id"]
+    got = {(r.game_id, r.teamTricode): r for r in whole.collect()}
+    assert got["0042100401", "BOS"].period5Score is None and got["0042100402", "BOS"].period5Score == "7" and got["0042100402", "GSW"].score == "NA"
+    (tmp_path / "0042100403").mkdir()
+    (tmp_path / "0042100403" / "summary_4.csv").write_text('score,teamTricode,gameId,note\n99,LAL,0042100403,"a ""b"",\nc"\n')
+    row = files.bundle_table(spark, bundle, "summary", 4).where("teamTricode = 'LAL'").first()
+    assert (row.score, row.gameId, row.game_id, row.note, row.period1Score) == ("99", "0042100403", "0042100403", 'a "b",\nc', None)
+
+
+def test_operators_run_on_bundles(spark, tmp_path):
+    """Tabs, line score and timeline of two games, one with overtime, straight from the files."""
+    for game, more in (("0042100401", False), ("0042100402", True)):
+        g = tmp_path / game
+        g.mkdir()
+        (g / "summary_4.csv").write_text(f"gameId,teamTricode,period1Score,period2Score,period3Score,period4Score{',period5Score' if more else ''},score\n{game},BOS,20,20,20,20{',9' if more else ''},{89 if more else 80}\n{game},GSW,25,15,20,20{',7' if more else ''},{87 if more else 80}\n")
+        names = "minutes,points,nameI,teamTricode,personId" if more else "nameI,teamTricode,personId,minutes,points"
+        people = [("A. Star", "BOS", "1", "30:30", "20"), ("B. Bench", "BOS", "2", "", ""), ("C. Curry", "GSW", "3", "PT40M00.00S", "31")]
+        lines = [",".join(dict(zip(("nameI", "teamTricode", "personId", "minutes", "points"), p, strict=True))[n] for n in names.split(",")) for p in people]
+        (g / "traditional_0.csv").write_text("\n".join([names, *lines]) + "\n")
+        (g / "traditional_2.csv").write_text("teamTricode,minutes,points\nBOS,240:00,80\nGSW,240:00,80\n")
+        plays = [(1, "PT12M00.00S", "period", "0", "0"), (1, "PT11M00.00S", "Made Shot", "2", "0"), (1, "PT10M00.00S", "Missed Shot", "", ""), (2, "PT12M00.00S", "period", "2", "0"), (2, "PT06M00.00S", "Made Shot", "2", "3")]
+        (g / "playbyplay_0.csv").write_text("period,clock,actionType,scoreHome,scoreAway\n" + "\n".join(",".join(map(str, p)) for p in plays) + "\n")
+    tables = files.load_bundle(spark, str(tmp_path))
+    tabs = boxscore.build_tabs(tables)
+    assert set(tabs) == {t[0] for t in boxscore.TABS} and tabs["Hustle"].count() == 0
+    box = tabs["Box score"].where("team = 'BOS'").orderBy("row_kind", "nth").collect()
+    assert [(r.PLAYER, r.MIN, r.PTS) for r in box] == [("A. Star", 30.5, 20), ("A. Star", 30.5, 20), ("TEAM", 240.0, 80), ("TEAM", 240.0, 80)]
+    one = boxscore.line_score(tables["summary", 4].where("game_id = '0042100401'"))
+    assert one.columns == ["TEAM", "Q1", "Q2", "Q3", "Q4", "FINAL"]
+    over = boxscore.line_score(tables["summary", 4].where("game_id = '0042100402'")).orderBy("TEAM").collect()
+    assert over[0].asDict() == {"TEAM": "BOS", "Q1": 20, "Q2": 20, "Q3": 20, "Q4": 20, "OT1": 9, "FINAL": "89"}
+    line = timeline.score_timeline(tables["playbyplay", 0]).where("game_id = '0042100402'").orderBy("ord").collect()
+    assert [(r.minute, r.home, r.away) for r in line] == [(0.0, 0, 0), (0.0, 0, 0), (1.0, 2, 0), (18.0, 2, 3)]
+
+
 def test_season_list_and_sample(spark, bundle, tmp_path):
     games = files.sample_games(spark, bundle, "2021-22")
     assert games.count() == 2
