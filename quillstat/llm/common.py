@@ -1,14 +1,14 @@
-"""Helpers shared by the training-data operators: scratch tables and text columns."""
+"""Helpers shared by the training-data operators: scratch tables, text columns and schemas."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quillstat.scratch import Scratch, shared_dir
+
+__all__ = ["ASCII_LOWER", "ASCII_SPACE", "ASCII_UPPER", "Scratch", "bucket_of_id", "shared_dir", "table", "text_of", "with_fields"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -16,56 +16,6 @@ ASCII_LOWER = ASCII_UPPER.lower()
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process (a local master), as in tests, an unset one is replaced by a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            found = held.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            found = "file://" + tempfile.mkdtemp(prefix="quillstat-")
-            spark.sparkContext.setCheckpointDir(found)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables of one operator call in the shared folder.
-
-    A written table cuts lineage: later stages reread it instead of recomputing, on any executor. Tables that are not
-    needed any more are removed with `remove`; the folder goes with `close`, or when the driver's process ends, since
-    the returned frame reads it lazily. Both work after the session has stopped.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path = spark, f"{shared_dir(spark)}/quillstat/{name}-{uuid.uuid4().hex}"
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        atexit.register(self.close)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _delete(self, path: str) -> None:
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self._conf).delete(p, True)
-
-    def remove(self, name: str) -> None:
-        """Deletes one table; frames that read it are of no use from here on."""
-        self._delete(f"{self.path}/{name}")
-
-    def close(self) -> None:
-        try:
-            self._delete(self.path)
-        except Exception:  # noqa: BLE001  the gateway may already be closed at exit
-            return
-        finally:
-            atexit.unregister(self.close)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,3 +28,8 @@ def text_of(name: str = "text") -> Column:
 def bucket_of_id(name: str, mod: int) -> Column:
     """crc32(id as text) mod `mod`; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of `df`, whatever its columns are called, and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import bucket_of_id, table
+from quillstat.llm.common import bucket_of_id, table, with_fields
 
 ORDERS, BUCKETS = 3, 1 << 14
 SAMPLE, LEAST, EPOCHS = 4_000, 20, 3
@@ -209,8 +209,7 @@ def _predict(packed: bytes):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of `docs`, lang_pred and score (the calibrated probability). Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predict(model.to_bytes()), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(model.to_bytes()), with_fields(docs, "lang_pred string, score double"))
 
 
 def held_out() -> Column:

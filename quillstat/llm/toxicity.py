@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillstat.llm.common import Scratch, bucket_of_id, table, text_of
+from quillstat.llm.common import Scratch, bucket_of_id, table, text_of, with_fields
 
 SAMPLE, UNITS, LEAST = 4_000, 300_000, 3
 STEMS, PRIOR, DRIFT = (3, 4, 5, 6), 4.0, 1.0
@@ -264,8 +264,7 @@ def _judged(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of `docs`, score (0 to 1) and passages: the significant ones, in tokens, with their excess."""
     docs = docs.drop("score", "passages")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_judged(model), f"{fields}, score double, passages array<struct<first:int,end:int,excess:double>>")
+    return docs.mapInArrow(_judged(model), with_fields(docs, "score double, passages array<struct<first:int,end:int,excess:double>>"))
 
 
 def held_out() -> Column:
