@@ -4,9 +4,11 @@ Features: n-grams of 1 to ORDERS characters of the text (lower-cased, white spac
 BUCKETS; tf is the square root of a bucket's count, idf the smoothed log of the share of documents without it, and a
 document's vector has length 1. Document frequencies cover every training document.
 
-Training: follow-the-regularised-leader (proximal, per-coordinate rates) with L1 and L2 penalties, over at most SAMPLE
-labelled documents: each language has its share of them, LEAST at least (as far as it has so many), and those of its rows
-with the lowest hash of id and text; a fifth of them is set aside. Labels are counted over all training rows. The model is BUCKETS x languages doubles.
+Training: follow-the-regularised-leader (proximal, per-coordinate rates) with L1 and L2 penalties, over a sample of the
+labelled documents: each language has its share of SAMPLE, but LEAST at least (SAMPLE / languages, if that is less; one in
+any case), as far as it has so many, so that every language is learned from at most 2 x SAMPLE rows, or SAMPLE and one a
+language; those of its rows with the lowest hash of id and text; a fifth of them is set aside. Labels are counted over
+all training rows. The model is BUCKETS x languages doubles.
 The set-aside part then fixes the temperature that divides the logits, by least negative log likelihood.
 
 The features of the sampled documents, and one number a bucket, are all that reaches the driver: both bounded by the
@@ -14,7 +16,9 @@ parameters. Prediction is one pass over whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled document to learn from,
 every text is `und`; a null lang is no label; rows that share an id are told apart by their texts, and rows that share both
-are sampled together, up to their language's part; beyond SAMPLE / LEAST languages the rarest are left out; other columns play no part.
+are sampled together, up to their language's part; an empty table gives no rows; a long text is featurised PIECE by
+PIECE, in memory that does not grow with it beyond the text itself; other columns are kept, but those named like the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -168,8 +172,9 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id", "text")
     part = {}
     if n > sample:
-        labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "lang").limit(max(1, sample // LEAST)).collect()
-        part = {r.lang: max(min(LEAST, sample), sample * r.n // n) for r in labels}
+        labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("first")).collect()
+        least = max(1, min(LEAST, sample // len(labels)))
+        part = {r.lang: max(least, sample * r.n // n) for r in labels}
         below = {r.lang: max(r.first, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.2 * part[r.lang] / r.n)))) for r in labels}
         limits = docs.sparkSession.createDataFrame(list(below.items()), "of string, below long")
         rows = rows.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(order <= F.col("below"))

@@ -6,9 +6,9 @@ digests, until one node is left, the language's subroot; the subroots, in the or
 the dataset's root in the same way.
 
 Leaves get their places by a range sort: each partition counts what it holds of a tree, the sums before it are its
-offsets. BLOCK consecutive, aligned places are a block: one contiguous matrix of 64 hex bytes a digest, reshaped by the
+offsets. FANOUT ** LEVELS consecutive, aligned places are a block: one contiguous matrix of 64 hex bytes a digest, reshaped by the
 fanout and hashed row by row, level by level. The tops of the blocks are the next round's nodes, so there are
-log(rows) / log(BLOCK) rounds, each written. On the way down every block gets the siblings above it; those inside it are
+log(rows) / log(block) rounds, each written. On the way down every block gets the siblings above it; those inside it are
 slices of the matrices, found by index arithmetic. No task holds more than a block, whatever its tree's size: a
 language with all rows is as many blocks as any other rows are.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import ASCII_LOWER, ASCII_UPPER, Scratch, bucket_of_id, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: A block has FANOUT ** LEVELS places.
 FANOUT, LEVELS, HEX = 8, 4, 64
-BLOCK = FANOUT**LEVELS
 _PATH = "array<struct<l:string,r:string>>"
 
 
@@ -47,10 +47,10 @@ def leaf(text: Column) -> Column:
     return F.sha2(F.concat(*[field(text if name == "text" else F.col(name)) for name in FIELDS]), 256)
 
 
-def depth(total: int) -> int:
-    """The levels above its nodes that a block of a tree of so many nodes holds."""
+def depth(total: int, most: int) -> int:
+    """The levels above its nodes, `most` at most, that a block of a tree of so many nodes holds."""
     n = 0
-    while total > 1 and n < LEVELS:
+    while total > 1 and n < most:
         total, n = -(-total // FANOUT), n + 1
     return n
 
@@ -101,14 +101,18 @@ def _placed(rows: DataFrame, order: list[str], scratch: Scratch, name: str) -> D
     return within.join(parts, ["tree", "part"]).withColumn("at", F.col("at") + F.col("before")).drop("part", "before")
 
 
-def _packed(nodes: pa.Table) -> pa.Table:
+def _packed(most: int):
     """A block's rows (tree, block, total, lo, n, id, leaf, other) as one, with its top."""
-    nodes = nodes.sort_by("lo")
-    n, total = nodes.column("n").to_numpy(), nodes.column("total")[0].as_py()
-    leaves, others = ("".join(nodes.column(c).to_pylist()).encode() for c in ("leaf", "other"))
-    top = levels(_spread(leaves, n), depth(total))[-1]
-    values = [[nodes.column("tree")[0].as_py()], [nodes.column("block")[0].as_py()], [total], [nodes.column("id").to_pylist()], [n.tolist()], [leaves], [others], [top.decode()]]
-    return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    def run(nodes: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("lo")
+        n, total = nodes.column("n").to_numpy(), nodes.column("total")[0].as_py()
+        leaves, others = ("".join(nodes.column(c).to_pylist()).encode() for c in ("leaf", "other"))
+        top = levels(_spread(leaves, n), depth(total, most))[-1]
+        values = [[nodes.column("tree")[0].as_py()], [nodes.column("block")[0].as_py()], [total], [nodes.column("id").to_pylist()], [n.tolist()], [leaves], [others], [top.decode()]]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    return run
 
 
 _BLOCKS = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("total", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("leaves", pa.binary()), ("others", pa.binary()), ("top", pa.string())])
@@ -119,30 +123,35 @@ def _spread(digests: bytes, n: np.ndarray) -> bytes:
     return np.repeat(np.frombuffer(digests, np.uint8).reshape(-1, HEX), n, axis=0).tobytes()
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
     """Rows (tree, at, n, total, id, leaf, other), cut at the bounds of the blocks and put together by block."""
+    size = FANOUT**most
     end = F.col("at") + F.col("n")
-    cut = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((end - 1) / BLOCK))))
-    first, last = F.greatest("at", F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
-    cut = cut.select("tree", "block", "total", (first - F.col("block") * BLOCK).cast("int").alias("lo"), (last - first).cast("int").alias("n"), "id", "leaf", "other")
-    return cut.groupBy("tree", "block").applyInArrow(_packed, "tree string, block long, total long, ids array<long>, n array<int>, leaves binary, others binary, top string")
+    cut = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((end - 1) / size))))
+    first, last = F.greatest("at", F.col("block") * size), F.least(end, (F.col("block") + 1) * size)
+    cut = cut.select("tree", "block", "total", (first - F.col("block") * size).cast("int").alias("lo"), (last - first).cast("int").alias("n"), "id", "leaf", "other")
+    return cut.groupBy("tree", "block").applyInArrow(_packed(most), "tree string, block long, total long, ids array<long>, n array<int>, leaves binary, others binary, top string")
 
 
-def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _down(most: int):
     """Blocks (tree, total, ids, leaves, subroot, path): the siblings above each node, which is itself a block of the round below."""
     steps = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
-    for b in batches:
-        for tree, total, ids, leaves, subroot, path in zip(*(b.column(c).to_pylist() for c in ("tree", "total", "ids", "leaves", "subroot", "path")), strict=True):
-            inside = [siblings(x) for x in levels(leaves, depth(total))[:-1]]
-            paths = [[{"l": l.decode(), "r": r.decode()} for l, r in (s[k // FANOUT**d] for d, s in enumerate(inside))] + path for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array([tree] * len(ids)), pa.array(ids, pa.int64()), pa.array([subroot] * len(ids), pa.string()), pa.array(paths, steps)], ["tree", "block", "subroot", "path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tree, total, ids, leaves, subroot, path in zip(*(b.column(c).to_pylist() for c in ("tree", "total", "ids", "leaves", "subroot", "path")), strict=True):
+                inside = [siblings(x) for x in levels(leaves, depth(total, most))[:-1]]
+                paths = [[{"l": l.decode(), "r": r.decode()} for l, r in (s[k // FANOUT**d] for d, s in enumerate(inside))] + path for k in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * len(ids)), pa.array(ids, pa.int64()), pa.array([subroot] * len(ids), pa.string()), pa.array(paths, steps)], ["tree", "block", "subroot", "path"])
+
+    return run
 
 
-def _proved(root: str | None):
+def _proved(root: str | None, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for total, ids, n, leaves, others, subroot, path in zip(*(b.column(c).to_pylist() for c in ("total", "ids", "n", "leaves", "others", "subroot", "path")), strict=True):
-                inside = [siblings(x) for x in levels(_spread(leaves, np.array(n)), depth(total))[:-1]]
+                inside = [siblings(x) for x in levels(_spread(leaves, np.array(n)), depth(total, most))[:-1]]
                 above = [(s["l"].encode(), s["r"].encode()) for s in path]
                 rest = b"".join(l + r for l, r in above)
                 runs, rows = np.repeat(np.arange(len(n)), n).tolist(), []
@@ -162,61 +171,61 @@ def _proved(root: str | None):
 _OUT = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
 
-def _rounds(rows: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFrame], DataFrame]:
+def _rounds(rows: DataFrame, most: int, scratch: Scratch, name: str) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of each round from the rows up, and (tree, top), what is left of each tree."""
-    found, tops = [], None
+    found, tops, size = [], None, FANOUT**most
     while True:
-        blocks = scratch.write(_blocks(rows), f"{name}-{len(found)}")
+        blocks = scratch.write(_blocks(rows, most), f"{name}-{len(found)}")
         found.append(blocks)
-        done = blocks.where(F.col("total") <= BLOCK).select("tree", "top")
+        done = blocks.where(F.col("total") <= size).select("tree", "top")
         tops = done if tops is None else tops.unionByName(done)
-        more = blocks.where(F.col("total") > BLOCK)
+        more = blocks.where(F.col("total") > size)
         if more.isEmpty():
             return found, tops
-        rows = more.select("tree", F.col("block").alias("at"), F.lit(1).alias("n"), F.ceil(F.col("total") / BLOCK).alias("total"), F.col("block").alias("id"), F.col("top").alias("leaf"), F.lit("").alias("other"))
+        rows = more.select("tree", F.col("block").alias("at"), F.lit(1).alias("n"), F.ceil(F.col("total") / size).alias("total"), F.col("block").alias("id"), F.col("top").alias("leaf"), F.lit("").alias("other"))
 
 
-def _below(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+def _below(blocks: DataFrame, paths: DataFrame, most: int) -> DataFrame:
     """(tree, block, subroot, path) of the nodes of blocks whose own paths are given."""
     held = blocks.select("tree", "block", "total", "ids", "leaves").join(paths, ["tree", "block"])
-    return held.select("tree", "total", "ids", "leaves", "subroot", "path").mapInArrow(_down, f"tree string, block long, subroot string, path {_PATH}")
+    return held.select("tree", "total", "ids", "leaves", "subroot", "path").mapInArrow(_down(most), f"tree string, block long, subroot string, path {_PATH}")
 
 
-def _paths(rounds: list[DataFrame], above: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _paths(rounds: list[DataFrame], above: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
     """(tree, block, subroot, path) of the blocks of the lowest round. above: (tree, subroot, path) of the trees' tops; a tree has its top in its last round."""
     path = None
     for k in reversed(range(len(rounds))):
-        own = rounds[k].where(F.col("total") <= BLOCK).select("tree", "block").join(above, "tree").select("tree", "block", "subroot", "path")
+        own = rounds[k].where(F.col("total") <= FANOUT**most).select("tree", "block").join(above, "tree").select("tree", "block", "subroot", "path")
         path = own if path is None else path.unionByName(own)
         if k:
-            path = scratch.write(_below(rounds[k], path), f"{name}-path-{k}")
+            path = scratch.write(_below(rounds[k], path, most), f"{name}-path-{k}")
     return path
 
 
-def manifest(docs: DataFrame, other_text: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def manifest(docs: DataFrame, other_text: Column | None = None, scratch: Scratch | None = None, most: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified), one row a document.
 
     folded_root is what the proof makes of the leaf with `other_text` in place of the text: the root, if the text is the
-    same (or none is given). The result reads tables of `scratch`; without one they last until the driver ends.
+    same (or none is given). A block holds `most` levels. The result reads tables of `scratch`; without one they last until the driver ends.
     """
     scratch = scratch or Scratch(docs.sparkSession, "merkle")
     text = F.col("text")
     rows = docs.select(field(F.col("lang")).alias("tree"), F.col("doc_id").cast("long").alias("id"), leaf(text).alias("leaf"), F.when(other_text.eqNullSafe(text), None).otherwise(leaf(other_text)).alias("other") if other_text is not None else F.lit(None).cast("string").alias("other"))
     rows = rows.withColumn("other", F.coalesce("other", "leaf")).groupBy("tree", "id", "leaf", "other").agg(F.count("*").alias("n"))
-    rounds, tops = _rounds(_placed(rows, ["id", "leaf"], scratch, "leaves"), scratch, "blocks")
+    rounds, tops = _rounds(_placed(rows, ["id", "leaf"], scratch, "leaves"), most, scratch, "blocks")
     tops = scratch.write(tops, "tops")
     # The languages' order: none first, then by name.
     named = tops.select(F.lit("").alias("tree"), F.lit(1).cast("long").alias("n"), (F.col("tree") != "-").alias("named"), F.expr("substring(tree, instr(tree, ':') + 1)").alias("name"), F.col("tree").alias("of"), "top")
     langs = _placed(named, ["named", "name"], scratch, "langs")
     langs = scratch.write(langs.select("tree", "at", "n", "total", F.col("at").alias("id"), F.col("top").alias("leaf"), F.lit("").alias("other"), "of"), "placed-langs")
-    root_rounds, roots = _rounds(langs.drop("of"), scratch, "roots")
+    root_rounds, roots = _rounds(langs.drop("of"), most, scratch, "roots")
     found = roots.collect()  # one row, or none of an empty table
     root = found[0].top if found else None
     start = roots.select("tree", F.lit(None).cast("string").alias("subroot"), F.lit(None).cast(_PATH).alias("path")).withColumn("path", F.coalesce("path", F.array().cast(_PATH)))
-    above = _below(root_rounds[0], _paths(root_rounds, start, scratch, "roots")).select(F.col("block").alias("at"), "path")
+    above = _below(root_rounds[0], _paths(root_rounds, start, most, scratch, "roots"), most).select(F.col("block").alias("at"), "path")
     above = scratch.write(langs.join(above, "at").select(F.col("of").alias("tree"), F.col("leaf").alias("subroot"), "path"), "above")
-    proofs = rounds[0].select("tree", "block", "total", "ids", "n", "leaves", "others").join(_paths(rounds, above, scratch, "blocks"), ["tree", "block"])
-    return proofs.mapInArrow(_proved(root), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    proofs = rounds[0].select("tree", "block", "total", "ids", "n", "leaves", "others").join(_paths(rounds, above, most, scratch, "blocks"), ["tree", "block"])
+    return proofs.mapInArrow(_proved(root, most), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
 def tampered(text: Column) -> Column:

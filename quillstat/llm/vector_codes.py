@@ -110,17 +110,26 @@ def assign(books: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([c for c, _ in found], axis=1), np.stack([d for _, d in found], axis=1)
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Integers whose bytes sort as they do: big-endian, from the least 32-bit one."""
+    return (values.astype(np.int64) + 2**31).astype(">u4")
+
+
+def unpacked(data: object) -> np.ndarray:
+    return np.frombuffer(data, ">u4").astype(np.int64) - 2**31
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     """Packed integers of equal length, a row each."""
-    return np.array([np.frombuffer(x.as_buffer(), "<i4") for x in column], dtype=np.int64)
+    return np.array([unpacked(x.as_buffer()) for x in column])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         q = b.column("q")
-        values, cuts = q.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum([0, *[len(x) for x in q]])
-        packed = [values[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(cuts), pa.int32()), pa.array(packed, pa.binary())], [*b.schema.names[:-1], "dim", "q"])
+        values, cuts = packed(q.flatten().to_numpy(zero_copy_only=False)), np.cumsum([0, *[len(x) for x in q]])
+        rows = [values[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(cuts), pa.int32()), pa.array(rows, pa.binary())], [*b.schema.names[:-1], "dim", "q"])
 
 
 def quantised(vectors: DataFrame, scratch: Scratch) -> DataFrame:
@@ -160,7 +169,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray | None:
     start = rows.orderBy(F.asc_nulls_last("vec_id"), "q").select("q").limit(ENTRIES).collect()
     if not start:
         return None
-    books = np.array([np.frombuffer(r.q, "<i4") for r in start], dtype=np.int64)
+    books = np.array([unpacked(r.q) for r in start])
     books = np.ascontiguousarray(books.reshape(len(start), PARTS, -1).transpose(1, 0, 2))
     for _ in range(rounds):
         total = np.zeros((*books.shape[:2], books.shape[2] + 1), np.int64)

@@ -147,7 +147,7 @@ def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
 
 def test_queries_are_registered():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
 
 
@@ -173,3 +173,27 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
             stage(spark, docs, path).write.parquet(f"{path}/odd-{left}/{k}")
             docs = spark.read.parquet(f"{path}/odd-{left}/{k}")
             assert docs.count() == left
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, tmp_path):
+    path = str(tmp_path)
+    build(spark, path)
+    odd = {"my col": F.lit(1), "a-b": F.lit("x"), "a.b": F.lit(2.5), "m": F.create_map(F.lit("k"), F.lit(1)), "arr": F.array(F.lit(1), F.lit(None)), "st": F.struct(F.lit(1).alias("in.ner"), F.lit("s").alias("b c")), "back`tick": F.lit(4)}
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({f"_{k}": v for k, v in enumerate(odd.values())})
+    docs = docs.toDF(*docs.columns[: -len(odd)], *odd)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, path).write.parquet(f"{path}/any/{k}")
+        after = spark.read.parquet(f"{path}/any/{k}")
+        assert after.columns == docs.columns
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count() > 20
+    row = docs.first()
+    assert (row["my col"], row["a-b"], row["a.b"], row["m"], row["arr"]) == (1, "x", 2.5, {"k": 1}, [1, None])
+
+
+def test_codec_is_put_back_when_a_stage_fails(spark, tmp_path):
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.createDataFrame([(1,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(Exception):  # noqa: B017  no text
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == before
