@@ -63,8 +63,8 @@ def numbered_tables(spark: SparkSession, root: str, endpoint: str = "*", suffix:
     return files.select("path", "content").mapInArrow(_parsed, CELLS)
 
 
-def table_of(cells: DataFrame, endpoint: str, suffix: int, ordered: bool = False) -> DataFrame | None:
-    """One table over all games of `cells`, by name: every column that some game has, as text, null in games without it; with game_id and, `ordered`, the row's place in its file. None if no game has it.
+def table_of(cells: DataFrame, endpoint: str, suffix: int, ordered: bool = False, key: str = "game_id") -> DataFrame | None:
+    """One table over all games of `cells`, by name: every column that some game has, as text, null in games without it; with game_id (as `key`) and, `ordered`, the row's place in its file. None if no game has it.
 
     Columns come in the order of their places in the headers; those named like the keys give way to them.
     """
@@ -73,8 +73,9 @@ def table_of(cells: DataFrame, endpoint: str, suffix: int, ordered: bool = False
     names = [r.name for r in heads.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
     if not names and heads.isEmpty():
         return None
-    keys = ["game_id", "ord"] if ordered else ["game_id"]
-    return mine.where("ord >= 0").select(*[F.col("cells").getItem(n).alias(n) for n in names if n.lower() not in keys], *keys)
+    keys = [F.col("game_id").alias(key), *([F.col("ord")] if ordered else [])]
+    taken = {key, "ord"} if ordered else {key}
+    return mine.where("ord >= 0").select(*[F.col("cells").getItem(n).alias(n) for n in names if n.lower() not in taken], *keys)
 
 
 def bundle_table(spark: SparkSession, root: str, endpoint: str, suffix: int, games: str = "*", ordered: bool = False) -> DataFrame | None:
