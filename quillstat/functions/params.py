@@ -54,6 +54,8 @@ MILE_KM = 1.609344
 # Court in metres, frames a second.
 FOOT = 0.3048
 COURT_L, COURT_W, HOOP_X = 94 * FOOT, 50 * FOOT, 5.25 * FOOT
+# Markings. Lane half its width and deep, free-throw, three-point, restricted and centre radii, the corner three from the sideline.
+LANE_HALF, LANE_DEPTH, FT_RADIUS, ARC_R, RESTRICTED_R, CENTRE_R, CORNER_Y = 8 * FOOT, 19 * FOOT, 6 * FOOT, 23.75 * FOOT, 4 * FOOT, 6 * FOOT, 3 * FOOT
 FPS = 30
 # Tracks and motion.
 MIN_TRACK_FRAMES, MIN_INSIDE_SHARE, MIN_COLOUR, INSIDE_MARGIN = 15, 0.6, 10, 0.5
