@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstat.plans import boxscore, pages, tracking
+from quillstat.plans import boxscore, court, pages, tracking
 
-MODULES = (boxscore, pages, tracking)
+MODULES = (boxscore, pages, tracking, court)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -205,6 +205,11 @@ def clip_time(seconds: Column) -> Column:
     return F.format_string("%d:%04.1f", F.floor(s / 60), half_even(s - F.floor(s / 60) * 60, 1))
 
 
+def shot_log(shot_rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, Q, Clock, Made, Dist (ft), Play): a player's shots as they are listed. shot_rows: `shots` with period, clock and description kept."""
+    return shot_rows.select(*keep, F.col("period").alias("Q"), shown_clock(F.col("clock")).alias("Clock"), F.when(F.col("made"), "Made").otherwise("Missed").alias("Made"), F.col("shotDistance").alias("Dist (ft)"), F.col("description").alias("Play"))
+
+
 def made_of(made: Column, attempted: Column) -> Column:
     return F.concat(shown_int(made).cast("string"), F.lit("/"), shown_int(attempted).cast("string"))
 

@@ -26,6 +26,26 @@ def detect_cuts(diffs: DataFrame, order: str, grey: str, hist: str, key: str, th
     return near.where(spike | (F.col(hist) > threshold)).select(key, order).distinct()
 
 
+def frame_features(frames: DataFrame, key: str, order: str, values: str, bins: int, low: float, high: float) -> DataFrame:
+    """(key, order, grey, hist), what `detect_cuts` takes: the mean absolute change of a frame's values to the frame before, and the Bhattacharyya distance (0 equal, 1 disjoint) of their histograms; both 0 on a key's first frame.
+
+    Values outside [low, high) are in no bin, null ones in neither. Frames of other length differ in the values they share;
+    two histograms without any value are equal, one without is disjoint from any other.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    spot = lambda v: F.floor((v - low) / ((high - low) / bins)).cast("int")
+    binned = F.transform(F.filter(values, lambda v: (v >= low) & (v < high)), spot)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter("_bins", lambda k: k == b)).cast("double"))
+    rows = frames.select(key, order, F.col(values).alias("_v"), binned.alias("_bins")).withColumn("_h", counts).drop("_bins")
+    rows = rows.withColumns({"_v0": F.lag("_v").over(w), "_h0": F.lag("_h").over(w), "_first": F.row_number().over(w) == 1})
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    moved = F.filter(F.zip_with("_v", "_v0", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), lambda x: x.isNotNull())
+    grey = F.coalesce(F.try_divide(add(moved), F.size(moved)), F.lit(0.0))
+    own, before = add(F.col("_h")), add(F.col("_h0"))
+    shared = F.when((own == 0) & (before == 0), 1.0).otherwise(F.coalesce(F.try_divide(add(F.zip_with("_h", "_h0", lambda a, b: F.sqrt(a * b))), F.sqrt(own * before)), F.lit(0.0)))
+    return rows.select(key, order, F.when(F.col("_first"), 0.0).otherwise(grey).alias("grey"), F.when(F.col("_first"), 0.0).otherwise(F.sqrt(F.greatest(1.0 - shared, F.lit(0.0)))).alias("hist"))
+
+
 def segments(cuts: DataFrame, totals: DataFrame, order: str, key: str, least: int) -> DataFrame:
     """(key, start, end): spans between cuts, from 0 to the key's total, of at least `least`."""
     marks = cuts.select(key, F.col(order).alias("start")).unionByName(totals.select(key, F.lit(0).cast("long").alias("start"))).distinct().join(totals.select(key, "total"), key)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +23,19 @@ def solved(rows: Column, n: int) -> Column:
     return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, step), lambda row: F.element_at(row, n + 1))
 
 
-def _normal(a: Column, b: Column, p: Column, q: Column, weight: Column) -> tuple[list[Column], Column]:
+def _normal(weight: str) -> tuple[list[Column], Column]:
     """Aggregates m0, m1.. and the rows of the normal equations made of them: map (a, b) to (p, q), its last number 1."""
-    one, nil = F.lit(1.0), None
-    first = [a, b, one, nil, nil, nil, -p * a, -p * b, p]
-    second = [nil, nil, nil, a, b, one, -q * a, -q * b, q]
+    first = ["a", "b", "1", None, None, None, "-p * a", "-p * b", "p"]
+    second = [None, None, None, "a", "b", "1", "-q * a", "-q * b", "q"]
     sums, at = [], {}
     for i in range(8):
         for j in range(i, 9):
-            parts = [r[i] * r[j] for r in (first, second) if r[i] is not nil and r[j] is not nil]
+            parts = [f"({r[i]}) * ({r[j]})" for r in (first, second) if r[i] and r[j]]
             if parts:
-                at[i, j] = len(sums)
-                sums.append(F.sum(weight * reduce(lambda x, y: x + y, parts)).alias(f"m{len(sums)}"))
-    cell = lambda i, j: F.col(f"m{at[min(i, j), max(i, j)]}") if (min(i, j), max(i, j)) in at else F.lit(0.0)
-    return sums, F.array(*[F.array(*[cell(i, j) for j in range(9)]) for i in range(8)])
+                at[i, j] = f"m{len(sums)}"
+                sums.append(F.expr(f"sum({weight} * ({' + '.join(parts)})) AS m{len(sums)}"))
+    cell = lambda i, j: at.get((min(i, j), max(i, j)), "0.0D")
+    return sums, F.expr("array(" + ", ".join("array(" + ", ".join(cell(i, j) for j in range(9)) + ")" for i in range(8)) + ")")
 
 
 def fit(pairs: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
@@ -56,8 +53,7 @@ def fit(pairs: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
     g = None
     for _ in range(rounds + 1):
         rows = scaled if g is None else scaled.join(g, keys)
-        depth = F.lit(1.0) if g is None else F.col("_g")[6] * F.col("a") + F.col("_g")[7] * F.col("b") + 1.0
-        sums, normal = _normal(F.col("a"), F.col("b"), F.col("p"), F.col("q"), F.try_divide(F.lit(1.0), depth * depth))
+        sums, normal = _normal("1.0D" if g is None else "try_divide(1.0D, pow(_g[6] * a + _g[7] * b + 1, 2))")
         g = rows.groupBy(*keys).agg(*sums).select(*keys, solved(normal, 8).alias("_g"))
     m = [F.col("_g")[k] for k in range(8)] + [F.lit(1.0)]
     s, t = F.col("_s"), F.col("_t")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.params import FPS, MILE_KM
 from quillstat.functions.scalar import half_even, minutes, number
-from quillstat.operators.boxscore import drop_empty_columns, made_of
+from quillstat.operators.boxscore import clip_time, drop_empty_columns, made_of
 from quillstat.operators.clip import coverage
 
 
@@ -62,19 +62,29 @@ def summary_document(totals: DataFrame, stats: DataFrame, panel: DataFrame) -> D
     return whole.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def quality_panel(totals: DataFrame) -> DataFrame:
-    """(nth, item, value): what share of a clip was analysed, as text."""
+def quality_panel(totals: DataFrame, ball_source: str | None = None) -> DataFrame:
+    """(nth, item, value): what share of a clip was analysed, as text; with the table that the ball comes from, if it is given."""
     per_cent = lambda c: F.format_string("%.0f%%", half_even(c * 100, 0))
     whole = lambda c: F.format_string("%.0f", half_even(F.col(c).cast("double"), 0))
     analysed = F.concat(F.col("usable_shots").cast("string"), F.lit(" shots, "), whole("analysed_seconds"), F.lit(" s ("), per_cent(F.try_divide("analysed_seconds", "clip_seconds")), F.lit(")"))
+    # The panel's labels.
     items = {
         "Clip length": F.concat(whole("clip_seconds"), F.lit(" s")), "Shots showing the court (analysed)": analysed, "Frames mapped to the court": F.concat(per_cent(F.col("mapped_share")), F.lit(" of analysed frames")),
         "Ball found (detected or briefly interpolated)": F.concat(per_cent(F.col("ball_share")), F.lit(" of mapped frames")), "Frames with a known ball holder": F.col("holder_frames").cast("string"),
     }
+    if ball_source is not None:
+        items["Ball model"] = F.lit(ball_source)
     rows = F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(item).alias("item"), value.alias("value")) for k, (item, value) in enumerate(items.items())])
     return totals.select(F.inline(rows))
 
 
+def event_list(events: DataFrame, names: Mapping[str, str], key: str = "shot") -> DataFrame:
+    """(key, nth, clip time, type, team, distance (m), ball in flight (s)): a clip's passes and interceptions in order, teams by name."""
+    name = F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("team"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("frame", "type", "from_pid", "to_pid"))
+    return events.select(key, nth.alias("nth"), clip_time(F.col("frame") / FPS).alias("clip time"), "type", name.alias("team"), F.col("dist_m").alias("distance (m)"), F.col("gap_s").alias("ball in flight (s)"))
+
+
 def clip_players(players: DataFrame, names: Mapping[str, str], team: str | None = None) -> DataFrame:
     """Chains with their team's name, longest tracked first; nth is the place. Only one team's where it is named."""
     name = F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("team"))

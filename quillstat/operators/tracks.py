@@ -45,6 +45,49 @@ def assign_teams(summary: DataFrame, seeds: tuple[int, ...] = (42, 43, 44, 45))
     return summary.select("shot", "track_id").join(labels, ["shot", "track_id"], "left").fillna("unknown", ["team"])
 
 
+def two_kits(summary: DataFrame, least: int = 5, cutoff: float = 2.5, seeds: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """(shot, track_id, team): two colour clusters of the tracks with `least` coloured frames, the lighter one light, the other dark.
+
+    A track further from its own centre than `cutoff` times the median of all those distances (which is exact) is
+    `other`; so is one with too few colours, and so are all where fewer than four tracks, or two colours, are left.
+    """
+    ok = (F.col("n_colour") >= least) & F.col("L").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull()
+    keys = summary.select("shot", "track_id")
+    whole = VectorAssembler(inputCols=["L", "a", "b"], outputCol="_lab").transform(summary.where(ok)).select("shot", "track_id", "L", "a", "b", "_lab").persist()
+    try:
+        if whole.limit(4).count() < 4 or whole.select("_lab").distinct().limit(2).count() < 2:
+            return keys.withColumn("team", F.lit("other"))
+        models = [KMeans(k=2, seed=s, featuresCol="_lab", predictionCol="_c").fit(whole) for s in seeds]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        whole.unpersist()
+    centres = best.clusterCenters()
+    light = int(centres[1][0] > centres[0][0])
+    at = lambda k: F.when(F.col("_c") == 0, float(centres[0][k])).otherwise(float(centres[1][k]))
+    away = F.sqrt(sum(((F.col(c) - at(k)) * (F.col(c) - at(k)) for k, c in enumerate(("L", "a", "b"))), F.lit(0.0)))
+    put = best.transform(whole).select("shot", "track_id", "_c", away.alias("_away"))
+    typical = put.agg(F.median("_away")).first()[0]
+    team = F.when(F.col("_away") > cutoff * typical, "other").when(F.col("_c") == light, "light").otherwise("dark")
+    return keys.join(put.select("shot", "track_id", team.alias("team")), ["shot", "track_id"], "left").fillna("other", ["team"])
+
+
+def segment_quality(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(segment, frames, players_per_frame, median_players_per_frame, unique_track_ids, mean_track_len_frames, id_to_player_ratio, ball_frames_share, persons_removed), one row a segment of `lengths` (segment, frames).
+
+    rows: (segment, frame, track_id, is_ball, on_floor). Players are persons on the floor; frames without any count as
+    none, over the segment's frames from its first row on.
+    """
+    player = ~F.col("is_ball") & F.col("on_floor")
+    first = rows.groupBy("segment").agg(F.min("frame").alias("_first"), F.count_distinct(F.when(F.col("is_ball"), F.col("frame"))).alias("_balls"), F.count_if(~F.col("is_ball") & ~F.col("on_floor")).alias("persons_removed"))
+    spine = lengths.where("frames > 0").join(first, "segment").select("segment", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("frames") - 1)).alias("frame"))
+    counts = spine.join(rows.where(player).groupBy("segment", "frame").agg(F.count("*").alias("_n")), ["segment", "frame"], "left")
+    counts = counts.groupBy("segment").agg(half_even(F.avg(F.coalesce("_n", F.lit(0))), 2).alias("players_per_frame"), F.median(F.coalesce("_n", F.lit(0))).cast("double").alias("median_players_per_frame"))
+    ids = rows.where(player & (F.col("track_id") >= 0)).groupBy("segment", "track_id").agg(F.count("*").alias("_len")).groupBy("segment").agg(F.count("*").alias("unique_track_ids"), half_even(F.avg("_len"), 1).alias("mean_track_len_frames"))
+    out = lengths.join(first, "segment", "left").join(counts, "segment", "left").join(ids, "segment", "left").fillna(0, ["_balls", "persons_removed", "players_per_frame", "median_players_per_frame", "unique_track_ids", "mean_track_len_frames"])
+    ratio = F.when(F.col("median_players_per_frame") > 0, half_even(F.col("unique_track_ids") / F.col("median_players_per_frame"), 2))
+    return out.select("segment", "frames", "players_per_frame", "median_players_per_frame", "unique_track_ids", "mean_track_len_frames", ratio.alias("id_to_player_ratio"), half_even(F.try_divide(F.col("_balls"), F.col("frames")), 3).alias("ball_frames_share"), "persons_removed")
+
+
 def _chains(tracks: pd.DataFrame) -> pd.DataFrame:
     """Greedy: a track joins the nearest open chain of its team that could have reached it, else starts one."""
     tracks = tracks.sort_values(["first", "track_id"], kind="stable")
@@ -90,13 +133,11 @@ _POSITION = [(167 - 5 * i * i) / 1105 for i in range(-_HALF, _HALF + 1)]
 _SLOPE = [i / 280 for i in range(-_HALF, _HALF + 1)]
 
 
-def _edge_rows() -> list[list[float]]:
-    """Row k gives the fitted value at the k-th of 15 rows: V pinv(V) for V = (1, i, i^2)."""
-    s2, s4 = sum(i * i for i in range(-_HALF, _HALF + 1)), sum(i**4 for i in range(-_HALF, _HALF + 1))
-    n = P.SMOOTH_WINDOW
-    d = n * s4 - s2 * s2
-    fit = lambda i, j: s4 / d - s2 / d * (i * i + j * j) + i * j / s2 + n / d * i * i * j * j
-    return [[fit(i, j) for j in range(-_HALF, _HALF + 1)] for i in range(-_HALF, _HALF + 1)]
+def _parabola(value: Column, i: Column) -> list[Column]:
+    """What each of 15 rows at i = -7..7 adds to the coefficients (1, i, i^2) of their least-squares parabola."""
+    s2, s4 = sum(k * k for k in range(-_HALF, _HALF + 1)), sum(k**4 for k in range(-_HALF, _HALF + 1))
+    d = P.SMOOTH_WINDOW * s4 - s2 * s2
+    return [value * (s4 - s2 * i * i) / d, value * i / s2, value * (P.SMOOTH_WINDOW * i * i - s2) / d]
 
 
 def smooth_motion(rows: DataFrame, keys: list[str], frame: str = "frame", x: str = "X", y: str = "Y", fps: float = float(P.FPS)) -> DataFrame:
@@ -129,22 +170,19 @@ def smooth_motion(rows: DataFrame, keys: list[str], frame: str = "frame", x: str
     mid = F.col("ok") & (F.col("k") > _HALF) & (F.col("k") <= F.col("n") - _HALF)
     full = runs.withColumns({"_vx": F.when(mid, dot("x", _SLOPE) * fps), "_vy": F.when(mid, dot("y", _SLOPE) * fps), "_px": F.when(mid, dot("x", _POSITION)), "_py": F.when(mid, dot("y", _POSITION))})
     speed = F.hypot("_vx", "_vy")
-    # The window around the first (last) whole row serves the rows before (after) it.
-    window = F.struct(F.array(*[at("x", i) for i in shifts]).alias("_xs"), F.array(*[at("y", i) for i in shifts]).alias("_ys"), speed.alias("s"))
-    one = lambda k: F.first(F.when(mid & (F.col("k") == k), window), True).over(whole)  # noqa: E731  the only row there is
-    full = full.withColumns({"_first": one(_HALF + 1), "_last": one(F.col("n") - _HALF)})
-    edge = _edge_rows()
-
-    def placed(p: str, values: str) -> Column:
-        at = F.when(F.col("k") <= _HALF, F.col("k")).otherwise(F.col("k") - F.col("n") + P.SMOOTH_WINDOW).cast("int")
-        source = F.when(F.col("k") <= _HALF, F.col(f"_first.{values}")).otherwise(F.col(f"_last.{values}"))
-        weights = F.element_at(F.array(*[F.array(*[F.lit(v) for v in row]) for row in edge]), at)
-        fitted = F.aggregate(F.zip_with(source, weights, lambda v, q: v * q), F.lit(0.0), lambda acc, v: acc + v)
-        return F.when(F.col("ok"), F.coalesce(p, fitted))
-
-    raw = F.when(F.col("ok"), F.coalesce(speed, F.when(F.col("k") <= _HALF, F.col("_first.s")).otherwise(F.col("_last.s"))))
+    # The parabola of a run's first (last) 15 rows serves those before (after) its first (last) whole window.
+    ends = {"f": (F.col("k") <= P.SMOOTH_WINDOW, F.col("k") - _HALF - 1, F.col("k") == _HALF + 1), "l": (F.col("k") > F.col("n") - P.SMOOTH_WINDOW, F.col("k") - F.col("n") + _HALF, F.col("k") == F.col("n") - _HALF)}
+    sums = {f"_{c}{e}{q}": F.sum(F.when(F.col("ok") & of, part)).over(whole) for e, (of, i, _) in ends.items() for c in ("x", "y") for q, part in enumerate(_parabola(F.col(c), i))}
+    full = full.withColumn("_s", speed).withColumns(sums | {f"_s{e}": F.max(F.when(mid & at_, F.col("_s"))).over(whole) for e, (_, _, at_) in ends.items()})
+    early = F.col("k") <= _HALF
+
+    def placed(p: str, c: str) -> Column:
+        fitted = lambda e: F.col(f"_{c}{e}0") + F.col(f"_{c}{e}1") * ends[e][1] + F.col(f"_{c}{e}2") * ends[e][1] * ends[e][1]
+        return F.when(F.col("ok"), F.coalesce(p, F.when(early, fitted("f")).otherwise(fitted("l"))))
+
+    raw = F.when(F.col("ok"), F.coalesce("_s", F.when(early, F.col("_sf")).otherwise(F.col("_sl"))))
     kept = F.when(raw > P.MAX_SPEED, F.lit(None)).when(raw < P.STILL_SPEED, 0.0).otherwise(raw)
-    out = full.select(*keys, "frame", "ok", placed("_px", "_xs").alias("Xs"), placed("_py", "_ys").alias("Ys"), kept.alias("speed"))
+    out = full.select(*keys, "frame", "ok", placed("_px", "x").alias("Xs"), placed("_py", "y").alias("Ys"), kept.alias("speed"))
     return out.withColumn("dist", F.coalesce(F.sum(F.col("speed") / fps).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
 
 

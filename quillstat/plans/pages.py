@@ -155,7 +155,7 @@ def clip_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_panel(spark: SparkSession, d: str) -> DataFrame:
-    return summary.quality_panel(_totals(spark, d))
+    return summary.quality_panel(_totals(spark, d), "balls_v2")
 
 
 def team_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +237,7 @@ SELECT (SELECT count(*) FROM orders) AS analysed_frames, (SELECT count(*) FROM o
     "clip_totals": f"WITH {_TOTALS} SELECT * FROM tot",
     "quality_panel": f"""WITH {_TOTALS}, t AS (SELECT *, CAST(CAST(round_even(clip_seconds, 0) AS BIGINT) AS VARCHAR) AS c, CAST(CAST(round_even(analysed_seconds, 0) AS BIGINT) AS VARCHAR) AS a, CAST(CAST(round_even(analysed_seconds / clip_seconds * 100, 0) AS BIGINT) AS VARCHAR) AS s, CAST(CAST(round_even(mapped_share * 100, 0) AS BIGINT) AS VARCHAR) AS m, CAST(CAST(round_even(ball_share * 100, 0) AS BIGINT) AS VARCHAR) AS b FROM tot)
 SELECT 0 AS nth, 'Clip length' AS item, c || ' s' AS value FROM t UNION ALL SELECT 1, 'Shots showing the court (analysed)', usable_shots || ' shots, ' || a || ' s (' || s || '%)' FROM t UNION ALL SELECT 2, 'Frames mapped to the court', m || '% of analysed frames' FROM t
-UNION ALL SELECT 3, 'Ball found (detected or briefly interpolated)', b || '% of mapped frames' FROM t UNION ALL SELECT 4, 'Frames with a known ball holder', CAST(holder_frames AS VARCHAR) FROM t""",
+UNION ALL SELECT 3, 'Ball found (detected or briefly interpolated)', b || '% of mapped frames' FROM t UNION ALL SELECT 4, 'Frames with a known ball holder', CAST(holder_frames AS VARCHAR) FROM t UNION ALL SELECT 5, 'Ball model', 'balls_v2'""",
     "team_stats": """WITH e AS (SELECT event_type, user_id % 3 AS s FROM events), k(team, kit, s) AS (VALUES ('BOS', 'light', 0), ('GSW', 'dark', 1))
 SELECT team, kit, (SELECT count(*) FROM e WHERE e.s = k.s AND event_type = 'click') AS passes, (SELECT count(*) FROM e WHERE e.s = k.s AND event_type <> 'click') AS interceptions, (SELECT round_even(100.0 * count(*) FILTER (WHERE e.s = k.s) / count(*), 1) FROM e WHERE e.s < 2) AS possession_pct,
  (SELECT round_even(coalesce(sum(s_suppkey % 400 / 4), 0.0), 1) FROM supplier WHERE s_suppkey % 3 = k.s) AS players_tracked_seconds, (SELECT round_even(CAST(coalesce(sum(s_suppkey % 301), 0) AS DOUBLE), 0) FROM supplier WHERE s_suppkey % 3 = k.s) AS distance_m FROM k""",

@@ -154,7 +154,7 @@ def test_alignment_falls_with_a_shift(spark):
         for a in (-1, 0, 1):
             for b in (-1, 0, 1):
                 paint[round(u) + a, round(v) + b] = 100.0
-    pixels = [(view, u, v, paint.get((u, v), 5.0)) for view in (1, 2) for u in range(0, 1280) for v in range(0, 720, 1) if (u, v) in paint or (u + v) % 2 == 0]
+    pixels = [(view, u, v, paint.get((u, v), 5.0)) for view in (1, 2) for u in range(0, 1280) for v in range(0, 720, 1) if (u, v) in paint or (u * 7 + v) % 16 == 0]
     moved = [c + d * w for c, d, w in zip(h, [36.0] * 3 + [-28.0] * 3 + [0.0] * 3, h[6:9] * 3, strict=True)]
     views = spark.createDataFrame([(1, h), (2, moved), (3, [1.0, 0.0, -9e6, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "view long, h array<double>")
     response = spark.createDataFrame(pd.DataFrame(pixels, columns=["view", "px", "py", "value"]))
