@@ -2,9 +2,10 @@
 
 Calls and results are hash-joined by (conversation, identifier). A call's level is one more than the highest level of the
 calls that it depends on, so ascending levels are a topological order. Calls with one dependency at most form trees,
-whose depths come from pointer doubling (log of the depth rounds); what is left of the graph, calls with several
-dependencies, is settled round by round, each round joining only the calls settled in the one before. No conversation is ever gathered in one task, so one that holds a third of all
-rows is no different from others.
+whose depths come from pointer doubling (log of the depth rounds). What is left of the graph, the edges of calls with
+several dependencies, is settled in one task a conversation where these are GROUP edges at most, so that no depth costs
+rounds; a conversation with more of them, which may hold a third of all rows, is never gathered: it is settled round by
+round, a level each, in which only the calls settled in the one before are joined.
 
 Arguments are parsed and validated against the tool's schema (a subset of JSON Schema: type, required, properties, items,
 enum, additionalProperties, minimum, maximum, minLength, maxLength; an unknown type is refused before any work). A call
@@ -15,7 +16,8 @@ that repeat an identifier in a conversation the one of the lowest turn counts (t
 how many others there are; a result without a call is a row of its own, not linked, with a null level; a dependency on an unknown call counts in n_missing and is otherwise ignored; calls on or behind a cycle have a
 null level; arguments that are no JSON object make a call invalid, and are written as a JSON string where they are no
 JSON at all, hold NaN or Infinity, or are nested too deep; lone surrogates are written escaped; a tool without a
-schema makes its calls invalid; other columns play no part.
+schema makes its calls invalid; numbers are compared by value (1.0 is the integer 1) and are never equal to booleans; a
+task holds one batch of texts, whatever their length; empty tables give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import Scratch, table
 
+#: Edges of one conversation that a task may hold.
+GROUP = 50_000
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -47,12 +51,29 @@ def check_schema(schema: dict, at: str = "$") -> None:
         check_schema(field, f"{at}.{k}")
 
 
+def _is_kind(value: object, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) or (kind == "integer" and isinstance(value, float) and value.is_integer())
+
+
+def _same(a: object, b: object) -> bool:
+    """Equality of JSON values: booleans are no numbers, numbers are equal by value."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
 def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """What in `value` breaks `schema`, in document order."""
     kinds = _kinds(schema)
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in kinds):
+    if kinds and not any(_is_kind(value, k) for k in kinds):
         return [f"{at}: not of type {' or '.join(kinds)}"]
-    found = [f"{at}: not one of the listed values"] if "enum" in schema and value not in schema["enum"] else []
+    found = [f"{at}: not one of the listed values"] if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) else []
     if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         found.append(f"{at}: out of range")
     if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
@@ -123,8 +144,29 @@ def _first(rows: DataFrame, *tie: str) -> DataFrame:
     return named.groupBy("conv_id", "call_id").agg(F.min(order).alias("first"), (F.count("*") - 1).alias("repeats")).select("conv_id", "call_id", "first.*", "repeats")
 
 
-def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """calls: (conv_id, call_id, depends_on), unique. (conv_id, call_id, level, n_missing): level 0 has no dependencies."""
+def _settle(edges: pd.DataFrame) -> pd.DataFrame:
+    """One conversation's edges (conv_id, head, dep_head, dist): the levels of the heads that are on or behind no cycle. A dep_head that is no head has no dependencies; a null one is behind a cycle."""
+    waits: dict[str, int] = {}
+    leads: dict[str, list[tuple[str, int]]] = {}
+    for head, dep, dist in edges[["head", "dep_head", "dist"]].itertuples(index=False, name=None):
+        waits[head] = waits.get(head, 0) + 1
+        if isinstance(dep, str):
+            leads.setdefault(dep, []).append((head, int(dist)))
+    level, out = dict.fromkeys(leads, 0), []
+    ready = [dep for dep in leads if dep not in waits]
+    while ready:
+        dep = ready.pop()
+        for head, dist in leads.get(dep, ()):
+            level[head] = max(level.get(head, 0), level[dep] + dist + 1)
+            waits[head] -= 1
+            if not waits[head]:
+                out.append(head)
+                ready.append(head)
+    return pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "head": out, "level": [level[h] for h in out]}, columns=["conv_id", "head", "level"])
+
+
+def levels(calls: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
+    """calls: (conv_id, call_id, depends_on), unique. (conv_id, call_id, level, n_missing): level 0 has no dependencies. group: see GROUP."""
     nodes = calls.select("conv_id", "call_id")
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.filter("depends_on", lambda d: d.isNotNull()))).alias("dep"))
     known = edges.join(nodes.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known")), ["conv_id", "dep"], "left")
@@ -140,26 +182,33 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
         ahead = up.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("head_2"), F.col("dist").alias("dist_2"), F.col("open").alias("open_2"))
         moved = up.join(ahead, ["conv_id", "head"])
         up = scratch.write(moved.select("conv_id", "call_id", F.col("head_2").alias("head"), (F.col("dist") + F.col("dist_2")).alias("dist"), F.col("open_2").alias("open")), f"up-{rounds}")
+        scratch.remove(f"up-{rounds - 1}")
     # Heads: no dependencies, or several. Calls still open are on or behind a cycle.
     settled = up.where("not open").select("conv_id", "call_id", "head", "dist")
     done = scratch.write(degree.where("n = 0").select("conv_id", F.col("call_id").alias("head"), F.lit(0).cast("long").alias("level")), "done-0")
     many = degree.where("n > 1").select("conv_id", "call_id", "n")
     wide = known.where("known").join(many, ["conv_id", "call_id"]).join(settled.select("conv_id", F.col("call_id").alias("dep"), F.col("head").alias("dep_head"), "dist"), ["conv_id", "dep"], "left")
     wide, rounds = scratch.write(wide.select("conv_id", F.col("call_id").alias("head"), "dep_head", "dist"), "wide"), 0
-    # What each unsettled head has met so far; a round joins only the heads that the one before has settled.
-    waiting = many.select("conv_id", F.col("call_id").alias("head"), "n", F.lit(0).cast("long").alias("met"), F.lit(0).cast("long").alias("level"))
-    settled_now, all_done = done, [done]
+    # Few edges: one task a conversation.
+    few = scratch.write(wide.groupBy("conv_id").agg(F.count("*").alias("edges")).where(F.col("edges") <= group).select("conv_id"), "few")
+    scratch.write(wide.join(few, "conv_id", "left_semi").groupBy("conv_id").applyInPandas(_settle, "conv_id long, head string, level long"), "settled-few")
+    scratch.write(done, "settled-0")
+    # Many: what each unsettled head has met so far; a round joins only the heads that the one before has settled.
+    wide = scratch.write(wide.join(few, "conv_id", "left_anti"), "wide-many")
+    waiting = many.join(few, "conv_id", "left_anti").select("conv_id", F.col("call_id").alias("head"), "n", F.lit(0).cast("long").alias("met"), F.lit(0).cast("long").alias("level"))
+    settled_now = done
     while not wide.isEmpty():
         rounds += 1
         hits = wide.join(settled_now.select("conv_id", F.col("head").alias("dep_head"), "level"), ["conv_id", "dep_head"])
         hits = hits.groupBy("conv_id", "head").agg(F.count("*").alias("more"), (F.max(F.col("level") + F.col("dist")) + 1).alias("high"))
         met = waiting.join(hits, ["conv_id", "head"], "left").select("conv_id", "head", "n", (F.col("met") + F.coalesce("more", F.lit(0))).alias("met"), F.greatest("level", F.coalesce("high", F.lit(0))).alias("level"))
         met = scratch.write(met, f"met-{rounds}")
-        settled_now, waiting = met.where("met = n").select("conv_id", "head", "level"), met.where("met < n")
+        if rounds > 1:
+            scratch.remove(f"met-{rounds - 1}")
+        settled_now, waiting = scratch.write(met.where("met = n").select("conv_id", "head", "level"), f"settled-{rounds}"), met.where("met < n")
         if settled_now.isEmpty():
             break
-        all_done.append(settled_now)
-    done = reduce(DataFrame.unionByName, all_done)
+    done = calls.sparkSession.read.schema(done.schema).parquet(f"{scratch.path}/settled-*")
     placed = settled.join(done, ["conv_id", "head"]).select("conv_id", "call_id", (F.col("level") + F.col("dist")).alias("level"))
     return degree.select("conv_id", "call_id", "n_missing").join(placed, ["conv_id", "call_id"], "left")
 
