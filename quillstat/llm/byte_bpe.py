@@ -8,7 +8,7 @@ path of log2(n) nodes. Live neighbours are kept in two link arrays. Many pieces
 one lane each, so that a step is a handful of array operations.
 
 The ids of a chunk of text between spaces never depend on what stands around it but for one leading space, so workers
-memoise chunks (at most MEMO entries, then the memo starts anew).
+memoise chunks (beyond MEMO entries the half met first is kept).
 
 Defined cases: a null or empty text has no ids; a lone surrogate cannot occur in Spark strings; special tokens' strings
 are ordinary text; repeated rows give repeated result rows; other columns play no part.

@@ -47,8 +47,11 @@ from quillstat.llm.common import Scratch, table, text_of
 
 WINDOW, MEAN, MIN, MAX = 8, 512, 64, 4096
 _FACTOR, _SPREAD = 0x2C1B3C6D, 0x9E3779B1
-MEMO = 600_000
+#: Words remembered by a worker, and the bytes of those met since the memo was last halved.
+MEMO, MEMO_BYTES = 600_000, 64 << 20
 OWN, SHARED, ELSEWHERE, REPEAT = range(4)
+#: Bytes of a word that is kept when the memo is halved.
+LONG = 64
 #: Texts whose unknown words are encoded together.
 TEXTS = 256
 #: Words of lower-case Latin letters only: one piece for the tokenizer, which its normaliser leaves as it is.
@@ -88,6 +91,7 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
         self.marks = {ord(c): self._alone(c) for c in ",."} if self.by_words else {}
 
     def _alone(self, text: str) -> bytes:
@@ -125,9 +129,11 @@ class WordEncoder:
             return [array(code, e.ids).tobytes() for k in range(0, len(texts), TEXTS) for e in self.tokenizer.encode_batch_fast(texts[k : k + TEXTS], add_special_tokens=False)]
         for k in range(0, len(texts), TEXTS):
             cut = [text.encode().split() for text in texts[k : k + TEXTS]]
-            if len(self.memo) > MEMO:  # the words met first are mostly the frequent ones
-                self.memo = dict(islice(self.memo.items(), MEMO // 2))
+            if len(self.memo) > MEMO or self.held > MEMO_BYTES:  # the words met first are mostly the frequent ones
+                self.memo = {w: ids for w, ids in islice(self.memo.items(), MEMO // 2) if len(w) <= LONG}
+                self.held = 0
             if missing := {w for words in cut for w in words}.difference(self.memo):
+                self.held += sum(map(len, missing))
                 self._learn(missing)
             out += [b"".join(map(self.memo.__getitem__, words)) for words in cut]
         return out
@@ -365,19 +371,45 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FILE_DOCS, _MANIFEST = "shard long, offset long, n_tokens long, root binary", "n_files long, n_docs long, n_tokens long, root binary"
 
 
+def merkle_path(path: list[tuple[int, bytes]], leaf: bytes) -> None:
+    """Adds a leaf to the complete subtrees (height, root) of the tree so far, largest first."""
+    height = 0
+    while path and path[-1][0] == height:
+        leaf, height = hashlib.sha256(path.pop()[1] + leaf).digest(), height + 1
+    path.append((height, leaf))
+
+
+def merkle_end(path: list[tuple[int, bytes]]) -> bytes:
+    """The root that `merkle_root` gives for all leaves added."""
+    if not path:
+        return merkle_root([])
+    root = path[-1][1]
+    for _, left in path[-2::-1]:
+        root = hashlib.sha256(left + root).digest()
+    return root
+
+
 def _file_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, docs: (offset, n_tokens, root) by offset, n_docs, n_tokens, root) to (shard, wrong): what a file's documents break of its manifest."""
+    """(shard, n_docs, offset, n_tokens, root), a file's documents by offset and its manifest (n_docs is not null) last, to (wrong): what its documents break of it. Holds one path of the file's tree."""
+    shard, path, n, at = None, [], 0, 0
     for b in batches:
         wrong = []
-        for r in b.to_pylist():
-            docs, at = r["docs"] or [], 0
-            for d in docs:
-                at = at + d["n_tokens"] if d["offset"] == at else -1
-                if at < 0:
-                    break
-            fine = len(docs) == r["n_docs"] and at == r["n_tokens"] and merkle_root([d["root"] for d in docs]) == r["root"]
-            wrong.append(None if fine else f"file {r['shard']}: its documents do not match its manifest")
-        yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(wrong, pa.string())], ["shard", "wrong"])
+        for s, n_docs, offset, n_tokens, root in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            if s != shard:
+                if shard is not None:
+                    wrong.append(f"file {shard}: it has no manifest")
+                shard, path, n, at = s, [], 0, 0
+            if n_docs is None:
+                at = at + n_tokens if offset == at else -1 if at >= 0 else at
+                n += 1
+                merkle_path(path, root)
+                continue
+            if not (n == n_docs and at == n_tokens and merkle_end(path) == root):
+                wrong.append(f"file {s}: its documents do not match its manifest")
+            shard = None
+        yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string())], ["wrong"])
+    if shard is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([f"file {shard}: it has no manifest"])], ["wrong"])
 
 
 def _store_manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +432,11 @@ def verify(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Non
     found = _of_store(store).first()
     if found != spark.read.schema(_MANIFEST).parquet(f"{path}-manifest").first():
         raise ValueError("the files' manifests do not match the store's manifest")
-    held = (store.where("n_docs is null") if docs is None else docs).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("offset", "n_tokens", "root"))).alias("docs"))
-    whole = held.join(store.where("n_docs is not null").select("shard", "n_docs", "n_tokens", "root"), "shard", "full").select("shard", "docs", F.coalesce("n_docs", F.lit(-1)).alias("n_docs"), "n_tokens", "root")
-    bad = whole.mapInArrow(_file_states, "shard long, wrong string").where("wrong is not null").first()
+    none = F.lit(None).cast("long").alias("n_docs")
+    held = (store.where("n_docs is null") if docs is None else docs).select("shard", none, "offset", "n_tokens", "root")
+    files = store.where("n_docs is not null").select("shard", "n_docs", F.lit(None).cast("long").alias("offset"), "n_tokens", "root")
+    rows = held.unionByName(files).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("offset"), F.asc_nulls_first("n_docs"))
+    bad = rows.mapInArrow(_file_states, "wrong string").first()
     if bad:
         raise ValueError(bad.wrong)
 
