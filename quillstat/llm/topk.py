@@ -86,7 +86,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
-def _entries(q_keys: np.ndarray, bound: np.ndarray, q: np.ndarray, c_keys: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, slices: int, resolve: bool) -> pa.RecordBatch:
+def _entries(q_keys: np.ndarray, bound: np.ndarray, q: np.ndarray, c_keys: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, slices: int, resolve: bool) -> tuple[np.ndarray, ...]:
     """A query block with a block of vectors: at most k entries of each query, with their whole scores."""
     parts = _partials(q, c, slices)
     own = q_keys[:, None] == c_keys
@@ -108,34 +108,49 @@ def _entries(q_keys: np.ndarray, bound: np.ndarray, q: np.ndarray, c_keys: np.nd
     score = sum(p[at, col] for p in parts).astype(np.int64)
     keep = score >= bound[at]
     at, col, score = at[keep], col[keep], score[keep]
-    order = np.lexsort((c_keys[col], c_ids[col], -score, at))
-    at, col, score = at[order], col[order], score[order]
-    near = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
-    return pa.RecordBatch.from_arrays([pa.array(q_keys[at[near]]), pa.array(c_keys[col[near]]), pa.array(c_ids[col[near]]), pa.array(score[near])], ["query", "key", "id", "score"])
+    return _nearest(q_keys[at], c_keys[col], c_ids[col], score, k)
+
+
+def _nearest(query: np.ndarray, key: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best entries of each query: by score, then id, then key."""
+    order = np.lexsort((key, ids, -score, query))
+    query = query[order]
+    near = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return query[near], *(x[order][near] for x in (key, ids, score))
 
 
 def _phase(k: int, slices: int, resolve: bool):
-    """Blocks sorted by cell, its queries first; holds a cell's query blocks."""
+    """Blocks sorted by cell, its queries first; holds a cell's query blocks and their k best entries, which leave it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, {}
+        cell, held, best = None, {}, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for found in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query", "key", "id", "score"])
+
         for b in batches:
             for at, dim, keys, extra, data in zip(*(b.column(n) for n in range(5)), strict=True):
                 at, dim, *block = at.as_py(), dim.as_py(), *(np.frombuffer(x.as_buffer(), "<i8") for x in (keys, extra, data))
                 block[2] = block[2].reshape(-1, dim)
                 if at >> 1 != cell:
-                    cell, held = at >> 1, {}
+                    yield from out()
+                    cell, held, best = at >> 1, {}, {}
                 if at & 1:
-                    for asked in held.get(dim, ()):
-                        yield _entries(*asked, *block, k, slices, resolve)
+                    for nth, asked in enumerate(held.get(dim, ())):
+                        found = _entries(*asked, *block, k, slices, resolve)
+                        if (dim, nth) in best:
+                            found = _nearest(*(np.concatenate(x) for x in zip(best[dim, nth], found, strict=True)), k)
+                        best[dim, nth] = found
                 else:  # outlives its batch
                     held.setdefault(dim, []).append([x.copy() for x in block])
+        yield from out()
 
     return run
 
 
 def _meet(queries: DataFrame, vectors: DataFrame, n_queries: int, n_vectors: int, k: int, slices: int, resolve: bool) -> DataFrame:
-    """(query, key, id, score): each block of vectors' best entries of each query, by the rows' keys; an unknown id is NO_ID."""
+    """(query, key, id, score): each cell's best entries of each query, by the rows' keys; an unknown id is NO_ID."""
     wide, high = max(1, min(n_vectors, max(CELLS, n_vectors // VECTOR_BLOCKS))), max(1, n_queries // QUERY_BLOCKS)
 
     def group(n: int) -> Column:
