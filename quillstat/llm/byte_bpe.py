@@ -11,7 +11,8 @@ The ids of a chunk of text between spaces never depend on what stands around it
 memoise chunks (beyond MEMO entries the half met first is kept).
 
 Defined cases: a null or empty text has no ids; a lone surrogate cannot occur in Spark strings; special tokens' strings
-are ordinary text; repeated rows give repeated result rows; other columns play no part.
+are ordinary text; repeated rows give repeated result rows; an empty table gives no rows; a
+long text is encoded whole, in memory of a few times its size, and so is one long chunk; other columns play no part.
 """
 
 from __future__ import annotations

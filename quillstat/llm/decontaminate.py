@@ -16,7 +16,8 @@ read as tokens a second time, to be compared.
 
 Defined cases: a null or empty text, of a document or an item, has no tokens and matches nothing; rows with equal doc_id
 count as one document, of which the best match of each item is given (null doc_ids likewise); repeated items each match;
-other columns play no part.
+unspaced scripts are cut at their clauses only, so they match by whole clauses; an empty table of documents or of items
+gives no rows; a long text is one array of its tokens while its row is at work; other columns play no part.
 """
 
 from __future__ import annotations

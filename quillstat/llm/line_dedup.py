@@ -7,7 +7,9 @@ Only (document, position, 128-bit key hash) is shuffled to count; the count runs
 every document holds is as cheap as any other. Dropped positions come back as one array a document.
 
 Defined cases: a null or empty text is one empty line; rows with the same doc_id count as one document and each keeps
-its own lines; a null doc_id counts as one document that is smaller than all others; other columns play no part.
+its own lines; a null doc_id counts as one document that is smaller than all others (and is told apart from no
+other id but the least long); an empty table gives no rows; a long text is one array of its lines while its row is at work;
+other columns play no part.
 """
 
 from __future__ import annotations

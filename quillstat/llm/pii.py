@@ -12,7 +12,8 @@ A span's score is BASE (WEAK for an iban that is not of a listed country and its
 context words stands within REACH code points on either side (up to the neighbouring match of the kind). Spans of the
 added kind need a score of LEAST: a weak one counts only beside a context word. Base kinds stay whatever their score.
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated result rows; other columns play no part.
+Defined cases: a null or empty text has no spans; repeated rows give repeated result rows; an empty
+table gives no rows; a long text is scanned whole, in memory of a few times its size; other columns play no part.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ of over HOT rows is dealt into chunks and every pair of chunks is walked by some
 are then found by star rounds (see components.py).
 
 Defined cases: a null or empty text, or one of only space, has fingerprint zero and is linked like any other; repeated
-rows give repeated result rows; a null doc_id is never a component's id unless all its members are null; other columns
+rows give repeated result rows; a null doc_id is never a component's id unless all its members are null; an empty table gives no rows; a long text is hashed whole, in memory that grows with its words; other columns
 play no part.
 """
 

@@ -17,7 +17,7 @@ Scores are integers. They are exact as long as they stay below 2^53 in size (che
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; rows with the same id
 are separate candidates and separate queries, and only a query's own row is never among its results; a row with a null id
 is a candidate like any other and comes last of equal scores; vectors of different length are never compared; fewer than
-K candidates give fewer ranks; other columns play no part.
+K candidates give fewer ranks; an empty table, or one without queries, gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
