@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.params import FPS, MILE_KM
-from quillstat.functions.scalar import half_even, minutes, number
+from quillstat.functions.scalar import half_even, minutes, number, shown_int
 from quillstat.operators.boxscore import clip_time, drop_empty_columns, made_of
 from quillstat.operators.clip import coverage
 
@@ -100,6 +100,27 @@ def roster(players: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("mins"), "PLAYER")))
 
 
+def player_headline(players: DataFrame, advanced: DataFrame | None = None) -> DataFrame:
+    """One row a player with minutes, as text where it is shown so: minutes, points, rebounds, assists, steals and blocks, plus/minus, made of attempted, turnovers; with `advanced` true shooting and usage, null for a player it lacks."""
+    mins, whole = half_even(minutes(F.col("minutes")), 0), lambda c: shown_int(F.col(c))
+    pair = lambda a, b, sep: F.concat(whole(a).cast("string"), F.lit(sep), whole(b).cast("string"))
+    on = players.where(F.coalesce(minutes(F.col("minutes")), F.lit(0.0)) > 0)
+    shown = on.select(
+        "personId", F.col("nameI").alias("PLAYER"), F.col("teamTricode").alias("team"), F.format_string("%.0f", mins).alias("Minutes"), whole("points").alias("Points"), whole("reboundsTotal").alias("Rebounds"), whole("assists").alias("Assists"),
+        pair("steals", "blocks", " / ").alias("Steals / blocks"), F.format_string("%+.0f", half_even(number(F.col("plusMinusPoints")), 0)).alias("+/-"), pair("fieldGoalsMade", "fieldGoalsAttempted", "/").alias("FG"), pair("threePointersMade", "threePointersAttempted", "/").alias("3P"), pair("freeThrowsMade", "freeThrowsAttempted", "/").alias("FT"), whole("turnovers").alias("Turnovers"),
+    )
+    if advanced is None:
+        return shown
+    rate = lambda c: half_even(number(F.col(c)) * 100, 1)
+    rates = advanced.groupBy("personId").agg(F.min(F.struct(rate("trueShootingPercentage").alias("ts"), rate("usagePercentage").alias("usg"))).alias("_r"))
+    return shown.join(rates, "personId", "left").withColumns({"True shooting %": F.format_string("%.1f", F.col("_r.ts")), "Usage %": F.format_string("%.1f", F.col("_r.usg"))}).withColumns({c: F.when(F.col("_r").isNotNull(), F.col(c)) for c in ("True shooting %", "Usage %")}).drop("_r")
+
+
+def season_label(season: Column) -> Column:
+    """`2021-22` as `2022 playoffs (2021-22 season)`."""
+    return F.concat((F.substring(season, 1, 4).try_cast("int") + 1).cast("string"), F.lit(" playoffs ("), season, F.lit(" season)"))
+
+
 def distance_table(track: DataFrame, least: float = 5.0) -> DataFrame:
     """Of players with minutes: kilometres, km/h, and kilometres a minute for those with `least` minutes."""
     mins = minutes(F.col("minutes"))

@@ -74,6 +74,20 @@ def distance_table(spark: SparkSession, d: str) -> DataFrame:
     return summary.distance_table(_players(spark, d, P.TRACK))
 
 
+def player_headline(spark: SparkSession, d: str) -> DataFrame:
+    """Players with their headline; every fourth has no advanced row."""
+    spec = P.BOX + P.SHOOT
+    players = _players(spark, d, spec).withColumnRenamed("c_custkey", "personId").withColumn("plusMinusPoints", F.col("plusMinusPoints") - 40)
+    advanced = _players(spark, d, P.ADV).withColumnRenamed("c_custkey", "personId").where("personId % 4 > 0")
+    return summary.player_headline(players, advanced)
+
+
+def season_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Years of orders as seasons."""
+    y = F.year("o_orderdate")
+    return read(spark, d, "orders").groupBy(F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0")).alias("season")).agg(F.count("*").alias("games")).withColumn("label", summary.season_label(F.col("season")))
+
+
 def contest_table(spark: SparkSession, d: str) -> DataFrame:
     return summary.contest_table(_players(spark, d, P.TRACK))
 
@@ -190,7 +204,7 @@ def game_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TAB_NAMES = {"tab_box": "Box score", "tab_shooting": "Shooting", "tab_advanced": "Advanced", "tab_misc": "Miscellaneous", "tab_hustle": "Hustle", "tab_tracking": "Player tracking"}
-QUERIES = {key: _tab(name) for key, name in _TAB_NAMES.items()} | {f.__name__: f for f in (roster, distance_table, contest_table, tracking_totals, four_factors_advanced, team_summary, game_info, label_people, on_court, feet_points, frame_holders, clip_quality, clip_totals, quality_panel, team_stats, clip_players, price_spread, short_track_share, game_report)}
+QUERIES = {key: _tab(name) for key, name in _TAB_NAMES.items()} | {f.__name__: f for f in (roster, distance_table, player_headline, season_labels, contest_table, tracking_totals, four_factors_advanced, team_summary, game_info, label_people, on_court, feet_points, frame_holders, clip_quality, clip_totals, quality_panel, team_stats, clip_players, price_spread, short_track_share, game_report)}
 
 
 def _raw(spec: list[tuple[str, str, str]], name: str, seed: str) -> str:
@@ -207,6 +221,11 @@ def _pair(name: str) -> str:
     return f"CAST({_track(name + 'FieldGoalsMade')} AS BIGINT) || '/' || CAST({_track(name + 'FieldGoalsAttempted')} AS BIGINT)"
 
 
+def _line(name: str) -> str:
+    return f"CAST({_raw(P.BOX + P.SHOOT, name, 'c_custkey')} AS BIGINT)"
+
+
+_RATE = lambda name: f"CASE WHEN c_custkey % 4 > 0 THEN printf('%.1f', round_even({_raw(P.ADV, name, 'c_custkey')} * 100, 1)) END"
 _NATIONS = "(SELECT n_nationkey AS n FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 99)"
 _FACTOR = lambda k: f"((n + 1) * {k + 3} % 89 / 1.0)"
 _PEOPLE = "people AS (SELECT l_linenumber AS shot, l_partkey AS track_id, l_orderkey AS frame, CASE l_returnflag WHEN 'A' THEN 'light' WHEN 'R' THEN 'dark' ELSE 'unknown' END AS team, l_quantity AS q FROM lineitem)"
@@ -215,6 +234,10 @@ _TOTALS = f"""{_PEOPLE}, tot AS (SELECT (SELECT round_even(sum(p_partkey % 900)
  (SELECT round_even(count(*) FILTER (WHERE o_orderkey % 4 > 0) / count(*), 3) FROM orders) AS mapped_share, (SELECT round_even((SELECT count(*) FROM people WHERE q > 45) / count(*), 3) FROM orders WHERE o_orderkey % 4 > 0) AS ball_share)"""
 SQL = {key: _tab_sql(name) for key, name in _TAB_NAMES.items()} | {
     "roster": f"SELECT 'T' || c_nationkey AS team, c_name AS \"PLAYER\", round_even({_CLOCK}, 4) AS mins, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY round_even({_CLOCK}, 4) DESC, c_name) AS INT) AS nth FROM customer WHERE c_custkey % 5 <> 0",
+    "player_headline": f"""SELECT c_custkey AS "personId", c_name AS "PLAYER", 'T' || c_nationkey AS team, printf('%.0f', round_even({_CLOCK}, 0)) AS "Minutes", {_line('points')} AS "Points", {_line('reboundsTotal')} AS "Rebounds", {_line('assists')} AS "Assists",
+ {_line('steals')} || ' / ' || {_line('blocks')} AS "Steals / blocks", printf('%+.0f', CAST({_line('plusMinusPoints')} - 40 AS DOUBLE)) AS "+/-", {_line('fieldGoalsMade')} || '/' || {_line('fieldGoalsAttempted')} AS "FG", {_line('threePointersMade')} || '/' || {_line('threePointersAttempted')} AS "3P", {_line('freeThrowsMade')} || '/' || {_line('freeThrowsAttempted')} AS "FT", {_line('turnovers')} AS "Turnovers",
+ {_RATE('trueShootingPercentage')} AS "True shooting %", {_RATE('usagePercentage')} AS "Usage %" FROM customer WHERE c_custkey % 5 <> 0""",
+    "season_labels": "SELECT year(o_orderdate) || '-' || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0') AS season, count(*) AS games, (year(o_orderdate) + 1) || ' playoffs (' || season || ' season)' AS label FROM orders GROUP BY ALL",
     "distance_table": f"""SELECT "PLAYER", team, round_even(m, 2) AS mins, round_even(km, 3) AS km, round_even(kmh, 3) AS kmh, round_even(CASE WHEN m >= 5 THEN km / m END, 4) AS km_per_minute
 FROM (SELECT c_name AS "PLAYER", 'T' || c_nationkey AS team, CAST({_CLOCK} AS DOUBLE) AS m, CAST({_track('distance')} AS DOUBLE) * 1.609344 AS km, CAST({_track('speed')} AS DOUBLE) * 1.609344 AS kmh FROM customer WHERE c_custkey % 5 <> 0)""",
     "contest_table": f"SELECT c_name AS \"PLAYER\", 'T' || c_nationkey AS team, round_even({_CLOCK}, 0) AS mins, CAST({_track('reboundChancesOffensive')} AS BIGINT) AS oreb_chances, CAST({_track('reboundChancesDefensive')} AS BIGINT) AS dreb_chances, {_pair('contested')} AS contested, {_pair('uncontested')} AS uncontested, {_pair('defendedAtRim')} AS rim FROM customer WHERE c_custkey % 5 <> 0",
