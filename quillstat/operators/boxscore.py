@@ -41,16 +41,18 @@ def team_tabs(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, s
     return people.unionByName(total, allowMissingColumns=True)
 
 
-def with_fouls(tabs: DataFrame, fouls: DataFrame) -> DataFrame:
-    """Adds technical and flagrant counts by player label; players without any foul, and TEAM rows, get null."""
+def with_fouls(tabs: DataFrame, fouls: DataFrame, *game: str) -> DataFrame:
+    """Adds technical and flagrant counts by player label (of a game, where both are keyed by it); players without any foul, and TEAM rows, get null."""
     count = lambda c: F.when(F.col("row_kind") == 0, F.col(c).cast("double"))
-    return tabs.join(fouls.select(F.col("player").alias("_p"), "technical", "flagrant"), F.col("PLAYER") == F.col("_p"), "left").withColumns({"technical": count("technical"), "flagrant": count("flagrant")}).drop("_p")
+    named = fouls.select(F.col("player").alias("_p"), *[F.col(g).alias(f"_{g}") for g in game], "technical", "flagrant")
+    same = reduce(lambda a, g: a & (F.col(g) == F.col(f"_{g}")), game, F.col("PLAYER") == F.col("_p"))
+    return tabs.join(named, same, "left").withColumns({"technical": count("technical"), "flagrant": count("flagrant")}).drop("_p", *[f"_{g}" for g in game])
 
 
-def foul_counts(pbp: DataFrame) -> DataFrame:
-    """(player, technical, flagrant): fouls whose sub-type names them, in any case."""
+def foul_counts(pbp: DataFrame, *game: str) -> DataFrame:
+    """(game, player, technical, flagrant): fouls whose sub-type names them, in any case."""
     kind = F.lower("subType")
-    return pbp.where((F.lower("actionType") == "foul") & F.col("playerNameI").isNotNull()).groupBy(F.col("playerNameI").alias("player")).agg(F.count_if(kind.contains("technical")).alias("technical"), F.count_if(kind.contains("flagrant")).alias("flagrant"))
+    return pbp.where((F.lower("actionType") == "foul") & F.col("playerNameI").isNotNull()).groupBy(*game, F.col("playerNameI").alias("player")).agg(F.count_if(kind.contains("technical")).alias("technical"), F.count_if(kind.contains("flagrant")).alias("flagrant"))
 
 
 def did_not_play(players: DataFrame) -> DataFrame:
@@ -67,25 +69,26 @@ def drop_ghosts(players: DataFrame, order: str) -> DataFrame:
     return first_per_key(players.where(F.trim(F.coalesce("minutes", F.lit(""))) != ""), ["personId"], order)
 
 
-def ordered(tabs: DataFrame) -> DataFrame:
-    """nth: a row's place in its team's tab, from 1: players by MIN (most first, then by name), the TEAM row last."""
-    return tabs.withColumn("nth", F.row_number().over(Window.partitionBy("team").orderBy("row_kind", F.desc_nulls_last("MIN"), "PLAYER")))
+def ordered(tabs: DataFrame, *game: str) -> DataFrame:
+    """nth: a row's place in its team's tab (of a game), from 1: players by MIN (most first, then by name), the TEAM row last."""
+    return tabs.withColumn("nth", F.row_number().over(Window.partitionBy(*game, "team").orderBy("row_kind", F.desc_nulls_last("MIN"), "PLAYER")))
 
 
 def stat_tab(players: DataFrame, teams: DataFrame, spec: list[tuple[str, str, str]], fouls: DataFrame | None = None) -> DataFrame:
-    """One tab of all teams: (team, row_kind, PLAYER, POS, MIN, columns, nth). MIN is shown in every tab; a position that is missing is empty; teams without players get no TEAM row."""
+    """One tab of all teams: (team, row_kind, PLAYER, POS, MIN, columns, nth). MIN is shown in every tab; a position that is missing is empty; teams without players get no TEAM row. Where all tables have game_id, a tab is a game's, and its rows have it first."""
+    game = ["game_id"] if all("game_id" in t.columns for t in (players, teams) if t is not None) and (fouls is None or "game_id" in fouls.columns) else []
     spec = spec if any(raw == "minutes" for raw, _, _ in spec) else [("minutes", "MIN", "min"), *spec]
     position = F.coalesce(F.col("position"), F.lit("")) if "position" in players.columns else F.lit("")
     on = players.where(F.coalesce(half_even(minutes(F.col("minutes")), 1), F.lit(0.0)) > 0)
-    people = frame(on, spec, F.col("teamTricode").alias("team"), F.lit(0).alias("row_kind"), F.col("nameI").alias("PLAYER"), position.alias("POS"))
-    there = teams.join(players.select("teamTricode").distinct(), "teamTricode", "left_semi")
-    total = frame(there, spec, F.col("teamTricode").alias("team"), F.lit(1).alias("row_kind"), F.lit("TEAM").alias("PLAYER"), F.lit("").alias("POS"))
+    people = frame(on, spec, *game, F.col("teamTricode").alias("team"), F.lit(0).alias("row_kind"), F.col("nameI").alias("PLAYER"), position.alias("POS"))
+    there = teams.join(players.select(*game, "teamTricode").distinct(), [*game, "teamTricode"], "left_semi")
+    total = frame(there, spec, *game, F.col("teamTricode").alias("team"), F.lit(1).alias("row_kind"), F.lit("TEAM").alias("PLAYER"), F.lit("").alias("POS"))
     tab = people.unionByName(total, allowMissingColumns=True)
-    return ordered(tab if fouls is None else with_fouls(tab, fouls))
+    return ordered(tab if fouls is None else with_fouls(tab, fouls, *game), *game)
 
 
 def build_tabs(tables: dict[tuple[str, int], DataFrame]) -> dict[str, DataFrame]:
-    """The six tabs of a bundle, by name; one whose player table is missing has no rows. The tracking tab shows kilometres beside miles."""
+    """The six tabs of a bundle, of one game or of many (keyed by game_id), by name; one whose player table is missing has no rows. The tracking tab shows kilometres beside miles."""
     tabs = {}
     for name, endpoint, team_table, spec in TABS:
         players, teams = tables.get((endpoint, 0)), tables.get((endpoint, team_table))
@@ -96,7 +99,8 @@ def build_tabs(tables: dict[tuple[str, int], DataFrame]) -> dict[str, DataFrame]
             continue
         teams = players.where("false") if teams is None else teams
         pbp = tables.get(("playbyplay", 0)) if spec is MISC else None
-        tab = stat_tab(players, teams, spec, foul_counts(pbp) if pbp is not None and "actionType" in pbp.columns else None)
+        keyed = ["game_id"] if pbp is not None and "game_id" in pbp.columns else []
+        tab = stat_tab(players, teams, spec, foul_counts(pbp, *keyed) if pbp is not None and "actionType" in pbp.columns else None)
         tabs[name] = add_kilometres(add_kilometres(tab), "Avg speed (mph)", "Avg speed (km/h)") if spec is TRACK else tab
     return tabs
 

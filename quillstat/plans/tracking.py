@@ -334,6 +334,17 @@ SELECT user_id, user_id AS shot, 'light' AS team, min(hour) AS first_frame, max(
  median(CASE WHEN event_id % 11 > 0 THEN value END) AS "L", median(k) AS a, median(CAST(event_id % 7 AS DOUBLE)) AS b, count(CASE WHEN event_id % 11 > 0 THEN value END) AS n_colour FROM ({_EV}) WHERE event_type <> 'error' GROUP BY 1, 2""",
     "head_tail_mean": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS v FROM ({_EV}) WHERE event_type <> 'error')
 SELECT user_id % 10 AS shot, user_id AS track_id, round_even(avg(value / 4) FILTER (WHERE u <= 3), 6) AS "head_X", round_even(avg(k / 6) FILTER (WHERE u <= 3), 6) AS "head_Y", round_even(avg(value / 4) FILTER (WHERE v <= 3), 6) AS "tail_X", round_even(avg(k / 6) FILTER (WHERE v <= 3), 6) AS "tail_Y" FROM r GROUP BY 1, 2""",
+    "stitch_tracks": f"""WITH RECURSIVE p AS (SELECT user_id // 100 AS shot, row_number() OVER (PARTITION BY user_id // 100 ORDER BY event_id) AS at_, value / 4 AS x, k / 6 AS y FROM ({_EV}) WHERE event_type <> 'error'),
+q AS (SELECT *, at_ // 20 AS track_id, row_number() OVER (PARTITION BY shot, at_ // 20 ORDER BY at_) AS u, row_number() OVER (PARTITION BY shot, at_ // 20 ORDER BY at_ DESC) AS v FROM p),
+t AS (SELECT shot, track_id, min(at_) AS f, max(at_) AS l, avg(x) FILTER (WHERE u <= 3) AS hx, avg(y) FILTER (WHERE u <= 3) AS hy, avg(x) FILTER (WHERE v <= 3) AS tx, avg(y) FILTER (WHERE v <= 3) AS ty FROM q GROUP BY 1, 2 HAVING count(*) >= 15),
+o AS (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY f, track_id) AS k FROM t),
+r(shot, k, chains, track_id, pid) AS (
+ SELECT DISTINCT shot, CAST(0 AS BIGINT), CAST([] AS STRUCT(team BIGINT, l BIGINT, x DOUBLE, y DOUBLE)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM o
+ UNION ALL SELECT shot, k, CASE WHEN i IS NULL THEN list_append(chains, me) ELSE list_transform(chains, lambda c, j: CASE WHEN j = i THEN me ELSE c END) END, track_id, 's' || shot || '-p' || coalesce(i - 1, len(chains))
+ FROM (SELECT r.shot, o.k, r.chains, o.track_id, struct_pack(team := o.track_id % 2, l := o.l, x := o.tx, y := o.ty) AS me,
+  list_min(list_filter(list_transform(r.chains, lambda c, j: CASE WHEN c.team = o.track_id % 2 AND o.f - c.l BETWEEN 1 AND 30 AND sqrt(pow(o.hx - c.x, 2) + pow(o.hy - c.y, 2)) <= 7.0 * (o.f - c.l) / 30 + 0.7 THEN struct_pack(d := sqrt(pow(o.hx - c.x, 2) + pow(o.hy - c.y, 2)), i := j) END), lambda s: s IS NOT NULL)).i AS i
+  FROM r JOIN o ON o.shot = r.shot AND o.k = r.k + 1))
+SELECT shot, track_id, pid FROM r WHERE track_id IS NOT NULL""",
     "thin_labels": f"""WITH RECURSIVE h AS (SELECT DISTINCT user_id, hour FROM ({_EV})), t AS (SELECT user_id, min(hour) AS hour FROM h GROUP BY 1 UNION ALL SELECT t.user_id, (SELECT min(h.hour) FROM h WHERE h.user_id = t.user_id AND h.hour >= t.hour + 3) FROM t WHERE t.hour IS NOT NULL)
 SELECT * FROM t WHERE hour IS NOT NULL""",
     "first_candidates": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) <= 6",
