@@ -45,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import Scratch, bucket_of_id, table, text_of
@@ -55,9 +55,6 @@ FOLDS = 10
 CACHED, MAP_BITS = 2e-7, 1 << 28
 #: The hash of what stands before a text: no word holds a space.
 START_HASH = xxhash.xxh64_intdigest(b" ")
-#: Symbols of the gathered model: an unknown word, what stands before a text; the words follow.
-REST, START, FIRST = 0, 1, 2
-BITS = 20
 #: Tokens held before they are passed on; characters of text handled at once; characters of the corpus for one bucket.
 WINDOWS, CHARS, BUCKET_CHARS = 1 << 21, 1 << 20, 1 << 22
 
@@ -289,25 +286,25 @@ def _signed(h: int) -> int:
 def _learn(grams: DataFrame, before: DataFrame, counts: DataFrame, scratch: Scratch, d: int) -> tuple[DataFrame, DataFrame]:
     """grams: (ctx, suf, n, h) of order d + 1; before: (suf, parent); counts: (ctx, total). The states and rows of depth d.
 
-    Joins build on the side of unique keys, a share of which is in each of the partitions, and stream the other.
+    Two exchanges of the grams: by suffix, for the parent's distribution, and by context, for its total; what a context's
+    rows add up to are windows over the second one, which spill.
     """
-    sums = grams.groupBy("ctx").agg(F.sum("n").alias("given"), F.count("*").alias("k"))
-    stats = sums.hint("shuffle_hash").join(counts, "ctx").withColumn("left", F.greatest(1.0 - (F.col("given") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-12)))
-    stats = scratch.write(stats, f"stats-{d}")
-    wide = scratch.write(grams.join(before.hint("shuffle_hash"), "suf").join(stats.select("ctx", "total", "left").hint("shuffle_hash"), "ctx"), f"wide-{d}")
+    wide = grams.join(before.hint("shuffle_hash"), "suf").join(counts.hint("shuffle_hash"), "ctx")
+    own = Window.partitionBy("ctx")
+    wide = wide.withColumns({"given": F.sum("n").over(own), "k": F.count("*").over(own), "first": F.min("h").over(own) == F.col("h")})
+    wide = wide.withColumn("left", F.greatest(1.0 - (F.col("given") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-12)))
     # Each occurrence left out in turn: its row has one less, the context too.
     without = (F.col("n") - 1 - DISCOUNT + F.col("left") * F.col("total") * F.col("parent")) / F.greatest(F.col("total") - 1, F.lit(1))
-    known = wide.groupBy("ctx").agg(F.sum(F.col("n") * F.log(without / F.col("parent"))).alias("known"))
+    known = F.sum(F.col("n") * F.log(without / F.col("parent"))).over(own)
     other = F.greatest(F.col("total") - F.col("given"), F.lit(0)) * F.log("left")
-    states = scratch.write(stats.join(known.hint("shuffle_hash"), "ctx").where(F.col("known") + other >= GAIN).select("ctx", "left", "total"), f"states-{d}")
     p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("parent")
-    kept = F.col("is_kept").isNotNull()
-    rows = wide.join(states.select("ctx", F.lit(True).alias("is_kept")).hint("shuffle_hash"), "ctx", "left")
-    rows = rows.select("h", "ctx", "suf", "n", F.when(kept, p).otherwise(F.col("parent")).alias("p"), F.when(kept, F.log10(p / F.col("left") / F.col("parent"))).alias("more"))
+    rows = wide.withColumn("kept", known + other >= GAIN)
+    state = F.when(F.col("kept") & F.col("first"), F.struct("left", "total"))
+    rows = rows.select("h", "ctx", "suf", "n", F.when(F.col("kept"), p).otherwise(F.col("parent")).alias("p"), F.when(F.col("kept"), F.log10(p / F.col("left") / F.col("parent"))).alias("more"), state.alias("state"))
     rows = scratch.write(rows, f"rows-{d}")
-    for name in ("grams", "stats", "wide"):
-        scratch.remove(f"{name}-{d}")
-    return states, rows
+    states = scratch.write(rows.where(F.col("state").isNotNull()).select("ctx", "state.left", "state.total"), f"states-{d}")
+    scratch.remove(f"grams-{d}")
+    return states, rows.drop("state")
 
 
 def _release(spark: SparkSession) -> None:
@@ -336,65 +333,6 @@ def grow(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, bits: int | None
     return tree
 
 
-class Model:
-    """The states of depth 1 and 2 and their rows in memory, to look into a tree of a small corpus.
-
-    keys[d]: contexts, sorted; left[d]: the mass each leaves to its parent; rows[d]: (context position, symbol) numbers,
-    sorted; p[d]: their whole probabilities.
-    """
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int) -> None:
-        self.words, self.counts, self.n, self.v = words, counts.astype(np.float64), n, v
-        self.keys, self.left = [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2
-        self.rows, self.p = [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2
-        self.root = np.concatenate([[DISCOUNT * v / n if n else 1.0, 1e-300], (self.counts - DISCOUNT) / max(n, 1)])  # unknown, START, words
-
-    @staticmethod
-    def of(tree: Tree) -> Model:
-        words = tree.words.where(F.col("h") != _signed(START_HASH)).toPandas().sort_values("h")
-        model = Model(words["h"].to_numpy(np.int64), words["n"].to_numpy(np.int64), tree.n, tree.v)
-        ids = {h: k + FIRST for k, h in enumerate(model.words.tolist())} | {_signed(START_HASH): START}
-        last = dict(ids)
-        for d in range(min(2, len(tree.rows))):
-            states, rows = tree.states[d].toPandas(), tree.rows[d].toPandas()
-            key = np.array([ids[h] for h in states["ctx"]], np.int64)
-            order = np.argsort(key)
-            model.keys[d], model.left[d] = key[order], states["left"].to_numpy(np.float64)[order]
-            at = {h: k for k, h in enumerate(states["ctx"].to_numpy()[order].tolist())}
-            kept = rows[rows["more"].notna()]
-            row = np.array([(at[c] << BITS) | last[s] for c, s in zip(kept["ctx"], kept["suf"], strict=True)], np.int64)
-            order = np.argsort(row)
-            model.rows[d], model.p[d] = row[order], kept["p"].to_numpy(np.float64)[order]
-            ids = {h: (ids[c] << BITS) | last[s] for h, c, s in zip(rows["h"], rows["ctx"], rows["suf"], strict=True)}
-            last = {h: last[s] for h, s in zip(rows["h"], rows["suf"], strict=True)}
-        return model
-
-    def probability(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """P(symbol | longest retained suffix)."""
-        p = self.root[symbol]
-        for d, key in enumerate((one, two)):
-            state = _position(self.keys[d], key)
-            on = np.flatnonzero(state >= 0)
-            if len(on):
-                row = _position(self.rows[d], (state[on] << BITS) | symbol[on])
-                p[on] = np.where(row >= 0, self.p[d][row] if len(self.p[d]) else 0.0, self.left[d][state[on]] * p[on])
-        return p
-
-    def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        arrays = {f"{name}{d}": getattr(self, name)[d] for name in ("keys", "left", "rows", "p") for d in (0, 1)}
-        np.savez(out, words=self.words, counts=self.counts, n=self.n, v=self.v, **arrays)
-        return out.getvalue()
-
-    @staticmethod
-    def from_bytes(data: bytes) -> Model:
-        x = np.load(io.BytesIO(data))
-        m = Model(x["words"], x["counts"], int(x["n"]), int(x["v"]))
-        for name in ("keys", "left", "rows", "p"):
-            setattr(m, name, [x[f"{name}0"], x[f"{name}1"]])
-        return m
-
-
 def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted number stands in the sorted keys, or -1."""
     if not len(keys):
@@ -403,12 +341,6 @@ def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """docs: (text). The tree gathered in memory, for small corpora, and the count table (h, n); scoring never gathers it."""
-    tree = grow(docs, scratch)
-    return Model.of(tree), tree.words
-
-
 NUMBER, GRAM, WORD, DOCS = range(4)
 _SENT = "p int, kind int, w long, h long, c long, v double, keys binary, docs binary, ids array<long>"
 _SENT_ARROW = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("v", pa.float64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
