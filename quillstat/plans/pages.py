@@ -180,6 +180,11 @@ def team_stats(spark: SparkSession, d: str) -> DataFrame:
     return summary.team_stats(events, players, share, {"light": "BOS", "dark": "GSW"})
 
 
+def summary_document(spark: SparkSession, d: str) -> DataFrame:
+    """The clip's totals, its teams and its quality as one JSON document."""
+    return summary.summary_document(_totals(spark, d), team_stats(spark, d), clip_quality(spark, d))
+
+
 def clip_players(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
     rows = read(spark, d, "supplier").select((s % 9).alias("shot"), F.col("s_name").alias("pid"), F.when(s % 2 == 0, "light").otherwise("dark").alias("team"), (s % 40 / 2).alias("seconds_tracked"), (s % 70 / 2).alias("distance_m"), (s % 12 / 2).alias("avg_speed_kmh"), (s % 30 / 2).alias("top_speed_kmh"))
@@ -204,7 +209,7 @@ def game_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TAB_NAMES = {"tab_box": "Box score", "tab_shooting": "Shooting", "tab_advanced": "Advanced", "tab_misc": "Miscellaneous", "tab_hustle": "Hustle", "tab_tracking": "Player tracking"}
-QUERIES = {key: _tab(name) for key, name in _TAB_NAMES.items()} | {f.__name__: f for f in (roster, distance_table, player_headline, season_labels, contest_table, tracking_totals, four_factors_advanced, team_summary, game_info, label_people, on_court, feet_points, frame_holders, clip_quality, clip_totals, quality_panel, team_stats, clip_players, price_spread, short_track_share, game_report)}
+QUERIES = {key: _tab(name) for key, name in _TAB_NAMES.items()} | {f.__name__: f for f in (roster, distance_table, player_headline, season_labels, contest_table, tracking_totals, four_factors_advanced, team_summary, game_info, label_people, on_court, feet_points, frame_holders, clip_quality, clip_totals, quality_panel, team_stats, summary_document, clip_players, price_spread, short_track_share, game_report)}
 
 
 def _raw(spec: list[tuple[str, str, str]], name: str, seed: str) -> str:
@@ -270,3 +275,12 @@ SELECT team, kit, (SELECT count(*) FROM e WHERE e.s = k.s AND event_type = 'clic
     "game_report": """WITH g AS (SELECT n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 7 = 0) AS s, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 6 < 2) AS n_dnp FROM nation)
 SELECT id AS game_id, CAST(1 + CASE WHEN c = 0 THEN 1 ELSE 0 END + CASE WHEN s = 0 THEN 1 ELSE 0 END AS INT) AS n_empty, CASE WHEN c = 0 THEN 'traditional,' ELSE '' END || CASE WHEN s = 0 THEN 'hustle,' ELSE '' END || 'misc' AS empty, n_dnp FROM g""",
 }
+
+_FIELDS = {
+    "tot": ("clip_seconds", "usable_shots", "analysed_seconds", "ball_frames_selected", "ball_frames_detected", "holder_frames", "holding_states", "frames_with_known_possession", "mapped_share", "ball_share"),
+    "ts": ("kit", "passes", "interceptions", "possession_pct", "players_tracked_seconds", "distance_m"),
+    "q": ("analysed_frames", "mapped_frames", "alignment_score_median", "feature_matches_median", "players_per_frame_median", "share_with_many_players", "raw_tracks", "chains_kept"),
+}
+_PACK = {t: ", ".join(f"{c} := {t}.{c}" for c in columns) for t, columns in _FIELDS.items()}
+SQL["summary_document"] = f"""WITH tot AS ({SQL["clip_totals"]}), ts AS ({SQL["team_stats"]}), q AS ({SQL["clip_quality"]}), t AS (SELECT team, struct_pack({_PACK["ts"]}) AS s FROM ts)
+SELECT CAST(to_json(struct_pack({_PACK["tot"]}, team_stats := struct_pack("BOS" := (SELECT s FROM t WHERE team = 'BOS'), "GSW" := (SELECT s FROM t WHERE team = 'GSW')), quality := struct_pack({_PACK["q"]}))) AS VARCHAR) AS json FROM tot, q"""
