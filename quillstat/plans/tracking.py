@@ -236,7 +236,7 @@ def ball_path(spark: SparkSession, d: str) -> DataFrame:
     cells = {c: F.lit(float(v)) for c, v in zip(ball.H, (10, 0, 0, 0, 10, 0, 0, 0, 1), strict=True)}
     frames = balls.select("shot", "frame").distinct().withColumns({"mapped": F.lit(True)} | cells)
     people = _people(spark, d).withColumns({"shot": _hundred("track_id"), "frame": F.col("frame") % HOURS})
-    return ball.ball_track(balls, frames, people)
+    return ball.ball_track(balls, frames, people).withColumns({c: half_even(F.col(c), 6) for c in ("cx", "cy", "conf")})
 
 
 def thin_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -334,6 +334,29 @@ SELECT user_id, user_id AS shot, 'light' AS team, min(hour) AS first_frame, max(
  median(CASE WHEN event_id % 11 > 0 THEN value END) AS "L", median(k) AS a, median(CAST(event_id % 7 AS DOUBLE)) AS b, count(CASE WHEN event_id % 11 > 0 THEN value END) AS n_colour FROM ({_EV}) WHERE event_type <> 'error' GROUP BY 1, 2""",
     "head_tail_mean": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS v FROM ({_EV}) WHERE event_type <> 'error')
 SELECT user_id % 10 AS shot, user_id AS track_id, round_even(avg(value / 4) FILTER (WHERE u <= 3), 6) AS "head_X", round_even(avg(k / 6) FILTER (WHERE u <= 3), 6) AS "head_Y", round_even(avg(value / 4) FILTER (WHERE v <= 3), 6) AS "tail_X", round_even(avg(k / 6) FILTER (WHERE v <= 3), 6) AS "tail_Y" FROM r GROUP BY 1, 2""",
+    "ball_path": f"""WITH RECURSIVE ev AS ({_EV}), balls AS (SELECT event_id, user_id // 100 AS shot, hour AS frame, value % 1.0 AS conf, value * 2 AS cx, k * 4 AS cy, 10 * (value * 2) / 100 AS xp, 10 * (k * 4) / 100 AS yp FROM ev WHERE value IS NOT NULL AND k IS NOT NULL),
+c AS (SELECT * FROM balls WHERE xp BETWEEN -4 AND 94 * 0.3048 + 4 AND yp BETWEEN -4 AND 50 * 0.3048 + 12 AND cy < 640),
+still AS (SELECT a.event_id FROM c a JOIN c b ON a.shot = b.shot AND abs(a.frame - b.frame) <= 15 GROUP BY 1
+ HAVING count(*) FILTER (WHERE sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) <= 3) - 1 >= 6 OR count(*) FILTER (WHERE sqrt(pow(a.xp - b.xp, 2) + pow(a.yp - b.yp, 2)) <= 0.3) - 1 >= 6),
+people AS (SELECT user_id // 100 AS shot, event_id % {HOURS} AS frame, value / 4 AS x, k / 6 AS y FROM ev WHERE event_type <> 'error'),
+near AS (SELECT DISTINCT event_id FROM c JOIN people p ON p.shot = c.shot AND p.frame = c.frame AND sqrt(pow(xp - x, 2) + pow(yp - y, 2)) <= 2.2),
+n AS (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY frame, conf DESC, cx, cy) AS id, sqrt(conf) + CASE WHEN event_id IN (FROM near) THEN 0.25 ELSE 0.0 END AS rew FROM c WHERE event_id NOT IN (FROM still)),
+fr AS (SELECT shot, frame, row_number() OVER (PARTITION BY shot ORDER BY frame) AS t, list(struct_pack(id := id, x := xp, y := yp, rew := rew) ORDER BY id) AS nodes FROM n GROUP BY 1, 2),
+dp(shot, t, win, top, top_id) AS (
+ SELECT DISTINCT shot, CAST(0 AS BIGINT), CAST([] AS STRUCT(f BIGINT, id BIGINT, x DOUBLE, y DOUBLE, val DOUBLE, back BIGINT)[]), CAST('-infinity' AS DOUBLE), CAST(NULL AS BIGINT) FROM fr
+ UNION ALL SELECT shot, t, list_concat(list_filter(win, lambda a: a.f >= frame - 9), made), CASE WHEN best.v > top THEN best.v ELSE top END, CASE WHEN best.v > top THEN -best.i ELSE top_id END FROM (
+  SELECT *, list_max(list_transform(made, lambda m: struct_pack(v := m.val, i := -m.id))) AS best FROM (
+   SELECT shot, t, win, top, top_id, frame, list_transform(tried, lambda r: CASE WHEN r.m.g > r.base THEN struct_pack(f := frame, id := r.id, x := r.x, y := r.y, val := r.m.g, back := -r.m.i) ELSE struct_pack(f := frame, id := r.id, x := r.x, y := r.y, val := r.base, back := CASE WHEN top > 0 THEN top_id END) END) AS made FROM (
+    SELECT dp.shot, fr.t, dp.win, dp.top, dp.top_id, fr.frame, list_transform(fr.nodes, lambda b: struct_pack(id := b.id, x := b.x, y := b.y, base := CASE WHEN dp.top > 0 THEN dp.top + (b.rew - 0.6) ELSE b.rew - 0.6 END,
+     m := list_max(list_filter(list_transform(dp.win, lambda a: CASE WHEN fr.frame - a.f <= 10 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 30.0 * (fr.frame - a.f) / 30 + 0.8
+      THEN struct_pack(g := (a.val - (0.03 * (fr.frame - a.f - 1) + 0.15 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (30.0 * (fr.frame - a.f) / 30 + 0.8))) + b.rew, s := a.f - fr.frame, i := -a.id) END), lambda z: z IS NOT NULL)))) AS tried
+    FROM dp JOIN fr ON fr.shot = dp.shot AND fr.t = dp.t + 1)) ) ),
+seen AS (SELECT DISTINCT shot, s.id, s.val, s.back FROM (SELECT shot, unnest(win) AS s FROM dp)),
+path(shot, id) AS (SELECT shot, arg_max(id, struct_pack(v := val, i := -id)) FROM seen GROUP BY 1 UNION ALL SELECT p.shot, s.back FROM path p JOIN seen s ON s.shot = p.shot AND s.id = p.id WHERE s.back IS NOT NULL),
+b AS (SELECT n.shot, n.frame, n.cx, n.cy, n.conf FROM path p JOIN n ON n.shot = p.shot AND n.id = p.id),
+o AS (SELECT *, lead(frame) OVER w - frame AS step, lead(cx) OVER w AS x1, lead(cy) OVER w AS y1 FROM b WINDOW w AS (PARTITION BY shot ORDER BY frame)),
+g AS (SELECT *, unnest(generate_series(0, CASE WHEN step BETWEEN 2 AND 10 THEN step - 1 ELSE 0 END)) AS i FROM o)
+SELECT shot, frame + i AS frame, round_even(CASE WHEN i = 0 THEN cx ELSE cx + i / step * (x1 - cx) END, 6) AS cx, round_even(CASE WHEN i = 0 THEN cy ELSE cy + i / step * (y1 - cy) END, 6) AS cy, CASE WHEN i = 0 THEN round_even(conf, 6) END AS conf, i > 0 AS interpolated FROM g""",
     "stitch_tracks": f"""WITH RECURSIVE p AS (SELECT user_id // 100 AS shot, row_number() OVER (PARTITION BY user_id // 100 ORDER BY event_id) AS at_, value / 4 AS x, k / 6 AS y FROM ({_EV}) WHERE event_type <> 'error'),
 q AS (SELECT *, at_ // 20 AS track_id, row_number() OVER (PARTITION BY shot, at_ // 20 ORDER BY at_) AS u, row_number() OVER (PARTITION BY shot, at_ // 20 ORDER BY at_ DESC) AS v FROM p),
 t AS (SELECT shot, track_id, min(at_) AS f, max(at_) AS l, avg(x) FILTER (WHERE u <= 3) AS hx, avg(y) FILTER (WHERE u <= 3) AS hy, avg(x) FILTER (WHERE v <= 3) AS tx, avg(y) FILTER (WHERE v <= 3) AS ty FROM q GROUP BY 1, 2 HAVING count(*) >= 15),
