@@ -167,15 +167,13 @@ def land(spark: SparkSession, path: str, wanted: DataFrame, source: Source, wave
     first = F.when(F.col("endpoint") == ENDPOINTS[0], 0).otherwise(1)  # the first endpoint of a game is its probe
     todo = missing(spark, path, wanted).orderBy(first, "game_id", "endpoint")
     keys = [(r.game_id, r.endpoint) for r in todo.toLocalIterator()]
-    for at in range(min(len(keys), 1), len(keys) + wave, wave):
-        if at == 1:
-            try:
-                probe = source.read(spark, keys[:1], 1, source.probe_timeout)
-                _append(probe, path)
-            except Exception as e:
-                raise RuntimeError(f"the source did not answer: {e}") from e
-        if part := keys[at : at + wave]:
-            _append(source.read(spark, part, retries), path)
+    if keys:
+        try:
+            _append(source.read(spark, keys[:1], 1, source.probe_timeout), path)
+        except Exception as e:
+            raise RuntimeError(f"the source did not answer: {e}") from e
+    for at in range(1, len(keys), wave):
+        _append(source.read(spark, keys[at : at + wave], retries), path)
     return len(keys)
 
 
