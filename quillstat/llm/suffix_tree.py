@@ -25,8 +25,8 @@ xxhash64 of the hashes without its last and without its first token). Only two t
 neither changes a result: a bitmap of hashes (MAP_BITS at most), whose false positives are counted or looked up in vain,
 and the numbers of grams with a share of CACHED of all tokens, which are added in place and so never meet in one task.
 
-Blocks: counts and look-ups are shuffled as packed arrays, one a bucket of hash space and window of WINDOWS tokens, each
-summed in its window before; the number of buckets grows with the texts, so a bucket holds a bounded number of grams at
+Blocks: counts, look-ups and numbers are shuffled as packed arrays, one a bucket of hash space and window of WINDOWS
+tokens (WINDOWS / 8 numbers), counts summed in their window before; they leave a task by batches of PACKED entries; the number of buckets grows with the texts, so a bucket holds a bounded number of grams at
 any size. Texts are cut into windows of whole documents. A window asks every bucket for the numbers of its grams, the
 bucket answers with sums by document, and the answers meet again at the window.
 
@@ -57,6 +57,8 @@ CACHED, MAP_BITS = 2e-7, 1 << 28
 START_HASH = xxhash.xxh64_intdigest(b" ")
 #: Tokens held before they are passed on; characters of text handled at once; characters of the corpus for one bucket.
 WINDOWS, CHARS, BUCKET_CHARS = 1 << 21, 1 << 20, 1 << 22
+#: Entries of a batch of packed blocks.
+PACKED = 1 << 17
 
 
 def words_of(text: str) -> list[bytes]:
@@ -66,45 +68,91 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    """Cuts a batch into lists of texts of about CHARS characters together."""
+def _parts(texts: pa.Array) -> Iterator[list[str]]:
+    """Cuts a column into lists of texts of about CHARS characters together; only the list at hand is turned into strings."""
     part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= CHARS:
-            yield part
-            part, size = [], 0
+    for lo in range(0, len(texts), 64):
+        for text in texts.slice(lo, 64).to_pylist():
+            part.append(text)
+            size += len(text)
+            if size >= CHARS:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The token hashes of all texts on end, each after the start's; the number of each text's hashes."""
-    flat, length = [], []
-    for text in texts:
-        words = words_of(text)
-        flat.append(START_HASH)
-        flat += map(xxhash.xxh64_intdigest, words)
-        length.append(len(words) + 1)
-    return np.array(flat, np.uint64), np.array(length, np.int64)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_NOTHING = np.uint64(0xEF46DB3751D8E999)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _turn(x: np.ndarray, k: int) -> np.ndarray:
     return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
 
-def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    h = (seed + (_P5 + np.uint64(8))) ^ (_turn(x * _P2, 31) * _P1)
-    h = _turn(h, 27) * _P1 + _P4
+def _finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _P2
     h = (h ^ (h >> np.uint64(29))) * _P3
     return h ^ (h >> np.uint64(32))
 
 
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + (_P5 + np.uint64(8))) ^ (_turn(x * _P2, 31) * _P1)
+    h = _turn(h, 27) * _P1 + _P4
+    return _finish(h)
+
+
+def _hash_words(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The XXH64 of the words at these places of `data`, all of one size at once; words of 32 bytes and more by the library."""
+    out = np.empty(len(first), np.uint64)
+    padded = data + bytes(8)
+    longs, ints = (np.ndarray((len(data) + 1,), kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))
+    one = np.frombuffer(data, np.uint8)
+    by = np.argsort(np.minimum(size, 32).astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(np.minimum(size[by], 32), np.arange(34))
+    for n in range(1, 32):
+        own = by[cuts[n] : cuts[n + 1]]
+        if not len(own):
+            continue
+        at, done = first[own], 0
+        h = np.full(len(own), _P5 + np.uint64(n), np.uint64)
+        while n - done >= 8:
+            h = _turn(h ^ (_turn(longs[at + done] * _P2, 31) * _P1), 27) * _P1 + _P4
+            done += 8
+        if n - done >= 4:
+            h = _turn(h ^ (ints[at + done].astype(np.uint64) * _P1), 23) * _P2 + _P3
+            done += 4
+        while done < n:
+            h = _turn(h ^ (one[at + done] * _P5), 11) * _P1
+            done += 1
+        out[own] = _finish(h)
+    for k in by[cuts[32] :].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[first[k] : first[k] + size[k]])
+    return out
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of all texts on end, each after the start's; the number of each text's hashes. Words are those of words_of."""
+    raw = [text.encode() for text in texts]
+    data = b"\n" + b"\n".join(raw).lower() + b"\n"
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, size = turn[::2], turn[1::2] - turn[::2]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    upto = np.searchsorted(first, ends)
+    words = np.diff(upto, prepend=0)
+    out = np.empty(len(first) + 2 * len(raw), np.uint64)
+    out[np.arange(len(first)) + 2 * np.repeat(np.arange(len(raw)), words) + 1] = _hash_words(data, first, size)
+    length = words + 2
+    end = np.cumsum(length)
+    out[end - length], out[end - 1] = START_HASH, _NOTHING
+    return out, length
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of two longs."""
     return _hash_long(b, _hash_long(a, np.full(1, 42, np.uint64)))
@@ -137,11 +185,24 @@ def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _packs(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
-    """bucket: sorted. The buckets there are, and of each column the bytes of each bucket."""
+def _joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Each column of all blocks on end. Empties the list, and lets a column's blocks go before the next one is joined."""
+    columns, out = [list(x) for x in zip(*held, strict=True)], []
+    held.clear()
+    while columns:
+        out.append(np.concatenate(columns.pop(0)))
+    return out
+
+
+def _packs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
+    """bucket: sorted. The buckets there are, and of each column the bytes of each bucket; about PACKED entries at once, so that what is sent is held neither here nor by Spark as a whole."""
     cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-    spans = list(zip(cuts, cuts[1:], strict=False))
-    return [pa.array(bucket[cuts[:-1]], pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns)]
+    lo = 0
+    for k in range(1, len(cuts)):
+        if k == len(cuts) - 1 or cuts[k] - cuts[lo] >= PACKED:
+            spans = list(zip(cuts[lo:k], cuts[lo + 1 : k + 1], strict=True))
+            yield [pa.array(bucket[cuts[lo:k]], pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns)]
+            lo = k
 
 
 def _count_blocks(packed: object, order: int, bits: int):
@@ -151,20 +212,19 @@ def _count_blocks(packed: object, order: int, bits: int):
         often = None if packed is None else np.load(io.BytesIO(packed.value))["bits"]
         held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            by = np.argsort(parts[0])
-            h = parts[0][by]
+        def out() -> Iterator[pa.RecordBatch]:
+            h, *ends = _joined(held)
+            by = np.argsort(h)
+            h = h[by]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, first, n = h[starts], by[starts], np.diff(starts, append=len(h))
-            context, suffix = (h, h[:0]) if order == 1 else (parts[1][first], parts[2][first])
-            bucket = _buckets(h, bits)
-            p, ctx, counts = _packs(bucket, context, n.astype(np.uint32))
-            suf = _packs(bucket, suffix)[1] if order > 1 else pa.array([b""] * len(p), pa.binary())
-            return pa.RecordBatch.from_arrays([p, ctx, suf, counts], ["p", "ctx", "suf", "n"])
+            n, first, h = np.diff(starts, append=len(h)).astype(np.uint32), by[starts], h[starts]
+            del by, starts
+            ends = [x[first] for x in ends] or [h]
+            for p, counts, ctx, *suf in _packs(_buckets(h, bits), n, *ends):
+                yield pa.RecordBatch.from_arrays([p, ctx, suf[0] if suf else pa.array([b""] * len(p), pa.binary()), counts], ["p", "ctx", "suf", "n"])
 
         for b in batches:
-            for part in _parts(b.column(0).to_pylist()):
+            for part in _parts(b.column(0)):
                 h, length = _hashes(part)
                 if order == 1:
                     held.append((h,))
@@ -174,10 +234,10 @@ def _count_blocks(packed: object, order: int, bits: int):
                     held.append((grams[on], context[on], suffix[on]))
                 size += len(held[-1][0])
                 if size >= WINDOWS:
-                    yield out()
-                    held, size = [], 0
+                    yield from out()
+                    size = 0
         if size:
-            yield out()
+            yield from out()
 
     return run
 
@@ -342,8 +402,8 @@ def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 NUMBER, GRAM, WORD, DOCS = range(4)
-_SENT = "p int, kind int, w long, h long, c long, v double, keys binary, docs binary, ids array<long>"
-_SENT_ARROW = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("v", pa.float64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_SENT = "p int, kind int, w long, keys binary, docs binary, ids array<long>"
+_SENT_ARROW = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
 _FOUND = "w long, kind int, p int, docs binary, score binary, base binary, known binary, ids array<long>"
 _FOUND_ARROW = pa.schema([("w", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("ids", pa.list_(pa.int64()))])
 _SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -375,25 +435,27 @@ def _ask(packed: object, n: int, v: int, depth: int, bits: int):
             if kind == WORD:
                 sums[0] += np.bincount(doc[on], minlength=sums.shape[1])
                 sums[1] += np.bincount(doc[on], own_base[at[on]], sums.shape[1])
-            asked[kind].append((h[off], doc[off] + len(ids)))
+            asked[kind].append((h[off], (doc[off] + len(ids)).astype(np.uint32)))
 
         def out() -> Iterator[pa.RecordBatch]:
             length, known, base, total = np.concatenate(parts, axis=1)
             yield _record(_SENT_ARROW, 1, p=[window % (1 << bits)], kind=[DOCS], w=[window], ids=[ids], keys=[length.tobytes()], docs=[np.stack([known, base, total]).tobytes()])
             for kind, found in asked.items():
-                h, doc = (np.concatenate(y) for y in zip(*found, strict=True))
+                h, doc = _joined(found)
                 if len(h):
                     bucket = _buckets(h, bits)
                     by = np.argsort((bucket << 32) | doc, kind="stable")
-                    doc, bucket = doc[by], bucket[by]
-                    step = np.diff(doc, prepend=0)
-                    step[1:][bucket[1:] != bucket[:-1]] = doc[1:][bucket[1:] != bucket[:-1]]
-                    p, keys, docs = _packs(bucket, h[by], step.astype(np.uint32))
-                    yield _record(_SENT_ARROW, len(p), p=p, kind=[kind] * len(p), w=[window] * len(p), keys=keys, docs=docs)
+                    h, doc, bucket = h[by], doc[by], bucket[by]
+                    del by
+                    step = np.diff(doc, prepend=doc[:1] * 0)
+                    turn = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+                    step[turn] = doc[turn]
+                    for p, keys, docs in _packs(bucket, h, step):
+                        yield _record(_SENT_ARROW, len(p), p=p, kind=[kind] * len(p), w=[window] * len(p), keys=keys, docs=docs)
 
         for b in batches:
             doc_ids, done = b.column(0).to_pylist(), 0
-            for part in _parts(b.column(1).to_pylist()):
+            for part in _parts(b.column(1)):
                 h, length = _hashes(part)
                 doc, first = np.repeat(np.arange(len(part)), length), np.cumsum(length) - length
                 word = np.ones(len(h), bool)
@@ -415,6 +477,32 @@ def _ask(packed: object, n: int, v: int, depth: int, bits: int):
     return run
 
 
+def _number_blocks(bits: int):
+    """(h, c, v) to blocks, one a bucket and WINDOWS / 8 numbers: the hashes, and their counts and values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, c, v = _joined(held)
+            by = np.argsort(h)
+            h = h[by]
+            for p, keys, counts, values in _packs(_buckets(h, bits), h, c[by], v[by]):
+                both = pa.array([a.as_py() + b.as_py() for a, b in zip(counts, values, strict=True)], pa.binary())
+                yield _record(_SENT_ARROW, len(p), p=p, kind=[NUMBER] * len(p), keys=keys, docs=both)
+
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))
+            size += b.num_rows
+            if size >= WINDOWS // 8:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    return run
+
+
 def _answer(n: int, v: int, unknown: float):
     """Rows sorted by bucket, its numbers first, to sums by document for each block asked; holds one bucket's numbers. Document rows pass."""
 
@@ -429,7 +517,9 @@ def _answer(n: int, v: int, unknown: float):
                 if p[i] != bucket:
                     bucket, numbers, table = p[i], [], None
                 if kind[i] == NUMBER:
-                    numbers.append([b.column(k)[i:j].to_numpy() for k in ("h", "c", "v")])
+                    for keys, both in zip(b.column("keys")[i:j], b.column("docs")[i:j], strict=True):
+                        h = np.frombuffer(keys.as_py(), np.int64)
+                        numbers.append([h, np.frombuffer(both.as_py(), np.int64, len(h)), np.frombuffer(both.as_py(), np.float64, offset=8 * len(h))])
                     continue
                 rows = b.slice(i, j - i)
                 if kind[i] == DOCS:
@@ -494,8 +584,8 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, cached: float = CA
     packed = _packed(spark, bits=_bitmap(numbers.where(F.col("c").isNull()).select("h")), h=h, c=c, v=own)
     _release(spark)
     asked = source.mapInArrow(_ask(packed, tree.n, tree.v, depth, bits), _SENT)
-    known = numbers.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("p"), F.lit(NUMBER).alias("kind"), "h", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "v")
-    met = asked.unionByName(known, allowMissingColumns=True).repartition("p").sortWithinPartitions(F.col("p") * 4 + F.col("kind"))  # one number is sorted by its digits
+    known = numbers.select("h", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "v").mapInArrow(_number_blocks(bits), _SENT)
+    met = asked.unionAll(known).repartition("p").sortWithinPartitions(F.col("p") * 4 + F.col("kind"))  # one number is sorted by its digits
     answers = met.mapInArrow(_answer(tree.n, tree.v, tree.unknown), _FOUND)
     # A window's documents come first: their kind is the highest.
     out = answers.repartition("w").sortWithinPartitions("w", F.desc("kind"), "p").mapInArrow(_gather, _SCORED)

@@ -452,3 +452,28 @@ def test_language_model_equals_brute_force(spark, sample):
     logits = [[sum(v * w.get((f, y), 0.0) for f, v in x.items()) for y in range(3)] for x, _ in aside]
     loss = lambda t: sum(math.log(sum(math.exp(v / t) for v in row)) - row[y] / t for row, (_, y) in zip(logits, aside, strict=True))
     assert model.temperature == pytest.approx(min(np.geomspace(0.05, 20.0, 121), key=loss))
+
+
+def test_words_hashed_together_equal_the_library():
+    import xxhash
+
+    r = random.Random(3)
+    texts = ["", " \t\n", " b ", " ".join("q" * k for k in range(1, 45)), *("".join(r.choice("abcÉé \n\t\x0b\x1c\xa0\x85Σ\x00Z") for _ in range(r.randrange(120))) for _ in range(300))]
+    h, length = suffix_tree._hashes(texts)
+    want = [[suffix_tree.START_HASH, *map(xxhash.xxh64_intdigest, suffix_tree.words_of(t))] for t in texts]
+    assert h.tolist() == [x for w in want for x in w] and length.tolist() == list(map(len, want))
+    assert suffix_tree._hashes([""])[1].tolist() == [2]
+
+
+def test_windows_leave_a_task_by_small_batches():
+    """A window's blocks are never held whole as Arrow, and are cut between buckets."""
+    import pyarrow as pa
+
+    texts = pa.record_batch([pa.array([f"{prose(k, 400)} w{k} " + " ".join(f"{k}x{j}" for j in range(3000)) for k in range(200)])], ["t"])
+    batches = list(suffix_tree._count_blocks(None, 1, 10)([texts]))
+    entries = [sum(len(x.as_py()) // 4 for x in b.column(3)) for b in batches]
+    assert len(batches) > 3 and max(entries) < 1.1 * suffix_tree.PACKED
+    buckets = [p for b in batches for p in b.column(0).to_pylist()]
+    assert buckets == sorted(set(buckets))
+    count = Counter(w for t in texts.column(0).to_pylist() for w in tokens(t))
+    assert sum(entries) == len(count) + 1
