@@ -2,7 +2,7 @@
 
 1 language_id: documents without a language (no letter) or with a calibrated probability under MIN_SCORE go.
 2 line_dedup: lines that many documents repeat go; the document of the largest doc_id keeps them.
-3 simhash: of each group of near copies (near_copies.py), the document of the least doc_id stays, once.
+3 simhash: of each group of near copies, by fingerprints of five-word shingles and their trie join first (near_copies.py), the document of the least doc_id stays, once.
 4 decontaminate: documents that hold a benchmark passage go.
 5 byte_bpe: what is left is encoded and decoded: (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
@@ -57,7 +57,7 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies are texts whose sets of five-word shingles are similar by 0.8 or more, which fingerprints of a few bits don't find."""
+    """Near copies are texts whose sets of five-word shingles are similar by 0.8 or more: fingerprints and their trie join find the closest, bands the pairs that a few bits lose, and each pair is compared exactly."""
     keepers = near_copies.keepers(docs.select(_row_key().alias("key"), "doc_id", text_of().alias("text")))
     keyed = _held(docs, _row_key().alias("row_key"))
     # One of the rows that are equal in doc_id and text, by a column of any type; the join then finds them dealt by its key.

@@ -19,6 +19,7 @@ from util import prose
 
 import corpus_pipeline
 from quillstat.llm import near_copies, registry, simhash
+from quillstat.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SHARED = "this line is shared by a good many documents of the corpus"
@@ -132,6 +133,33 @@ def test_near_dedup_stage_takes_copies_of_similarity(spark, tmp_path):
     assert {x.doc_id for x in corpus_pipeline._simhash(spark, docs, str(tmp_path)).collect()} == {1, 3}
 
 
+def test_near_copies_come_from_fingerprints(spark):
+    """The groups of the trie join over five-word fingerprints, and exact links inside them, without any band."""
+    r, texts = random.Random(6), []
+    for k in range(12):
+        words = prose(8000 + k, 400).split()
+        for _ in range(5):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[r.randrange(400)] = f"changed{r.randrange(1000)}"
+    texts += ["", "two words", "Two  words"]
+    rows = [(k.to_bytes(2, "big"), k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "key binary, doc_id long, text string")
+    prints = docs.mapInArrow(near_copies._prints, "key binary, doc_id long, sid long, fp long, bands array<long>")
+    own = [simhash.fingerprint(t, 5) for t in texts]
+    label = brute_groups(own).tolist()
+    full = near_copies.fingerprint_groups(prints, Scratch(spark, "test")).collect()
+    sid = {x.doc_id: x.sid for x in prints.collect()}
+    bucket = {x.sid: x.bucket for x in full}
+    got = [bucket[sid[k]] for k in range(len(texts))]
+    assert len(set(zip(label, got, strict=True))) == len(set(label)) == len(set(got)) and len(set(label)) < len(set(own)) - 10
+    sets = docs.select("doc_id", "text").mapInArrow(lambda bs: near_copies._sets(bs), "sid long, grams binary").where("octet_length(grams) > 0")
+    groups = spark.createDataFrame([(got[k], k, got.count(got[k])) for k in range(60)], "bucket long, sid long, n long")
+    exact = brute_sets(texts)
+    found = near_copies._search(groups, sets, 1024).collect()
+    assert len(found) > 10 and all(len(exact[x.u] & exact[x.v]) >= 0.8 * len(exact[x.u] | exact[x.v]) for x in found)
+
+
 def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
     """Many null ids and a repeated one: one row of each group stays, and only the rows that leak go."""
     path = str(tmp_path)
