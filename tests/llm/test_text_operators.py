@@ -129,6 +129,41 @@ def test_word_encoder_equals_library(tokenizer):
         assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_learned_without_marks_and_case(tokenizer):
+    own = token_store.WordEncoder(WORDS)
+    texts = ["éa ÉA, Éa*** straße. STRASSE? Straße!! ab Ab., x1; <|a, o'k' ¿qué?"]
+    (got,) = own.encode_batch(texts)
+    assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert {"éa", "straße", "ab", "***"} <= set(own.memo) and not {"éa,", "éa***", "straße.", "Straße", "ab.,"} & set(own.memo)
+    # Ends of words: what must not be cut off, and runs of marks that are one piece with what stands before them.
+    r = random.Random(2)
+    stems, ends = ["été", "ÀÇÑ", "ŒUF", "œ", "ß", "ẞ", "ÿ", "×", "µ", "ª", "€", "e\u0301", "=", "q\u0323", "7", "don't", "Σς", "<|endoftext", "<|Endoftext", "n'"], ["", ",", "'s", "'s!", "'ll.", "|>", "|>,", "$$$", "\u0301.", "€!", ".", "_"]
+    texts = [" ".join(r.choice(stems) + r.choice(ends) for _ in range(r.randrange(9))) for _ in range(1500)]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_pieces_of_texts(tokenizer, monkeypatch):
+    own = token_store.WordEncoder(WORDS)
+    texts = ["", prose(1, 40), "", "é" * 300, prose(2, 200), " ", "\n.", "", prose(3, 3)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 100, 700, 1 << 20):
+        monkeypatch.setattr(token_store, "PIECE", size)
+        monkeypatch.setattr(token_store, "MEMO", 20)
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode_batch(texts)] == want
+    assert own.encode_batch([]) == []
+
+
+def test_chunks_of_streams_equal_single_streams():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 49_000, n).astype("<u2") for n in (1, 63, 64, 65, 5000, 1, 700, 20_000)] + [np.zeros(9000, "<u2")] * 2
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    assert token_store.chunks_of_streams(np.concatenate(parts), ends) == [token_store.chunk_lengths(x) for x in parts]
+    x = parts[7].astype(np.uint32)
+    full = sum((np.pad(x, (j, 0))[: len(x)] * np.uint32(pow(token_store._FACTOR, j, 1 << 32)) for j in range(token_store.WINDOW)), np.uint32(0)) * np.uint32(token_store._SPREAD)
+    assert token_store.chunk_ends(parts[7]).tolist() == (np.flatnonzero(full < (1 << 32) // token_store.MEAN) + 1).tolist()
+
+
 def test_crc_join():
     a, b = b"hello" * 7, b"world" * 1234
     assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
