@@ -17,8 +17,8 @@ manifest row: the number of its documents and ids, and the Merkle root over its
 Only chunk addresses are shuffled to find owners, never their bytes; the bytes move once, to be put in order.
 
 Reading: `verify` checks the store against its manifests: every file's documents, ids, offsets and Merkle root, and all
-files against the whole store's. `read_checksums` does so, checks every stored chunk against its address and every recipe against its Merkle root, and returns each document's place and CRC-32. It carries chunk CRCs over the join, not chunk bytes, and combines
-them. `read_documents` returns the ids themselves, after the same checks. A missing document, file or chunk raises
+files against the whole store's. `read_checksums` does so, checks every stored chunk against its address and every recipe against its Merkle root, and returns each document's place and CRC-32. It carries the CRCs of runs of chunks
+over the join, not chunk bytes, and combines them. `read_documents` returns the ids themselves, after the same checks. A missing document, file or chunk raises
 ValueError; a chunk or recipe that does not match raises it in the task that reads it.
 
 Defined cases: a null or empty text is the end id alone; rows with equal or null doc_id are separate documents (null
@@ -243,6 +243,21 @@ def _encode(path: str, end_id: int):
     return run
 
 
+def _values(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of some columns; lists come from one conversion of all their values, a null one is empty."""
+    cols = []
+    for name in names:
+        col = b.column(name)
+        if pa.types.is_list(col.type):
+            flat = col.flatten()
+            flat = flat.to_numpy(zero_copy_only=False).tolist() if pa.types.is_binary(flat.type) else flat.to_pylist()
+            ends = accumulate(pc.fill_null(pc.list_value_length(col), 0).to_pylist(), initial=0)
+            cols.append([flat[i:j] for i, j in pairwise(ends)])
+        else:
+            cols.append(col.to_pylist())
+    return zip(*cols, strict=True)
+
+
 _ENCODED = "doc_id long, uid long, n_tokens long, packed binary, lengths array<int>, leaves array<binary>"
 _STORED = "doc_id long, uid long, shard long, offset long, n_tokens long, lengths array<int>, leaves array<binary>, flags binary, root binary, payload binary, n_docs long"
 
@@ -256,24 +271,24 @@ def _layout(width: int):
         schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("lengths", pa.list_(pa.int32())), ("leaves", pa.list_(pa.binary())), ("flags", pa.binary()), ("root", pa.binary()), ("payload", pa.binary()), ("n_docs", pa.int64())])
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                if r["packed"] is None:
-                    notes = (r["uid"], set(r["mine"]), set(r["others"]))
+            for doc_id, uid, n_tokens, packed, lengths, leaves, *held in _values(b, "doc_id", "uid", "n_tokens", "packed", "lengths", "leaves", "mine", "others"):
+                if packed is None:
+                    notes = (uid, *map(set, held))
                     continue
-                mine, others = notes[1:] if notes[0] == r["uid"] else ((), ())
-                data, at, seen = unpack.decompress(r["packed"]), 0, set()
+                mine, others = notes[1:] if notes[0] == uid else ((), ())
+                data, at, seen = unpack.decompress(packed), 0, set()
                 flags, payload = bytearray(), []
-                for n, leaf in zip(r["lengths"], r["leaves"], strict=True):
+                for n, leaf in zip(lengths, leaves, strict=True):
                     flag = REPEAT if leaf in seen else ELSEWHERE if leaf in others else SHARED if leaf in mine else OWN
                     seen.add(leaf)
                     flags.append(flag)
                     if flag in (OWN, SHARED):
                         payload.append(data[at : at + n * width])
                     at += n * width
-                root = merkle_root(r["leaves"])
-                rows.append((r["doc_id"], r["uid"], shard, offset, r["n_tokens"], r["lengths"], r["leaves"], bytes(flags), root, b"".join(payload), None))
+                root = merkle_root(leaves)
+                rows.append((doc_id, uid, shard, offset, n_tokens, lengths, leaves, bytes(flags), root, b"".join(payload), None))
                 roots.append(root)
-                offset += r["n_tokens"]
+                offset += n_tokens
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if roots:
@@ -352,57 +367,72 @@ def _wide(data: bytes, width: int) -> bytes:
     return np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
 
 
-def _chunks(r: dict, width: int) -> Iterator[tuple[int, int, bytes, int, bytes | None]]:
+_PARTS = "doc_id", "lengths", "leaves", "flags", "payload", "root"
+
+
+def _chunks(width: int, doc_id: int | None, lengths: list[int], leaves: list[bytes], flags: bytes, payload: bytes, root: bytes) -> Iterator[tuple[int, int, bytes, int, bytes | None]]:
     """(position, ids, address, flag, bytes where stored here or repeated from here) of a document row; checks what is stored."""
-    if merkle_root(r["leaves"]) != r["root"]:
-        raise ValueError(f"document {r['doc_id']}: its recipe does not match its Merkle root")
+    if merkle_root(leaves) != root:
+        raise ValueError(f"document {doc_id}: its recipe does not match its Merkle root")
     at, here = 0, {}
-    for pos, (n, leaf, flag) in enumerate(zip(r["lengths"], r["leaves"], r["flags"], strict=True)):
+    for pos, (n, leaf, flag) in enumerate(zip(lengths, leaves, flags, strict=True)):
         data = here.get(leaf)
         if flag in (OWN, SHARED):
-            data = r["payload"][at : at + n * width]
+            data = payload[at : at + n * width]
             at += n * width
             if hashlib.sha256(data).digest() != leaf:
-                raise ValueError(f"document {r['doc_id']}: chunk {pos} does not match its address")
+                raise ValueError(f"document {doc_id}: chunk {pos} does not match its address")
             here[leaf] = data
         yield pos, n, leaf, flag, data
 
 
 def _checksums(width: int):
-    """One row a document: `crcs` of its chunks, -1 where a chunk is stored elsewhere. Shared chunks give (address, crc)."""
+    """One row a document: lengths in ids and `crcs` of its parts. A part is a run of chunks stored here, or one stored elsewhere (crc -1), whose address is in `leaves` and `away`. Shared chunks give (address, crc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("leaf", pa.binary()), ("crc", pa.int64())])), pa.list_(pa.binary())]
+        same = ["doc_id", "uid", "shard", "offset", "n_tokens"]
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                crcs, shared, away = [], [], []
-                for _, _, leaf, flag, data in _chunks(r, width):
-                    crcs.append(-1 if data is None else zlib.crc32(_wide(data, width)))
+            for row in _values(b, *_PARTS):
+                sizes, at, crcs, shared, away = [], [], [], [], []
+                for _, n, leaf, flag, data in _chunks(width, *row):
+                    if data is None:
+                        sizes.append(n)
+                        at.append(leaf)
+                        crcs.append(-1)
+                        away += [leaf] if flag == ELSEWHERE else []
+                        continue
+                    wide = _wide(data, width)
                     if flag == SHARED:
-                        shared.append({"leaf": leaf, "crc": crcs[-1]})
-                    elif flag == ELSEWHERE:
-                        away.append(leaf)
-                rows.append((r["doc_id"], r["uid"], r["shard"], r["offset"], r["n_tokens"], r["lengths"], r["leaves"] if away else None, crcs, shared, away, r["root"]))
+                        shared.append({"leaf": leaf, "crc": zlib.crc32(wide)})
+                    if crcs and crcs[-1] >= 0:
+                        sizes[-1] += n
+                        crcs[-1] = zlib.crc32(wide, crcs[-1])
+                    else:
+                        sizes.append(n)
+                        at.append(None)
+                        crcs.append(zlib.crc32(wide))
+                rows.append((sizes, at if away else None, crcs, shared, away))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("leaf", pa.binary()), ("crc", pa.int64())])), pa.list_(pa.binary()), pa.binary()]
-                names = ["doc_id", "uid", "shard", "offset", "n_tokens", "lengths", "leaves", "crcs", "shared", "away", "root"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(b.column, same), *cols, b.column("root")], [*same, "lengths", "leaves", "crcs", "shared", "away", "root"])
 
     return run
 
 
-_CHECKED = "doc_id long, uid long, shard long, offset long, n_tokens long, lengths array<int>, leaves array<binary>, crcs array<long>, shared array<struct<leaf:binary,crc:long>>, away array<binary>, root binary"
+_CHECKED = "doc_id long, uid long, shard long, offset long, n_tokens long, lengths array<long>, leaves array<binary>, crcs array<long>, shared array<struct<leaf:binary,crc:long>>, away array<binary>, root binary"
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for r in b.select(["lengths", "leaves", "crcs", "found"]).to_pylist():
-            found = {x["leaf"]: x["crc"] for x in r["found"] or ()}
+        for lengths, leaves, crcs, elsewhere in _values(b, "lengths", "leaves", "crcs", "found"):
+            found = {x["leaf"]: x["crc"] for x in elsewhere}
             total = 0
-            for k, (n, crc) in enumerate(zip(r["lengths"], r["crcs"], strict=True)):
+            for k, (n, crc) in enumerate(zip(lengths, crcs, strict=True)):
                 if crc < 0:
-                    crc = found[r["leaves"][k]]
+                    crc = found[leaves[k]]
                 total = crc_join(total, crc, 4 * n) if k else crc
             out.append(total)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("shard"), b.column("offset"), b.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "shard", "offset", "n_tokens", "ids_crc32"])
@@ -509,7 +539,7 @@ def read_checksums(spark: SparkSession, path: str, width: int) -> DataFrame:
 def _spread(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(r["doc_id"], r["uid"], r["shard"], r["offset"], pos, leaf, data, flag == SHARED) for r in b.to_pylist() for pos, _, leaf, flag, data in _chunks(r, width)]
+            rows = [(*ids, pos, leaf, data, flag == SHARED) for *ids, row in zip(*(b.column(k).to_pylist() for k in ("doc_id", "uid", "shard", "offset")), _values(b, *_PARTS), strict=True) for pos, _, leaf, flag, data in _chunks(width, *row)]
             if rows:
                 kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "uid", "shard", "offset", "pos", "leaf", "data", "shared"])
