@@ -123,19 +123,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def fingerprint_groups(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """prints: (sid, fp). (sid, bucket): the sets of each group of fingerprints that the trie join connects."""
-    own = scratch.write(prints.select("sid", "fp").distinct(), "own")
-    links = scratch.write(simhash.fingerprint_links(own.select("fp").distinct(), scratch), "links")
+def fingerprint_groups(prints: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
+    """prints: (sid, fp), `rows` at most. (sid, bucket): the sets of each group of fingerprints that the trie join connects."""
+    own = scratch.write(prints.select("sid", "fp").distinct(), "own", rows)
+    links = scratch.write(simhash.fingerprint_links(own.select("fp").distinct(), scratch, rows=rows), "links")
     roots = components(links, scratch).withColumnRenamed("node", "fp")
     return own.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("bucket")).distinct()
 
 
-def _several(band: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """band: (sid, bucket). (bucket, sid, n): buckets of n > 1 sets, those of the same members once."""
+def _several(band: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:
+    """band: (sid, bucket), `rows` at most. (bucket, sid, n): buckets of n > 1 sets, those of the same members once."""
     members = [F.count("*").alias("n"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("all")]
-    buckets = scratch.write(band.groupBy("bucket").agg(*members).where(F.col("n") > 1).groupBy("n", "least", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), f"{name}-buckets")
-    return scratch.write(band.join(buckets, "bucket"), f"{name}-full")
+    buckets = scratch.write(band.groupBy("bucket").agg(*members).where(F.col("n") > 1).groupBy("n", "least", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), f"{name}-buckets", rows)
+    return scratch.write(band.join(buckets, "bucket"), f"{name}-full", rows)
 
 
 def _search(full: DataFrame, sets: DataFrame, hot: int) -> DataFrame:
@@ -154,12 +154,13 @@ def keepers(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-copies")
     prints = scratch.write(docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "key binary, doc_id long, sid long, fp long, bands array<long>"), "prints")
+    n = prints.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    classes = scratch.write(prints.groupBy("sid").agg(first), "classes")
+    classes = scratch.write(prints.groupBy("sid").agg(first), "classes", n)
     # The empty set has no bands and no copy but itself.
-    printed = _several(fingerprint_groups(prints.where(F.size("bands") > 0), Scratch(spark, "near-copies-prints")), scratch, "printed")
-    banded = _several(scratch.write(prints.select("sid", F.explode("bands").alias("bucket")).distinct(), "bands"), scratch, "banded")
-    wanted = scratch.write(banded.select("sid").union(printed.select("sid")).distinct().join(classes, "sid").select("sid", F.col("first.key").alias("key")), "wanted")
+    printed = _several(fingerprint_groups(prints.where(F.size("bands") > 0), Scratch(spark, "near-copies-prints"), n), scratch, "printed", n)
+    banded = _several(scratch.write(prints.select("sid", F.explode("bands").alias("bucket")).distinct(), "bands", BANDS * n), scratch, "banded", BANDS * n)
+    wanted = scratch.write(banded.select("sid").union(printed.select("sid")).distinct().join(classes, "sid").select("sid", F.col("first.key").alias("key")), "wanted", n)
     # Only texts in buckets are read again: found by a broadcast of their keys where these are few, else by a merge join.
     by_key = F.broadcast(wanted) if wanted.count() <= few else wanted.hint("merge")
     sets = docs.select("key", "text").join(by_key, "key").select("sid", "text").mapInArrow(_sets, "sid long, grams binary")
@@ -169,7 +170,7 @@ def keepers(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
     so_far = components(links, Scratch(spark, "near-copies-printed")).withColumnRenamed("node", "sid")
     root = F.coalesce("root", "sid")
     unsettled = banded.join(so_far, "sid", "left").groupBy("bucket").agg(F.min(root).alias("low"), F.max(root).alias("high")).where("low < high").select("bucket")
-    rest = scratch.write(_search(banded.join(scratch.write(unsettled, "unsettled"), "bucket"), sets, hot), "links-banded")
+    rest = scratch.write(_search(banded.join(scratch.write(unsettled, "unsettled", BANDS * n), "bucket"), sets, hot), "links-banded")
     roots = components(links.union(rest), scratch)
     rooted = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", root)
-    return scratch.write(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key"), "keepers")
+    return scratch.write(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key"), "keepers", n)

@@ -182,13 +182,13 @@ def _bucket_links(budget: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, scratch: Scratch, budget: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
-    """prints: (fp) distinct. (u, v): links that connect every two fingerprints within `budget` differing bits, directly or in steps."""
+def fingerprint_links(prints: DataFrame, scratch: Scratch, budget: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT, rows: int | None = None) -> DataFrame:
+    """prints: (fp) distinct, `rows` at most. (u, v): links that connect every two fingerprints within `budget` differing bits, directly or in steps."""
     masks = _blocks(blocks)
     choices = [sum(c) for c in combinations(masks, blocks - budget)]
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in choices])).alias("choice", "bits"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sizes = scratch.write(sizes, "bucket-sizes")
+    sizes = scratch.write(sizes, "bucket-sizes", rows and rows * len(choices))
     full = keyed.join(sizes, ["choice", "bits"])
     chunks = F.ceil(F.col("n") / hot).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")

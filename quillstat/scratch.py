@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows a file, for tables whose writer knows how many there are at most.
+FILE_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process (a local master), as in tests, an unset one is replaced by a temporary folder."""
@@ -45,8 +48,14 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         self.close()
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: how many the table has at most, if they are narrow and cheap to make. It then has a file for FILE_ROWS of
+        them, or for each core, and not for each shuffle partition: a file costs processes on a local file system (its mode
+        is set by a chmod that the executor forks) and requests on any other.
+        """
         path = f"{self.path}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -225,3 +225,29 @@ def test_codec_is_put_back_when_a_stage_fails(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017  no text
         corpus_pipeline.run(spark, str(tmp_path))
     assert spark.conf.get("spark.sql.parquet.compression.codec") == before
+
+
+def test_narrow_tables_have_few_files(spark, tmp_path, monkeypatch):
+    """However many shuffle partitions there are: each file is a fork or a request more."""
+    written = {}
+    write = Scratch.write
+
+    def noted(self, df, name, *rows):
+        out = write(self, df, name, *rows)
+        written[f"{Path(self.path).name.rsplit('-', 1)[0]}/{name}"] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    rows = [(k, prose(k % 90, 60) + f" tail{k}") for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    own = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert near_copies.keepers(docs).count() == 90
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    heavy = {"links", "sets", "links-printed", "links-banded"}
+    assert len(written) > 20 and {k for k, v in written.items() if v > spark.sparkContext.defaultParallelism and k.split("/")[1] not in heavy} == set()
