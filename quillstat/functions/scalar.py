@@ -1,9 +1,12 @@
-"""Column functions: half-even rounding, duration and clock parsing, safe ratios, plane geometry."""
+"""Column functions: half-even rounding, duration and clock parsing, safe ratios, plane geometry, JSON text."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Period lengths in minutes.
 QUARTER_MIN, OVERTIME_MIN, QUARTERS = 12.0, 5.0, 4
@@ -88,3 +91,33 @@ def inverse(h: list[Column]) -> list[Column]:
     """The adjugate of a 3x3 row-major map: its inverse up to a factor, which `project` cancels."""
     a, b, c, d, e, f, g, i, j = h
     return [e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d]
+
+
+def json_number(x: Column) -> Column:
+    """A double as JSON text: its shortest digits, with an exponent only below 1e-6 and from 1e21 on (the cast has one from 1e7)."""
+    size, digits = F.abs(x), [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    # Java's own text can have a digit or two more than tell the number from all others.
+    text = F.coalesce(*[F.when(t.try_cast("double") == x, t) for t in digits], x.cast("string"))
+
+    def plain(scale: int) -> Column:
+        return F.regexp_replace(text.try_cast(f"decimal(38,{scale})").cast("string"), r"(\.\d+?)0*$", "$1")
+
+    short = F.regexp_replace(text, r"\.?0*[eE]\+?(-?)0*", "e$1")
+    return F.when(size == 0, x.cast("string")).when(size.between(1e-6, 1e7), plain(22)).when((size > 1e7) & (size < 1e21), plain(10)).otherwise(short)
+
+
+def json_text(x: Column, kind: T.DataType) -> Column:
+    """A value of type `kind` as JSON: like `to_json`, but nulls stay and doubles are written by `json_number`."""
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), json_text(x.getField(f.name), f.dataType)) for f in kind]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(x), lambda e: F.concat(json_text(e["key"].cast("string"), T.StringType()), F.lit(":"), json_text(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: json_text(e, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.DoubleType):
+        text = json_number(x)
+    else:
+        text = F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    return F.when(x.isNull(), "null").otherwise(text)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.functions.params import FPS, MILE_KM
-from quillstat.functions.scalar import half_even, minutes, number, shown_int
+from quillstat.functions.scalar import half_even, json_text, minutes, number, shown_int
 from quillstat.operators.boxscore import clip_time, drop_empty_columns, made_of
 from quillstat.operators.clip import coverage
 
@@ -30,7 +30,9 @@ def team_stats(events: DataFrame, players: DataFrame, share: DataFrame, teams: M
     held = share.unpivot([], list(teams), "kit", "held")
     every = F.broadcast(kits).join(counts, "kit", "left").join(tracked, "kit", "left").join(held, "kit", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return every.select("team", "kit", zero("passes").alias("passes"), zero("interceptions").alias("interceptions"), half_even(F.col("held") * 100, 1).alias("possession_pct"), half_even(F.coalesce("seconds", F.lit(0.0)), 1).alias("players_tracked_seconds"), half_even(F.coalesce("metres", F.lit(0.0)), 0).alias("distance_m"))
+    # In decimals: 100 times a double's share can lie beside the tie that the share is (23 of 80).
+    held_pct = F.bround(F.col("held").cast("decimal(22,20)") * 100, 1).cast("double")
+    return every.select("team", "kit", zero("passes").alias("passes"), zero("interceptions").alias("interceptions"), held_pct.alias("possession_pct"), half_even(F.coalesce("seconds", F.lit(0.0)), 1).alias("players_tracked_seconds"), half_even(F.coalesce("metres", F.lit(0.0)), 0).alias("distance_m"))
 
 
 def quality(frames: DataFrame, people: DataFrame, kept: DataFrame, many: int = 8) -> DataFrame:
@@ -55,11 +57,11 @@ def clip_totals(shots: DataFrame, frames: DataFrame, ball: DataFrame, holders: D
 
 
 def summary_document(totals: DataFrame, stats: DataFrame, panel: DataFrame) -> DataFrame:
-    """(json): the totals with `team_stats` by team and `quality` nested in them."""
+    """(json): the totals with `team_stats` by team and `quality` nested in them; nulls stay, no number has an exponent that its size does not need."""
     fields = [c for c in stats.columns if c != "team"]
     teams = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("team", F.struct(*fields))))).alias("team_stats"))
     whole = _side_by_side(totals, teams, panel.select(F.struct("*").alias("quality")))
-    return whole.select(F.to_json(F.struct("*")).alias("json"))
+    return whole.select(json_text(F.struct("*"), whole.schema).alias("json"))
 
 
 def quality_panel(totals: DataFrame, ball_source: str | None = None) -> DataFrame:

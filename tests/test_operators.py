@@ -6,13 +6,14 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillstat.functions import params as P
-from quillstat.functions.scalar import elapsed_minutes, half_even, minutes
+from quillstat.functions.scalar import elapsed_minutes, half_even, json_number, json_text, minutes
 from quillstat.operators import ball, boxscore, clip, possession, summary, timeline, tracks
 
 
@@ -328,3 +329,36 @@ def test_summary_document(spark):
     stats = spark.createDataFrame([("BOS", "light", 7), ("GSW", "dark", 16)], "team string, kit string, passes long")
     doc = json.loads(summary.summary_document(totals, stats, spark.createDataFrame([(5,)], "raw_tracks long")).first().json)
     assert doc == {"clip_seconds": 1.5, "usable_shots": 3, "team_stats": {"BOS": {"kit": "light", "passes": 7}, "GSW": {"kit": "dark", "passes": 16}}, "quality": {"raw_tracks": 5}}
+
+
+def test_json_numbers_like_duckdb(spark):
+    rng = random.Random(3)
+    x = [rng.randrange(2 ** (e - 1), 2**e) / d for e in range(1, 54) for d in (-1, 1, 10, 100, 1000) for _ in range(4)]
+    x += [m * 10.0**k for k in range(-30, 40) for m in (1.0, 1.5, -2.0, 9.999999999999999)] + [0.0, -0.0, 17977000.0, -9.666553882611358e16, 3.67117444774589e18, math.inf]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i long, x double").orderBy("i").select(json_number(F.col("x"))).collect()]
+    assert got == [duckdb.execute("SELECT CAST(to_json(CAST(? AS DOUBLE)) AS VARCHAR)", [v]).fetchone()[0] for v in x]
+    assert [float(g) for g in got] == x
+
+
+def test_json_text_of_any_value(spark):
+    data = [(1, 'a"b\\c\n]é', [1.5, None, 2e7], {"k": ([True],)}, None, (None, 3)), (None, None, None, None, 0.0, None), (2, "", [], {"l": None}, -0.5, (1e-4, None))]
+    df = spark.createDataFrame(data, 'i int, `s.t` string, a array<double>, m map<string, struct<b: array<boolean>>>, d double, n struct<`x"y`: double, z: long>').coalesce(1)
+    got = [r[0] for r in df.select(json_text(F.struct("*"), df.schema)).collect()]
+    assert got[0] == '{"i":1,"s.t":"a\\"b\\\\c\\n]é","a":[1.5,null,20000000.0],"m":{"k":{"b":[true]}},"d":null,"n":{"x\\"y":null,"z":3}}'
+    assert [json.loads(g) for g in got] == [json.loads(json.dumps(r.asDict(recursive=True))) for r in df.collect()]
+
+
+def test_summary_document_of_a_long_clip(spark):
+    """Seconds from ten million on are written without an exponent, and what is not known is null."""
+    totals = spark.createDataFrame([(17977000.0, 11998000.5)], "clip_seconds double, analysed_seconds double")
+    stats = spark.createDataFrame([("GSW", None, 2996533000.0), ("BOS", 50.1, 12345678.0)], "team string, possession_pct double, distance_m double")
+    got = summary.summary_document(totals, stats, spark.createDataFrame([(None, 5)], "alignment_score_median double, raw_tracks long")).first().json
+    assert got == '{"clip_seconds":17977000.0,"analysed_seconds":11998000.5,"team_stats":{"BOS":{"possession_pct":50.1,"distance_m":12345678.0},"GSW":{"possession_pct":null,"distance_m":2996533000.0}},"quality":{"alignment_score_median":null,"raw_tracks":5}}'
+
+
+def test_possession_ties_go_to_the_even_digit(spark):
+    """Of 80 frames 23 are 28.75 per cent, 57 are 71.25."""
+    events = spark.createDataFrame([("pass", "light")] * 23 + [("pass", "dark")] * 57, "type string, team string")
+    players = spark.createDataFrame([("light", 1.0, 2.0)], "team string, seconds_tracked double, distance_m double")
+    got = summary.team_stats(events, players, possession.possession_share(events), {"light": "BOS", "dark": "GSW"})
+    assert [(r.team, r.possession_pct) for r in got.orderBy("team").collect()] == [("BOS", 28.8), ("GSW", 71.2)]
